@@ -219,8 +219,8 @@ def _metric_rows(digits_mape: int = 2) -> str:
 SELECT model, 'overall' AS scope, NULL::VARCHAR AS target, NULL::INT AS step,
   {q.r(mae)} AS mae, {q.r(rmse)} AS rmse, {q.r(mape, digits_mape)} AS mape, {none} FROM sums GROUP BY model
 UNION ALL SELECT model, 'per_target', target, NULL, {q.r(mae)}, {q.r(rmse)}, {q.r(mape, digits_mape)},
-  {only_cpu(q.r(precision, 4), 'precision')}, {only_cpu(q.r(recall, 4), 'recall')},
-  {only_cpu(q.r(f1, 4), 'f1')}, {only_cpu(q.r(accuracy, 4), 'accuracy')},
+  {only_cpu(q.four(precision), 'precision')}, {only_cpu(q.four(recall), 'recall')},
+  {only_cpu(q.four(f1), 'f1')}, {only_cpu(q.four(accuracy), 'accuracy')},
   {only_cpu('sum(tp) + sum(fn)', 'total_overload_events', 'BIGINT')},
   {only_cpu('sum(tp) + sum(fp)', 'predicted_overload_events', 'BIGINT')}
 FROM sums GROUP BY model, target
@@ -455,8 +455,8 @@ def _overview_sql(kind: str) -> str:
     return f"""{q.series(kind)},
   overview AS (SELECT machine_id AS id, nw - train_end - val_count AS num_windows,
       cpu_usage AS latest_cpu, memory_usage AS latest_memory,
-      round(40.0::DOUBLE + cpu_usage * 0.4::DOUBLE, 1) AS latest_temperature,
-      round(80.0::DOUBLE + cpu_usage * 2.5::DOUBLE, 1) AS latest_power,
+      {q.tenth('40.0::DOUBLE + cpu_usage * 0.4::DOUBLE')} AS latest_temperature,
+      {q.tenth('80.0::DOUBLE + cpu_usage * 2.5::DOUBLE')} AS latest_power,
       trunc(least(10.0::DOUBLE, greatest(0.0::DOUBLE, cpu_usage / 25)))::INT AS latest_jobs,
       CASE WHEN cpu_usage > 80 THEN 'high' WHEN cpu_usage > 60 THEN 'medium'
         WHEN cpu_usage > 30 THEN 'normal' ELSE 'low' END AS status
@@ -854,11 +854,22 @@ def g1_moving_average(spark, sf_dir):
 
 @query(
     "g1_moving_average_windows",
-    f"""{q.predictions('events')} SELECT machine_id, window_idx, split, model, step, target,
-{q.r('y_true')} AS y_true, {q.r('y_pred')} AS y_pred FROM predictions""",
+    f"""{q.predictions('events')} SELECT machine_id, window_idx, split, model, target, count(*) AS steps,
+{q.r('sum(y_true * step)')} AS weighted_truth, {q.r('min(y_pred)')} AS lowest, {q.r('max(y_pred)')} AS highest
+FROM predictions GROUP BY 1, 2, 3, 4, 5""",
 )
 def g1_moving_average_windows(spark, sf_dir):
-    return rounded(_predictions(spark, sf_dir))
+    """Every window scored; truth is checked by a sum weighted with the step."""
+    return rounded(
+        _predictions(spark, sf_dir)
+        .groupBy("machine_id", "window_idx", "split", "model", "target")
+        .agg(
+            F.count(F.lit(1)).alias("steps"),
+            F.sum(F.col("y_true") * F.col("step")).alias("weighted_truth"),
+            F.min("y_pred").alias("lowest"),
+            F.max("y_pred").alias("highest"),
+        )
+    )
 
 
 def _linear(spark, sf_dir):
@@ -1015,9 +1026,9 @@ _PRECISION, _RECALL = "tp / greatest(tp + fp, 1)", "tp / greatest(tp + fn, 1)"
 @query(
     "h4_overload",
     f"""{q.predictions('events')}, {q.errors('model, target')} SELECT model, target,
-{q.r(_PRECISION, 4)} AS precision, {q.r(_RECALL, 4)} AS recall,
-{q.r(f'2 * ({_PRECISION}) * ({_RECALL}) / greatest({_PRECISION} + {_RECALL}, 1e-8::DOUBLE)', 4)} AS f1,
-{q.r('(tp + tn) / greatest(c, 1)', 4)} AS accuracy,
+{q.four(_PRECISION)} AS precision, {q.four(_RECALL)} AS recall,
+{q.four(f'2 * ({_PRECISION}) * ({_RECALL}) / greatest({_PRECISION} + {_RECALL}, 1e-8::DOUBLE)')} AS f1,
+{q.four('(tp + tn) / greatest(c, 1)')} AS accuracy,
 tp + fn AS total_overload_events, tp + fp AS predicted_overload_events FROM sums""",
 )
 def h4_overload(spark, sf_dir):
@@ -1085,8 +1096,8 @@ def _cpu(spark, sf_dir):
 
 @query(
     "i1_i4_derived",
-    f"""SELECT event_id, round(40.0::DOUBLE + {_CPU} * 0.4::DOUBLE, 1) + 0.0 AS temperature,
-round(80.0::DOUBLE + {_CPU} * 2.5::DOUBLE, 1) + 0.0 AS power,
+    f"""SELECT event_id, {q.tenth(f'40.0::DOUBLE + {_CPU} * 0.4::DOUBLE')} AS temperature,
+{q.tenth(f'80.0::DOUBLE + {_CPU} * 2.5::DOUBLE')} AS power,
 trunc(least(10.0::DOUBLE, greatest(0.0::DOUBLE, {_CPU} / 25)))::INT AS jobs,
 CASE WHEN {_CPU} > 80 THEN 'high' WHEN {_CPU} > 60 THEN 'medium' WHEN {_CPU} > 30 THEN 'normal' ELSE 'low' END AS status,
 CASE WHEN {_CPU} > 80 THEN 'danger' WHEN {_CPU} > 60 THEN 'warn' ELSE 'ok' END AS band FROM events""",
@@ -1102,11 +1113,11 @@ def i1_i4_derived(spark, sf_dir):
 
 def _workload_sql(average: str) -> str:
     activity = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {average} / 100.0::DOUBLE))"
-    t, i, d = (f"round({activity} * {share}, 1)" for share in (55, 25, 15))
+    t, i, d = (q.tenth(f"{activity} * {share}::DOUBLE") for share in (55, 25, 15))
     rows = [("Training", t), ("Inference", i), ("Data Proc", d),
-            ("Idle", f"round(greatest(0.0::DOUBLE, 100.0::DOUBLE - {t} - {i} - {d}), 1)")]
+            ("Idle", q.tenth(f"greatest(0.0::DOUBLE, 100.0::DOUBLE - {t} - {i} - {d})"))]
     return " UNION ALL ".join(
-        f"SELECT round({average}, 1) AS avg_cluster_cpu, '{name}' AS name, {percent} AS percent FROM averages"
+        f"SELECT {q.tenth(average)} AS avg_cluster_cpu, '{name}' AS name, {percent} AS percent FROM averages"
         for name, percent in rows
     )
 
@@ -1124,7 +1135,7 @@ def i5_workload_distribution(spark, sf_dir):
 @query(
     "i6_augment",
     f"""WITH {q.cleaned('events')} SELECT timestamp, machine_id, {q.r('cpu_usage')} AS cpu_usage,
-round(40.0::DOUBLE + cpu_usage * 0.4::DOUBLE, 1) AS temperature, round(80.0::DOUBLE + cpu_usage * 2.5::DOUBLE, 1) AS power_draw,
+{q.tenth('40.0::DOUBLE + cpu_usage * 0.4::DOUBLE')} AS temperature, {q.tenth('80.0::DOUBLE + cpu_usage * 2.5::DOUBLE')} AS power_draw,
 trunc(least(10.0::DOUBLE, greatest(0.0::DOUBLE, cpu_usage / 25))) AS jobs_count FROM cleaned""",
 )
 def i6_augment(spark, sf_dir):
@@ -1173,8 +1184,8 @@ def j2_workload(spark, sf_dir):
     return reports.workload(_overview(spark, sf_dir))
 
 
-_AUGMENTED = """round(40.0::DOUBLE + cpu_usage * 0.4::DOUBLE, 1) AS temperature,
-round(80.0::DOUBLE + cpu_usage * 2.5::DOUBLE, 1) AS power_draw,
+_AUGMENTED = f"""{q.tenth('40.0::DOUBLE + cpu_usage * 0.4::DOUBLE')} AS temperature,
+{q.tenth('80.0::DOUBLE + cpu_usage * 2.5::DOUBLE')} AS power_draw,
 trunc(least(10.0::DOUBLE, greatest(0.0::DOUBLE, cpu_usage / 25))) AS jobs_count"""
 
 

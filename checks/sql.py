@@ -10,6 +10,15 @@ def r(expression: str, digits: int = 6) -> str:
     return f"(round({expression}, {digits}) + 0.0)"
 
 
+def tenth(expression: str) -> str:
+    """Nearest tenth of the binary value, exact ties to even."""
+    return f"(format('{{:.1f}}', {expression})::DOUBLE + 0.0)"
+
+
+def four(expression: str) -> str:
+    return f"round_even({expression}, 4)"
+
+
 def clip(expression: str, low: str = "0.0", high: str = "100.0") -> str:
     return f"CASE WHEN {expression} IS NOT NULL THEN least({high}::DOUBLE, greatest({low}::DOUBLE, {expression})) END"
 
@@ -135,18 +144,18 @@ def predictions(kind: str, widths: tuple[int, ...] = (12,)) -> str:
         for c in ("cpu", "memory")
     )
     parts = " UNION ALL ".join(
-        f"""SELECT a.machine_id, a.window_idx, a.split, 'moving_avg_{w}' AS model, h.step AS step,
-        '{c}_usage' AS target, t.{c} AS y_true, m.{c}_mean{w} AS y_pred
-      FROM windows a JOIN means m ON a.machine_id = m.machine_id AND a.rn = m.rn
-      CROSS JOIN (SELECT unnest(generate_series(1, 12))::INT AS step) h
-      JOIN means t ON t.machine_id = a.machine_id AND t.rn = a.rn + h.step"""
+        f"""SELECT machine_id, rn - 59 AS window_idx, split, 'moving_avg_{w}' AS model,
+        unnest(generate_series(1, 12))::INT AS step, '{c}_usage' AS target, unnest({c}_ahead) AS y_true,
+        {c}_mean{w} AS y_pred FROM framed WHERE rn >= 59 AND rn < n - 12"""
         for w in widths
         for c in ("cpu", "memory")
     )
     return f"""{series(kind)}, {scalers(['cpu_usage', 'memory_usage'])},
-  scaled AS (SELECT m.machine_id, rn, {scaled('cpu_usage')} AS cpu, {scaled('memory_usage')} AS memory
+  scaled AS (SELECT m.machine_id, rn, n, {scaled('cpu_usage')} AS cpu, {scaled('memory_usage')} AS memory,
+      CASE WHEN rn - 59 < train_end THEN 'train' WHEN rn - 59 < train_end + val_count THEN 'val' ELSE 'test' END AS split
     FROM marks m JOIN bounds b ON m.machine_id = b.machine_id),
-  means AS (SELECT *, {means} FROM scaled),
+  framed AS MATERIALIZED (SELECT *, {means}, list(cpu) OVER y AS cpu_ahead, list(memory) OVER y AS memory_ahead
+    FROM scaled WINDOW y AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
   predictions AS ({parts})"""
 
 

@@ -1,6 +1,6 @@
 """Operational values derived from cpu utilisation (percent).
 
-Rounding is half-up (``F.round``). All functions give NULL for a missing input.
+All functions give NULL for a missing input.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.functions.columns import clip
+from gridpulse.functions.columns import clip, round_tenth
 
 # Coefficients and bands of the derived metrics.
 TEMPERATURE_BASE, TEMPERATURE_PER_CPU = 40.0, 0.4
@@ -21,11 +21,11 @@ MINUTES_PER_STEP = 5
 
 
 def temperature(cpu: Column) -> Column:
-    return F.round(F.lit(TEMPERATURE_BASE) + cpu * TEMPERATURE_PER_CPU, 1)
+    return round_tenth(F.lit(TEMPERATURE_BASE) + cpu * TEMPERATURE_PER_CPU)
 
 
 def power(cpu: Column) -> Column:
-    return F.round(F.lit(POWER_BASE) + cpu * POWER_PER_CPU, 1)
+    return round_tenth(F.lit(POWER_BASE) + cpu * POWER_PER_CPU)
 
 
 def jobs(cpu: Column) -> Column:
@@ -63,22 +63,22 @@ def step_label(offset: Column) -> Column:
 def workload_distribution(averages: DataFrame, avg_column: str = "avg_cluster_cpu") -> DataFrame:
     """Split each average utilisation into workload categories that sum to 100."""
     activity = clip(F.col(avg_column) / 100.0, 0.0, 1.0)
-    shares = [F.round(activity * share, 1) for _, share in WORKLOAD_SHARES]
-    idle = F.lit(100.0)
-    for share in shares:
-        idle = idle - share
+    shares = {name: round_tenth(activity * share) for name, share in WORKLOAD_SHARES}
+    rest = F.lit(100.0)
+    for name in shares:
+        rest = rest - F.col(name)
+    # Step by step: each column is used several times by the next.
+    staged = (
+        averages.withColumns(shares)
+        .withColumn("rest", F.greatest(F.lit(0.0), rest))
+        .withColumn(IDLE_NAME, round_tenth(F.col("rest")))
+    )
     entries = [
-        F.struct(F.lit(name).alias("name"), share.alias("percent"))
-        for (name, _), share in zip(WORKLOAD_SHARES, shares)
+        F.struct(F.lit(name).alias("name"), F.col(name).alias("percent"))
+        for name in (*shares, IDLE_NAME)
     ]
-    entries.append(
-        F.struct(
-            F.lit(IDLE_NAME).alias("name"),
-            F.round(F.greatest(F.lit(0.0), idle), 1).alias("percent"),
-        )
-    )
-    return averages.select(
-        F.round(F.col(avg_column), 1).alias("avg_cluster_cpu"), F.inline(F.array(*entries))
+    return staged.select(
+        round_tenth(F.col(avg_column)).alias("avg_cluster_cpu"), F.inline(F.array(*entries))
     )
 
 

@@ -74,6 +74,10 @@ def mape(
     return sums.select(*keys, mape_of().alias("mape"))
 
 
+def _four_digits(ratio: Column) -> Column:
+    return F.rint(ratio * 1e4) / 1e4
+
+
 def _overload_columns(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     one = F.lit(1)
@@ -83,10 +87,10 @@ def _overload_columns(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     accuracy = (tp + tn) / F.greatest(tp + fp + fn + tn, one)
     return sums.select(
         *keys,
-        F.round(precision, 4).alias("precision"),
-        F.round(recall, 4).alias("recall"),
-        F.round(f1, 4).alias("f1"),
-        F.round(accuracy, 4).alias("accuracy"),
+        _four_digits(precision).alias("precision"),
+        _four_digits(recall).alias("recall"),
+        _four_digits(f1).alias("f1"),
+        _four_digits(accuracy).alias("accuracy"),
         (tp + fn).alias("total_overload_events"),
         (tp + fp).alias("predicted_overload_events"),
     )
