@@ -93,8 +93,10 @@ def _overview(spark, sf_dir):
     return reports.machine_overview(_users(spark, sf_dir), USERS)
 
 
-def _predictions(spark, sf_dir, widths=(12,)):
-    return forecast.moving_average_predictions(_events(spark, sf_dir), EVENTS, TARGETS, widths)
+def _predictions(spark, sf_dir, widths=(12,), split=None):
+    return forecast.moving_average_predictions(
+        _events(spark, sf_dir), EVENTS, TARGETS, widths, split=split
+    )
 
 
 def _round_list(names, digits=6, prefix=""):
@@ -236,7 +238,7 @@ _EVALUATION = f"""{q.predictions('events')},
 @query("a9_metrics_round_trip", _EVALUATION)
 def a9_metrics_round_trip(spark, sf_dir):
     path = scratch_folder(spark, "metrics")
-    tables.write_metrics(evaluate.evaluate_by_split(_predictions(spark, sf_dir)), path)
+    tables.write_metrics(evaluate.evaluate_by_split(_predictions(spark, sf_dir, split="test")), path)
     return rounded(tables.read_metrics(spark, path), mape=2)
 
 
@@ -566,7 +568,7 @@ _METRICS = f"""{q.predictions('events', (3, 12))},
 
 def _two_model_metrics(spark, sf_dir):
     """Metrics of two averaging widths, one of which is not among the loaded models."""
-    return evaluate.evaluate_by_split(_predictions(spark, sf_dir, (3, 12)))
+    return evaluate.evaluate_by_split(_predictions(spark, sf_dir, (3, 12), "test"))
 
 
 @query(
@@ -1063,19 +1065,21 @@ def h7_evaluate_all(spark, sf_dir):
 
 @query("h8_evaluate_by_split", _EVALUATION)
 def h8_evaluate_by_split(spark, sf_dir):
-    return rounded(evaluate.evaluate_by_split(_predictions(spark, sf_dir)), mape=2)
+    return rounded(evaluate.evaluate_by_split(_predictions(spark, sf_dir, split="test")), mape=2)
 
 
-# mape is left to the rows-only columns here: y is exactly 0 too often for its sum to be
-# stable to a fixed number of digits.
+# mape is left out here: y is exactly 0 so often that its sum is not stable to a fixed
+# number of digits.
 @query(
     "h8_evaluate_lines",
     f"""{q.predictions('lines')}, tested AS (SELECT * FROM predictions WHERE split = 'test'),
 {q.errors('model, target, step', 'tested')} SELECT model, target, step, {q.r('a / c')} AS mae, {q.r('sqrt(s / c)')} AS rmse FROM sums""",
 )
 def h8_evaluate_lines(spark, sf_dir):
-    predicted = forecast.moving_average_predictions(_lines(spark, sf_dir), LINES, TARGETS)
-    sums = evaluate.error_sums(predicted.filter("split = 'test'"), ["model", "target", "step"])
+    predicted = forecast.moving_average_predictions(
+        _lines(spark, sf_dir), LINES, TARGETS, split="test"
+    )
+    sums = evaluate.error_sums(predicted, ["model", "target", "step"])
     return rounded(
         sums.select(
             "model", "target", "step",
@@ -1243,7 +1247,7 @@ def j6_compare_models(spark, sf_dir):
 
 @query("j7_model_metrics", _EVALUATION)
 def j7_model_metrics(spark, sf_dir):
-    metrics = evaluate.evaluate_by_split(_predictions(spark, sf_dir))
+    metrics = evaluate.evaluate_by_split(_predictions(spark, sf_dir, split="test"))
     return rounded(models.model_metrics(_models_table(spark), metrics, "moving_avg_12"), mape=2)
 
 

@@ -34,7 +34,7 @@ class PipelineConfig:
     ffill_limit: int = DEFAULT_FFILL_LIMIT
     features: tuple[str, ...] = FEATURE_COLUMNS
     targets: tuple[str, ...] = TARGET_COLUMNS
-    block_rows: int = 4096
+    block_rows: int = 4000
 
     def __post_init__(self) -> None:
         if self.interval_seconds <= 0 or SECONDS_PER_DAY % self.interval_seconds:

@@ -29,7 +29,7 @@ def from_epoch_micros(expression: str) -> Column:
 
 def floor_div(value: Column, size: int) -> Column:
     """Exact floor division of a BIGINT, also below zero."""
-    return ((value - F.pmod(value, F.lit(size))) / F.lit(size)).cast("long")
+    return F.floor((value - F.pmod(value, F.lit(size))) / size)
 
 
 def nan_to_null(value: Column) -> Column:

@@ -11,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gridpulse.functions.columns import floor_div
-
 
 def with_halo(df: DataFrame, position: str, size: int, back: int, ahead: int) -> DataFrame:
     """Add ``block``, once per block holding a row in [position-ahead, position+back]."""
-    first = floor_div(F.col(position) - ahead, size)
-    last = floor_div(F.col(position) + back, size)
-    return df.withColumn("block", F.explode(F.sequence(first, last)))
+    first, last = (
+        f"({at} - pmod({at}, {size})) div {size}"
+        for at in (f"(`{position}` - {ahead})", f"(`{position}` + {back})")
+    )
+    return df.selectExpr("*", f"explode(sequence({first}, {last})) AS block")
 
 
-def in_own_block(position: Column, size: int) -> Column:
-    return floor_div(position, size) == F.col("block")
+def in_own_block(position: str, size: int) -> Column:
+    return F.expr(f"`{position}` >= block * {size} AND `{position}` < (block + 1) * {size}")
 
 
 def block_order(position: str) -> WindowSpec:

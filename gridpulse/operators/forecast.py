@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.config import PipelineConfig
-from gridpulse.operators.blocks import block_order, in_own_block
+from gridpulse.operators.blocks import in_own_block
 from gridpulse.operators.windows import (
     map_windows,
     raw_blocks,
@@ -29,9 +29,6 @@ from gridpulse.operators.windows import (
 )
 
 WINDOW_TYPE = T.ArrayType(T.ArrayType(T.DoubleType()))
-PREDICTION_COLUMNS = (
-    "machine_id", "window_idx", "split", "model", "step", "target", "y_true", "y_pred",
-)
 
 
 class ModelError(LookupError):
@@ -230,39 +227,74 @@ def moving_average(
 
 
 def moving_average_predictions(
-    series: DataFrame, config: PipelineConfig, targets: Sequence[str], windows: Sequence[int] = (12,),
+    series: DataFrame,
+    config: PipelineConfig,
+    targets: Sequence[str],
+    windows: Sequence[int] = (12,),
     scale: bool = True,
+    split: str | None = None,
 ) -> DataFrame:
-    """Truth and forecast of every window, step and target, for each averaging width."""
-    order = block_order("rn")
+    """Truth and forecast of every window, step and target, for each averaging width.
+
+    Values are scaled as the evaluation wants them, or in real units with
+    ``scale=False``; ``split`` keeps the windows of one split.
+    """
+    order = "OVER (PARTITION BY machine_id, block ORDER BY rn"
     cut = scaled_blocks if scale else raw_blocks
-    blocks = cut(series, targets, config, back=max(windows) - 1, ahead=config.horizon)
-    frames = {
-        f"{t}__mean{w}": F.avg(t).over(order.rowsBetween(-(w - 1), 0))
-        for w in windows
-        for t in targets
-    }
-    frames |= {
-        f"{t}__ahead{h}": F.lead(t, h).over(order)
-        for t in targets
-        for h in range(1, config.horizon + 1)
-    }
-    framed = blocks.withColumns(frames).filter(in_own_block(F.col("rn"), config.block_rows))
-    entries = [
-        F.struct(
-            F.lit(f"moving_avg_{w}").alias("model"),
-            F.lit(h).alias("step"),
-            F.lit(t).alias("target"),
-            F.col(f"{t}__ahead{h}").alias("y_true"),
-            F.col(f"{t}__mean{w}").alias("y_pred"),
+    steps = range(1, config.horizon + 1)
+    blocks = cut(series, targets, config, max(windows) - 1, config.horizon, split)
+    frames = []
+    for t in targets:
+        ahead = ", ".join(f"lead(`{t}`, {h}) {order})" for h in steps)
+        means = ", ".join(
+            f"avg(`{t}`) {order} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in windows
         )
-        for w in windows
-        for h in range(1, config.horizon + 1)
-        for t in targets
-    ]
-    return sliding_windows(framed, config).select(
-        "machine_id", "window_idx", "split", F.inline(F.array(*entries))
-    ).select(*PREDICTION_COLUMNS)
+        frames += [f"array({ahead}) AS `{t}__ahead`", f"array({means}) AS `{t}__means`"]
+    framed = blocks.selectExpr("*", *frames).filter(in_own_block("rn", config.block_rows))
+    names = [f"moving_avg_{w}" for w in windows]
+    made = sliding_windows(framed, config)
+    if split is not None:
+        made = made.filter(F.col("split") == split)
+    return _long_predictions(
+        made,
+        names,
+        targets,
+        config.horizon,
+        truth=[f"get(`{t}__ahead`, step - 1)" for t in targets],
+        guess=[f"get(`{t}__means`, model_at)" for t in targets],
+    )
+
+
+def _long_predictions(
+    wide: DataFrame,
+    models: Sequence[str],
+    targets: Sequence[str],
+    horizon: int,
+    truth: Sequence[str],
+    guess: Sequence[str],
+) -> DataFrame:
+    """One row per window, model, step and target.
+
+    The exploded array is a constant, so rows multiply without building anything per
+    window; values are then picked by position from the arrays each row carries.
+    ``truth`` and ``guess`` are SQL expressions, one per target.
+    """
+    cells = ", ".join(
+        f"struct({i} AS model_at, '{model}' AS model, {step} AS step, "
+        f"{t} AS target_at, '{target}' AS target)"
+        for i, model in enumerate(models)
+        for step in range(1, horizon + 1)
+        for t, target in enumerate(targets)
+    )
+
+    def pick(values: Sequence[str]) -> str:
+        cases = " ".join(f"WHEN {t} THEN {value}" for t, value in enumerate(values))
+        return f"CASE target_at {cases} END"
+
+    return wide.selectExpr("*", f"inline(array({cells}))").selectExpr(
+        "machine_id", "window_idx", "split", "model", "step", "target",
+        f"{pick(truth)} AS y_true", f"{pick(guess)} AS y_pred",
+    )
 
 
 def first_machine(series: DataFrame) -> DataFrame:
@@ -322,9 +354,7 @@ def linear_fit(
         return each, finish
 
     columns = list(features) + [t for t in targets if t not in features]
-    blocks = scaled_blocks(
-        training_set(series, train_on), columns, config, back=s - 1, ahead=h
-    )
+    blocks = scaled_blocks(training_set(series, train_on), columns, config, s - 1, h, "train")
     partials = map_windows(
         blocks, features, targets, config, make, "entries array<double>"
     )
@@ -358,6 +388,7 @@ def model_predictions(
     features: Sequence[str],
     targets: Sequence[str],
     model: Linear | NumpyForecaster,
+    split: str | None = None,
 ) -> DataFrame:
     """As ``moving_average_predictions`` for a model with a numpy predictor."""
     s, h = config.sequence_length, config.horizon
@@ -381,27 +412,22 @@ def model_predictions(
         return each, lambda: iter(())
 
     columns = list(features) + [t for t in targets if t not in features]
-    blocks = scaled_blocks(series, columns, config, back=s - 1, ahead=h)
+    blocks = scaled_blocks(series, columns, config, s - 1, h, split)
     wide = map_windows(
         blocks, features, targets, config, make,
         "machine_id string, window_idx long, n long, "
         "y_true array<double>, y_pred array<double>",
     )
     total = F.col("n") - (config.window_length - 1)
-    entries = [
-        F.struct(
-            F.lit(step + 1).alias("step"),
-            F.lit(target).alias("target"),
-            F.col("y_true")[step * len(targets) + t].alias("y_true"),
-            F.col("y_pred")[step * len(targets) + t].alias("y_pred"),
-        )
-        for step in range(h)
-        for t, target in enumerate(targets)
-    ]
-    return wide.select(
-        "machine_id",
-        "window_idx",
-        split_of(F.col("window_idx"), total, config).alias("split"),
-        F.lit(name).alias("model"),
-        F.inline(F.array(*entries)),
-    ).select(*PREDICTION_COLUMNS)
+    wide = wide.withColumn("split", split_of(F.col("window_idx"), total, config))
+    if split is not None:
+        wide = wide.filter(F.col("split") == split)
+    positions = [f"(step - 1) * {len(targets)} + {t}" for t in range(len(targets))]
+    return _long_predictions(
+        wide,
+        [name],
+        targets,
+        h,
+        truth=[f"get(y_true, {position})" for position in positions],
+        guess=[f"get(y_pred, {position})" for position in positions],
+    )

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.config import PipelineConfig
 from gridpulse.functions.columns import epoch_micros, floor_div, from_epoch_micros
-from gridpulse.operators.blocks import block_order, in_own_block, with_halo
+from gridpulse.operators.blocks import with_halo
 from gridpulse.operators.clean import numeric_columns
 
 
@@ -76,103 +76,112 @@ def fill_gaps(
     position in the machine's series, and ``n``, the length of that series.
 
     No empty bins are built first: an occupied bin emits itself and the filled bins
-    behind it, so at most ``ffill_limit + 1`` rows whatever the time range. All
-    frames share the sort of one exchange on (machine, block). Positions come from
-    per-block counts, a table smaller by the block size, whose running sums are
-    joined back on the same key.
+    behind it, so at most ``ffill_limit + 1`` rows whatever the time range. Values are
+    looked up in the ``ffill_limit`` occupied bins before it, in the one sort of one
+    exchange on (machine, block). Positions come from per-block counts, a table smaller
+    by the block size, whose running sums are joined back on the same key.
     """
     columns = list(columns or numeric_columns(bins, exclude=("machine_id", "bin_no")))
     size, limit = config.block_rows, config.ffill_limit
-    order = block_order("bin_no")
+    distances = range(limit + 1)
+    order = "PARTITION BY machine_id, block ORDER BY bin_no"
 
     halo = with_halo(
         bins.select("machine_id", "bin_no", *columns), "bin_no", size, back=limit, ahead=0
     )
-    # Value of column c in the bin d behind: the last one known at most limit-d bins back.
-    carried = {
-        f"{c}__{d}": F.last(c, ignorenulls=True).over(order.rangeBetween(-(limit - d), 0))
+    neighbours = [f"lead(bin_no) OVER ({order}) AS next_bin"]
+    for i in distances[1:]:
+        neighbours += [
+            f"lag(`{c}`, {i}) OVER ({order}) AS `{c}__lag{i}`" for c in ["bin_no", *columns]
+        ]
+    around = halo.selectExpr("*", *neighbours)
+
+    # Value for the bin d behind: the last one known at most ``limit`` bins back.
+    carried = [
+        "coalesce("
+        + ", ".join(
+            [f"`{c}`"]
+            + [
+                f"CASE WHEN bin_no + {d} - bin_no__lag{i} <= {limit} THEN `{c}__lag{i}` END"
+                for i in distances[1:]
+            ]
+        )
+        + f") AS `{c}__{d}`"
         for c in columns
-        for d in range(limit + 1)
-    }
-    carried["next_bin"] = F.lead("bin_no").over(order)
-    wide = halo.withColumns(carried)
-
-    emitted = []
-    for d in range(limit + 1):
-        bin_no = F.col("bin_no") + d
-        keep = in_own_block(bin_no, size)
+        for d in distances
+    ]
+    values = around.selectExpr("machine_id", "block", "bin_no", "next_bin", *carried)
+
+    def kept(d: int) -> str:
+        checks = [f"bin_no + {d} >= block * {size}", f"bin_no + {d} < (block + 1) * {size}"]
         if d:
-            keep &= F.col("next_bin").isNull() | (bin_no < F.col("next_bin"))
+            checks.append(f"(next_bin IS NULL OR bin_no + {d} < next_bin)")
         if drop_incomplete:
-            for c in columns:
-                keep &= F.col(f"{c}__{d}").isNotNull()
-        row = F.struct(
-            bin_no.alias("bin_no"),
-            # Filled bins with nothing behind them in this block are real only if
-            # the machine goes on in a later block.
-            (F.col("next_bin").isNull() if d else F.lit(False)).alias("trailing"),
-            *[F.col(f"{c}__{d}").alias(c) for c in columns],
-        )
-        emitted.append(F.when(keep, row))
-    rows = F.filter(F.array(*emitted), lambda row: row.isNotNull())
+            checks += [f"`{c}__{d}` IS NOT NULL" for c in columns]
+        return f"CASE WHEN {' AND '.join(checks)} THEN 1 ELSE 0 END AS kept__{d}"
 
-    emitting = wide.select(
-        "machine_id",
-        "block",
-        "bin_no",
-        in_own_block(F.col("bin_no"), size).alias("own"),
-        rows.alias("rows"),
-    ).withColumn("row_count", F.size("rows"))
+    emitting = values.selectExpr("*", *[kept(d) for d in distances])
+    row_count = " + ".join(f"kept__{d}" for d in distances)
+    filled_count = " + ".join(["0", *[f"kept__{d}" for d in distances[1:]]])
 
+    # Filled bins with nothing behind them in their block are real only if the machine
+    # goes on in a later block.
     counts = emitting.groupBy("machine_id", "block").agg(
-        F.sum("row_count").alias("all_rows"),
-        F.sum(F.size(F.filter("rows", lambda row: row["trailing"]))).alias("trailing_rows"),
-        F.max(F.when(F.col("own"), F.col("block"))).alias("own_block"),
+        F.expr(f"sum({row_count}) AS all_rows"),
+        F.expr(f"sum(CASE WHEN next_bin IS NULL THEN {filled_count} ELSE 0 END) AS trailing_rows"),
+        F.expr(f"max(CASE WHEN bin_no >= block * {size} THEN block END) AS own_block"),
     )
-    machine = Window.partitionBy("machine_id")
-    before = machine.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block_total = F.col("all_rows") - F.when(
-        F.col("goes_on"), F.lit(0)
-    ).otherwise(F.col("trailing_rows"))
     offsets = (
-        counts.withColumn(
-            "goes_on", F.coalesce(F.col("block") < F.max("own_block").over(machine), F.lit(False))
+        counts.selectExpr(
+            "*",
+            "coalesce(block < max(own_block) OVER (PARTITION BY machine_id), false) AS goes_on",
+        )
+        .selectExpr(
+            "*", "all_rows - CASE WHEN goes_on THEN 0 ELSE trailing_rows END AS block_total"
         )
-        .withColumn("block_total", block_total)
-        .select(
+        .selectExpr(
             "machine_id",
             "block",
             "goes_on",
-            F.coalesce(F.sum("block_total").over(before), F.lit(0)).alias("offset"),
-            F.sum("block_total").over(machine).alias("n"),
+            "coalesce(sum(block_total) OVER (PARTITION BY machine_id ORDER BY block"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset",
+            "sum(block_total) OVER (PARTITION BY machine_id) AS n",
         )
     )
 
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    preceding = (
+        f"coalesce(sum({row_count}) OVER ({order}"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS preceding"
+    )
     placed = (
-        emitting.withColumn(
-            "preceding", F.coalesce(F.sum("row_count").over(earlier), F.lit(0))
-        )
+        emitting.selectExpr("*", preceding)
+        # Merge join: this side is already hash-partitioned and sorted by the key, and
+        # must never be the one that is broadcast, whatever its estimated size.
+        .hint("merge")
         .join(offsets, ["machine_id", "block"])
-        .select(
-            "machine_id",
-            "n",
-            (F.col("offset") + F.col("preceding")).alias("start"),
-            F.posexplode(
-                F.filter("rows", lambda row: F.col("goes_on") | ~row["trailing"])
-            ).alias("slot", "row"),
+        .selectExpr("*", f"explode(sequence(0, {limit})) AS d")
+        .filter(
+            f"{_at('d', [f'kept__{d}' for d in distances])} = 1"
+            " AND (goes_on OR d = 0 OR next_bin IS NOT NULL)"
         )
     )
-    series = placed.select(
+    skipped = [" + ".join(["0", *[f"kept__{e}" for e in range(d)]]) for d in distances]
+    series = placed.selectExpr(
         "machine_id",
-        "row.bin_no",
-        *[F.col("row")[c].alias(c) for c in columns],
-        (F.col("start") + F.col("slot")).alias("rn"),
+        "bin_no + d AS bin_no",
+        *[f"{_at('d', [f'`{c}__{d}`' for d in distances])} AS `{c}`" for c in columns],
+        f"offset + preceding + {_at('d', skipped)} AS rn",
         "n",
     )
     return with_bin_start(series, config)
 
 
+def _at(position: str, values: Sequence[str]) -> str:
+    """SQL for the value at a small position."""
+    cases = " ".join(f"WHEN {i} THEN {value}" for i, value in enumerate(values))
+    return f"CASE {position} {cases} END"
+
+
 def forward_fill(
     bins: DataFrame, config: PipelineConfig, columns: Sequence[str] | None = None
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.config import PipelineConfig
 from gridpulse.operators.blocks import block_order, in_own_block, with_halo
-from gridpulse.operators.scale import apply_scaled, training_rows, wide_scalers
+from gridpulse.operators.scale import apply_scaled, training_rows
 
 
 def is_anchor(config: PipelineConfig) -> Column:
@@ -147,34 +147,51 @@ def short_warning(rows: Column, config: PipelineConfig) -> Column:
     )
 
 
+def split_rows(config: PipelineConfig, split: str | None, back: int, ahead: int) -> Column:
+    """Rows that the frames of a split's windows touch; with no split, all rows."""
+    if split is None:
+        return F.lit(True)
+    windows = f"(n - {config.window_length - 1})"
+    train_end = f"floor({windows} * {float(config.train_ratio)!r}D)"
+    val_end = f"({train_end} + floor({windows} * {float(config.val_ratio)!r}D))"
+    first, end = {
+        "train": ("0", train_end), "val": (train_end, val_end), "test": (val_end, windows),
+    }[split]
+    offset = config.sequence_length - 1
+    return F.expr(f"rn >= {first} + {offset - back} AND rn < {end} + {offset + ahead}")
+
+
 def scaled_blocks(
     series: DataFrame,
     columns: Sequence[str],
     config: PipelineConfig,
     back: int,
     ahead: int,
+    split: str | None = None,
 ) -> DataFrame:
     """Series cut into blocks with halo, its columns scaled by the training rows.
 
+    With ``split``, only the rows its windows need are cut and shuffled.
+
     Scalers are repeated once per block, so the join uses the same (machine, block)
     key as the windows behind it: one shuffle of the series, and a machine holding
     most rows spreads over all its blocks.
     """
     size = config.block_rows
     long_enough = reject_short(series, config)
-    halo = with_halo(
-        long_enough.select("machine_id", "rn", "n", *columns), "rn", size, back, ahead
-    )
-    lengths = [F.max("n").alias("last_n")]
+    needed = long_enough.filter(split_rows(config, split, back, ahead))
+    halo = with_halo(needed.select("machine_id", "rn", "n", *columns), "rn", size, back, ahead)
     wide = training_rows(long_enough, config).groupBy("machine_id").agg(
-        *lengths,
+        F.max("n").alias("last_n"),
         *[F.min(c).alias(f"{c}__min") for c in columns],
         *[F.max(c).alias(f"{c}__max") for c in columns],
     )
     per_block = wide.withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last_n") - 1) / size)))
     ).drop("last_n")
-    joined = halo.join(per_block, ["machine_id", "block"])
+    # A merge join shuffles and sorts the series just as the windows behind it need;
+    # the series itself must never be broadcast on a low size estimate.
+    joined = halo.hint("merge").join(per_block, ["machine_id", "block"])
     return apply_scaled(joined, columns).drop(
         *[f"{c}__{side}" for c in columns for side in ("min", "max")]
     )
@@ -193,18 +210,23 @@ def array_windows(
     x = F.collect_list(F.array(*features)).over(order.rowsBetween(-(s - 1), 0))
     y = F.collect_list(F.array(*targets)).over(order.rowsBetween(1, h))
     framed = blocks.withColumns({"x": x, "y": y}).filter(
-        in_own_block(F.col("rn"), config.block_rows)
+        in_own_block("rn", config.block_rows)
     )
     return sliding_windows(framed, config).select("machine_id", "window_idx", "split", "x", "y")
 
 
 def raw_blocks(
-    series: DataFrame, columns: Sequence[str], config: PipelineConfig, back: int, ahead: int
+    series: DataFrame,
+    columns: Sequence[str],
+    config: PipelineConfig,
+    back: int,
+    ahead: int,
+    split: str | None = None,
 ) -> DataFrame:
     """As ``scaled_blocks``, in real units."""
+    needed = reject_short(series, config).filter(split_rows(config, split, back, ahead))
     return with_halo(
-        reject_short(series, config).select("machine_id", "rn", "n", *columns),
-        "rn", config.block_rows, back, ahead,
+        needed.select("machine_id", "rn", "n", *columns), "rn", config.block_rows, back, ahead
     )
 
 
