@@ -718,6 +718,27 @@ def e9_latest_window(spark, sf_dir):
     return rounded(latest.select("machine_id", "step", "bin", *FEATURES))
 
 
+@query(
+    "e9_latest_stored_forecast",
+    f"""{q.series('users')}, ahead AS (SELECT machine_id, avg(cpu_usage) AS cpu_usage, avg(memory_usage) AS memory_usage
+  FROM latest WHERE step >= 48 GROUP BY 1)
+SELECT machine_id, unnest(generate_series(0, 11))::INT AS step, {_round_list(TARGETS)} FROM ahead""",
+)
+def e9_latest_stored_forecast(spark, sf_dir):
+    """Scaled windows and scalers written, read back, latest one scored and unscaled."""
+    series = _users(spark, sf_dir)
+    stored, bounds = scratch_folder(spark, "windows"), scratch_folder(spark, "scalers")
+    blocks = windows.scaled_blocks(series, FEATURES, USERS, back=59, ahead=12)
+    tables.write_windows(windows.array_windows(blocks, FEATURES, TARGETS, USERS), stored)
+    tables.write_scalers(scale.fit_minmax(series, FEATURES, USERS), bounds)
+    return rounded(
+        pipeline.forecast_stored(
+            tables.read_windows(spark, stored), tables.read_scalers(spark, bounds), TARGETS,
+            forecast.MovingAverage(),
+        )
+    )
+
+
 @query(
     "e10_history",
     f"{q.series('users')} SELECT machine_id, step - 40 AS step, bin, {_round_list(FEATURES)} FROM latest WHERE step >= 40",

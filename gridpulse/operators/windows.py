@@ -85,6 +85,13 @@ def latest_window(series: DataFrame, config: PipelineConfig) -> DataFrame:
     )
 
 
+def latest_stored(windows: DataFrame) -> DataFrame:
+    """Latest of each machine's stored windows; splits are in time order."""
+    rest = [c for c in windows.columns if c != "machine_id"]
+    latest = F.max_by(F.struct(*rest), F.col("window_idx")).alias("window")
+    return windows.groupBy("machine_id").agg(latest).select("machine_id", "window.*")
+
+
 def window_counts(series: DataFrame, config: PipelineConfig) -> DataFrame:
     """Windows per split and machine, from the series length alone."""
     total = F.col("n") - (config.window_length - 1)
@@ -168,10 +175,12 @@ def scaled_blocks(
     back: int,
     ahead: int,
     split: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Series cut into blocks with halo, its columns scaled by the training rows.
 
-    With ``split``, only the rows its windows need are cut and shuffled.
+    With ``split``, only the rows its windows need are cut and shuffled; ``keep`` names
+    further columns to carry unscaled. Without overlap every row appears once.
 
     Scalers are repeated once per block, so the join uses the same (machine, block)
     key as the windows behind it: one shuffle of the series, and a machine holding
@@ -180,7 +189,8 @@ def scaled_blocks(
     size = config.block_rows
     long_enough = reject_short(series, config)
     needed = long_enough.filter(split_rows(config, split, back, ahead))
-    halo = with_halo(needed.select("machine_id", "rn", "n", *columns), "rn", size, back, ahead)
+    carried = needed.select("machine_id", "rn", "n", *keep, *columns)
+    halo = with_halo(carried, "rn", size, back, ahead)
     wide = training_rows(long_enough, config).groupBy("machine_id").agg(
         F.max("n").alias("last_n"),
         *[F.min(c).alias(f"{c}__min") for c in columns],
@@ -230,6 +240,7 @@ def raw_blocks(
     )
 
 
+# Called for every block with (machine_id, window indexes, n, X, Y).
 WindowFunction = Callable[[str, np.ndarray, int, np.ndarray, np.ndarray], Iterator[pd.DataFrame]]
 
 
@@ -244,8 +255,8 @@ def map_windows(
     """Run a numpy function over all windows of each block.
 
     Rows cross to Python once; the windows are strided views there, never copies in
-    the exchange. ``make`` builds, per partition, a function called with
-    (machine_id, window indexes, n, X, Y) for every block and one called at the end.
+    the exchange. ``make`` builds, per partition, a function called for every block and
+    one called at the end.
     """
     s, length, size = config.sequence_length, config.window_length, config.block_rows
     columns = list(features) + [t for t in targets if t not in features]

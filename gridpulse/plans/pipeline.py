@@ -14,14 +14,15 @@ from gridpulse.operators.forecast import Forecaster, MovingAverage, moving_avera
 from gridpulse.operators.resample import regular_series
 from gridpulse.operators.rollup import clip_rollup, restrict_to, rollup_machine
 from gridpulse.operators.scale import (
-    apply_unscaled,
     fit_minmax,
+    inverse_targets,
     minmax_transform,
-    with_scaler,
 )
 from gridpulse.operators.windows import (
+    latest_stored,
     latest_window,
     reject_short,
+    scaled_blocks,
     skipped_machines,
     sliding_windows,
 )
@@ -63,9 +64,8 @@ def prepare(telemetry: DataFrame, config: PipelineConfig) -> Prepared:
     """Resample, scale by the training rows, window and split all machines at once."""
     features, targets, columns = select_features(numeric_columns(telemetry), config)
     series = regular_series(telemetry, config)
-    usable = reject_short(series, config)
-    scalers = fit_minmax(usable, columns, config)
-    scaled = minmax_transform(usable, scalers, columns)
+    scalers = fit_minmax(reject_short(series, config), columns, config)
+    scaled = scaled_blocks(series, columns, config, back=0, ahead=0, keep=["bin"]).drop("block")
     return Prepared(
         series=series,
         scaled=scaled,
@@ -100,13 +100,26 @@ def forecast_fleet(
     model = model or MovingAverage(config.horizon)
     if isinstance(model, MovingAverage):
         return moving_average(latest_window(series, config), config, targets, model.window)
-    scored = score(latest_arrays(series, config, features), model)
+    scalers = fit_minmax(reject_short(series, config), targets, config)
+    return _unscaled_forecast(latest_arrays(series, config, features), scalers, targets, model)
+
+
+def forecast_stored(
+    stored: DataFrame, scalers: DataFrame, targets: Sequence[str], model: Forecaster
+) -> DataFrame:
+    """Forecast of every machine from its stored windows ``x`` and scalers."""
+    latest = latest_stored(stored).select("machine_id", "x")
+    return _unscaled_forecast(latest, scalers, targets, model)
+
+
+def _unscaled_forecast(
+    latest: DataFrame, scalers: DataFrame, targets: Sequence[str], model: Forecaster
+) -> DataFrame:
+    scored = score(latest, model)
     long = scored.select("machine_id", F.posexplode("forecast").alias("step", "row")).select(
         "machine_id", "step", *[F.col("row")[i].alias(t) for i, t in enumerate(targets)]
     )
-    scalers = fit_minmax(reject_short(series, config), targets, config)
-    bounded = with_scaler(long, scalers, targets)
-    return apply_unscaled(bounded, {t: t for t in targets}).select("machine_id", "step", *targets)
+    return inverse_targets(long, scalers, targets)
 
 
 def forecast_with_history(
