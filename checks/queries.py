@@ -1021,6 +1021,20 @@ def g11_forecast_upload(spark, sf_dir):
     return rounded(upload.forecast_upload(text_telemetry(spark, sf_dir), EVENTS).points)
 
 
+@query(
+    "g11_forecast_upload_unnamed",
+    f"""WITH {_COERCED}, usable AS (SELECT * FROM typed WHERE cpu_usage IS NOT NULL AND memory_usage IS NOT NULL),
+  tail AS (SELECT *, row_number() OVER (ORDER BY row_order DESC) AS back FROM usable QUALIFY back <= 60)
+SELECT 'uploaded' AS machine_id, 'history' AS kind, (60 - back)::INT AS step, {_round_list(FEATURES)} FROM tail
+UNION ALL SELECT 'uploaded', 'forecast', unnest(generate_series(0, 11))::INT, {q.r('c')}, {q.r('m')}, NULL
+FROM (SELECT avg(cpu_usage) AS c, avg(memory_usage) AS m FROM tail WHERE back <= 12)""",
+)
+def g11_forecast_upload_unnamed(spark, sf_dir):
+    """The whole table as one machine without an id."""
+    telemetry = text_telemetry(spark, sf_dir).drop("machine_id")
+    return rounded(upload.forecast_upload(telemetry, EVENTS).points)
+
+
 # ---------------------------------------------------------------- evaluation
 
 

@@ -127,10 +127,17 @@ def history(series: DataFrame, config: PipelineConfig, steps: int = 60) -> DataF
 def last_rows(df: DataFrame, count: int, order_by: str = "row_order") -> DataFrame:
     """Last ``count`` rows per machine in file order; ``back`` is 1 for the very last.
 
-    Spark keeps at most ``count`` rows per machine on the map side before shuffling.
+    Spark keeps at most ``count`` rows per machine on the map side before shuffling. A
+    table without ``machine_id`` is one machine: its rows are cut by a top-k, since a
+    window over a constant key would gather the whole table in one task.
     """
-    latest = Window.partitionBy("machine_id").orderBy(F.desc(order_by))
-    return df.withColumn("back", F.row_number().over(latest)).filter(F.col("back") <= count)
+    latest = F.desc(order_by)
+    if "machine_id" in df.columns:
+        order = Window.partitionBy("machine_id").orderBy(latest)
+    else:
+        df = df.orderBy(latest).limit(count)
+        order = Window.orderBy(latest)
+    return df.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= count)
 
 
 def enough_rows(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.config import PipelineConfig
 from gridpulse.operators.clean import (
+    DEFAULT_MACHINE,
     REQUIRED_TELEMETRY,
     coerce_numeric,
     default_machine,
@@ -89,7 +90,13 @@ def forecast_upload(
         "machine_id", "num_input_rows", F.array_compact(F.array(*notes)).alias("warnings")
     )
 
-    tail = last_rows(flagged.filter("usable"), s, order_by)
+    valid_rows = flagged.filter("usable")
+    if "machine_id" in telemetry.columns:
+        tail = last_rows(valid_rows, s, order_by)
+    else:
+        tail = last_rows(valid_rows.drop("machine_id"), s, order_by).withColumn(
+            "machine_id", F.lit(DEFAULT_MACHINE)
+        )
     # A full window is told by its own size, so the counts need not be joined.
     windows = (
         tail.groupBy("machine_id")
