@@ -192,6 +192,16 @@ def a6_a7_windows_round_trip(spark, sf_dir):
     )
 
 
+@query(
+    "a7_series_round_trip",
+    f"{q.series('users')} SELECT machine_id, bin, rn, n, {_round_list(q.columns('users'))} FROM series",
+)
+def a7_series_round_trip(spark, sf_dir):
+    path = scratch_folder(spark, "series")
+    tables.write_series(_users(spark, sf_dir), path)
+    return rounded(tables.read_series(spark, path).drop("bin_no"))
+
+
 _LONG_BOUNDS = " UNION ALL ".join(
     f"SELECT machine_id, '{c}' AS \"column\", {q.r(c + '_lo')} AS data_min, {q.r(c + '_hi')} AS data_max FROM bounds"
     for c in FEATURES

@@ -133,6 +133,9 @@ def forecast_with_history(
 
     History carries all features; a forecast carries the targets, the rest is NULL.
     """
+    model = model or MovingAverage(config.horizon)
+    if isinstance(model, MovingAverage):
+        return _average_with_history(series, config, features, targets, model.window)
     past = latest_window(series, config).select(
         "machine_id", F.lit("history").alias("kind"), "step", *features
     )
@@ -143,3 +146,43 @@ def forecast_with_history(
     return past.unionByName(
         ahead.select("machine_id", F.lit("forecast").alias("kind"), "step", *values)
     )
+
+
+def _average_with_history(
+    series: DataFrame,
+    config: PipelineConfig,
+    features: Sequence[str],
+    targets: Sequence[str],
+    window: int,
+) -> DataFrame:
+    """Moving-average points in one pass over the series.
+
+    Only latest windows are shuffled, at most S rows per machine; the last row of each
+    emits the forecast behind itself.
+    """
+    last = config.sequence_length - 1
+    latest = latest_window(series, config).selectExpr(
+        "machine_id",
+        "step",
+        *[f"`{c}`" for c in features],
+        *[
+            f"avg(CASE WHEN step > {last - window} THEN `{t}` END)"
+            f" OVER (PARTITION BY machine_id) AS `{t}__mean`"
+            for t in targets
+        ],
+    )
+    emitted = latest.selectExpr(
+        "*",
+        f"explode(CASE WHEN step = {last} THEN sequence(-1, {config.horizon - 1})"
+        " ELSE array(-1) END) AS ahead",
+    )
+    return emitted.selectExpr(
+        "machine_id",
+        "CASE WHEN ahead < 0 THEN 'history' ELSE 'forecast' END AS kind",
+        "CASE WHEN ahead < 0 THEN step ELSE ahead END AS step",
+        *[
+            f"CASE WHEN ahead < 0 THEN `{c}` {f'ELSE `{c}__mean`' if c in targets else ''} END"
+            f" AS `{c}`"
+            for c in features
+        ],
+    )

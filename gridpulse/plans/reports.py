@@ -32,10 +32,10 @@ OVERLOAD_ALERT_ABOVE = 30.0
 
 def known_machines(series: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested ids, each with whether the fleet has it."""
-    fleet = series.filter(F.col("rn") == 0).select("machine_id")
-    known = requested.join(fleet, "machine_id", "left_semi").withColumn("known", F.lit(True))
-    unknown = requested.join(fleet, "machine_id", "left_anti").withColumn("known", F.lit(False))
-    return known.unionByName(unknown)
+    fleet = series.filter(F.col("rn") == 0).select("machine_id", F.lit(True).alias("known"))
+    return requested.join(fleet, "machine_id", "left").withColumn(
+        "known", F.coalesce("known", F.lit(False))
+    )
 
 
 def require_machine(series: DataFrame, machine_id: str) -> DataFrame:
@@ -171,28 +171,31 @@ def utilization_series(points: DataFrame) -> DataFrame:
 
     ``position`` orders the rows of a machine.
     """
-    past = points.filter(F.col("kind") == "history").withColumn("offset", _history_offset())
-    empty = F.lit(None).cast("double")
-    values = past.select(
-        "machine_id", F.col("offset").alias("position"), step_label(F.col("offset")).alias("time"),
-        _zero("cpu_usage").alias("value"), empty.alias("forecast"), F.lit(0).alias("part"),
+    by_machine = "OVER (PARTITION BY machine_id)"
+    placed = points.selectExpr(
+        "machine_id",
+        "kind = 'forecast' AS ahead",
+        "coalesce(cpu_usage, 0D) AS cpu",
+        # A machine has one window of history: its largest step is now.
+        "CASE WHEN kind = 'forecast' THEN step + 1"
+        f" ELSE step - max(CASE WHEN kind = 'history' THEN step END) {by_machine} END AS position",
+        f"bool_or(kind = 'forecast') {by_machine} AS has_forecast",
     )
-    ahead = points.filter(F.col("kind") == "forecast")
-    anchor = (
-        past.filter(F.col("offset") == 0)
-        .join(ahead.filter(F.col("step") == 0), "machine_id", "left_semi")
-        .select(
-            "machine_id", F.col("offset").alias("position"),
-            step_label(F.col("offset")).alias("time"), empty.alias("value"),
-            _zero("cpu_usage").alias("forecast"), F.lit(1).alias("part"),
-        )
+    rows = placed.selectExpr(
+        "machine_id",
+        "position",
+        "cpu",
+        "explode(CASE WHEN ahead THEN array(1)"
+        " WHEN position = 0 AND has_forecast THEN array(0, 1) ELSE array(0) END) AS part",
     )
-    future = ahead.select(
-        "machine_id", (F.col("step") + 1).alias("position"),
-        step_label(F.col("step") + 1).alias("time"), empty.alias("value"),
-        _zero("cpu_usage").alias("forecast"), F.lit(1).alias("part"),
+    return rows.select(
+        "machine_id",
+        "position",
+        step_label(F.col("position")).alias("time"),
+        F.expr("CASE WHEN part = 0 THEN cpu END").alias("value"),
+        F.expr("CASE WHEN part = 1 THEN cpu END").alias("forecast"),
+        "part",
     )
-    return values.unionByName(anchor).unionByName(future)
 
 
 def memory_series(points: DataFrame) -> DataFrame:

@@ -47,6 +47,27 @@ def read_windows(
     return df
 
 
+def write_series(series: DataFrame, path: str, mode: str = "error") -> None:
+    """The numbered series, so that reports need not build it again.
+
+    Range-partitioned by machine and position: a long series is cut into several
+    files, and file statistics prune by machine.
+    """
+    (
+        series.repartitionByRange("machine_id", "rn")
+        .sortWithinPartitions("machine_id", "rn")
+        .write.mode(mode)
+        .parquet(path)
+    )
+
+
+def read_series(
+    spark: SparkSession, path: str, machine_ids: Sequence[str] | None = None
+) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df if machine_ids is None else df.filter(F.col("machine_id").isin(*machine_ids))
+
+
 def write_scalers(scalers: DataFrame, path: str, mode: str = "error") -> None:
     scalers.write.mode(mode).parquet(path)
 
