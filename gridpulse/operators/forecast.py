@@ -14,6 +14,7 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -349,7 +350,7 @@ def linear_fit(
 
         def finish():
             if used[0]:
-                yield pd.DataFrame({"entries": [total.ravel().tolist()]})
+                yield pa.RecordBatch.from_pydict({"entries": [total.ravel()]})
 
         return each, finish
 
@@ -396,16 +397,19 @@ def model_predictions(
     count = h * len(targets)
 
     def make():
+        def lists(values):
+            ends = np.arange(0, values.size + 1, count, dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
         def each(machine_id, index, n, x, y):
-            truth = y.reshape(len(y), count)
-            guess = np.asarray(predict(x)).reshape(len(x), count)
-            yield pd.DataFrame(
+            guess = np.asarray(predict(x), dtype=float).reshape(len(x), count)
+            yield pa.RecordBatch.from_pydict(
                 {
-                    "machine_id": machine_id,
-                    "window_idx": index,
-                    "n": n,
-                    "y_true": truth.tolist(),
-                    "y_pred": guess.tolist(),
+                    "machine_id": [machine_id] * len(x),
+                    "window_idx": pa.array(index, pa.int64()),
+                    "n": pa.array(np.full(len(x), n), pa.int64()),
+                    "y_true": lists(y.reshape(len(y), count)),
+                    "y_pred": lists(guess),
                 }
             )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,7 +248,9 @@ def raw_blocks(
 
 
 # Called for every block with (machine_id, window indexes, n, X, Y).
-WindowFunction = Callable[[str, np.ndarray, int, np.ndarray, np.ndarray], Iterator[pd.DataFrame]]
+WindowFunction = Callable[
+    [str, np.ndarray, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]
+]
 
 
 def map_windows(
@@ -256,57 +258,66 @@ def map_windows(
     features: Sequence[str],
     targets: Sequence[str],
     config: PipelineConfig,
-    make: Callable[[], tuple[WindowFunction, Callable[[], Iterator[pd.DataFrame]]]],
+    make: Callable[[], tuple[WindowFunction, Callable[[], Iterator[pa.RecordBatch]]]],
     schema: str,
 ) -> DataFrame:
     """Run a numpy function over all windows of each block.
 
-    Rows cross to Python once; the windows are strided views there, never copies in
-    the exchange. ``make`` builds, per partition, a function called for every block and
-    one called at the end.
+    Rows cross to Python once, as Arrow batches; the windows are strided views there,
+    never copies in the exchange. ``make`` builds, per partition, a function called for
+    every block and one called at the end.
     """
     s, length, size = config.sequence_length, config.window_length, config.block_rows
     columns = list(features) + [t for t in targets if t not in features]
     feature_at = [columns.index(c) for c in features]
     target_at = [columns.index(c) for c in targets]
+    width = len(columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, finish = make()
 
-        def block(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if len(part) < length:
+        def block(machine: str, number: int, n: int, rn: np.ndarray, values: np.ndarray):
+            if len(rn) < length:
                 return
-            values = part[columns].to_numpy(dtype=float)
-            views = np.lib.stride_tricks.sliding_window_view(values, length, axis=0)
-            anchors = part["rn"].to_numpy()[s - 1 : s - 1 + len(views)]
-            own = anchors // size == part["block"].iat[0]
-            if not own.any():
-                return
-            views = views[own].transpose(0, 2, 1)
-            yield from each(
-                part["machine_id"].iat[0],
-                anchors[own] - (s - 1),
-                int(part["n"].iat[0]),
-                views[:, :s, feature_at],
-                views[:, s:, target_at],
-            )
+            anchors = rn[s - 1 : len(rn) - (length - s)]
+            own = anchors // size == number
+            if own.any():
+                views = np.lib.stride_tricks.sliding_window_view(values, length, axis=0)
+                views = views[own].transpose(0, 2, 1)
+                yield from each(
+                    machine, anchors[own] - (s - 1), n,
+                    views[:, :s, feature_at], views[:, s:, target_at],
+                )
+
+        # Rows arrive sorted; a block may go on in the next batch.
+        key, rest_rn, rest = None, [], []
+
+        def close():
+            if key is not None:
+                yield from block(*key, np.concatenate(rest_rn), np.concatenate(rest))
 
-        pending = None
         for batch in batches:
-            part = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
-            machine, number = part["machine_id"].to_numpy(), part["block"].to_numpy()
-            cuts = np.flatnonzero((machine[1:] != machine[:-1]) | (number[1:] != number[:-1])) + 1
-            starts = [0, *cuts.tolist()]
+            if not batch.num_rows:
+                continue
+            machine, number, n, rn, *data = (
+                column.to_numpy(zero_copy_only=False) for column in batch.columns
+            )
+            values = np.column_stack([d.astype(float) for d in data]).reshape(-1, width)
+            changed = (machine[1:] != machine[:-1]) | (number[1:] != number[:-1])
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(rn)]
             for begin, end in zip(starts, starts[1:]):
-                yield from block(part.iloc[begin:end])
-            pending = part.iloc[starts[-1] :]
-        if pending is not None and len(pending):
-            yield from block(pending)
+                found = (machine[begin], int(number[begin]), int(n[begin]))
+                if found != key:
+                    yield from close()
+                    key, rest_rn, rest = found, [], []
+                rest_rn.append(rn[begin:end])
+                rest.append(values[begin:end])
+        yield from close()
         yield from finish()
 
     return (
-        blocks.select("machine_id", "block", "rn", "n", *columns)
+        blocks.select("machine_id", "block", "n", "rn", *columns)
         .repartition("machine_id", "block")
         .sortWithinPartitions("machine_id", "block", "rn")
-        .mapInPandas(run, schema)
+        .mapInArrow(run, schema)
     )
