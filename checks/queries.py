@@ -236,7 +236,7 @@ UNION ALL SELECT model, 'per_target', target, NULL, {q.r(mae)}, {q.r(rmse)}, {q.
   {only_cpu('sum(tp) + sum(fn)', 'total_overload_events', 'BIGINT')},
   {only_cpu('sum(tp) + sum(fp)', 'predicted_overload_events', 'BIGINT')}
 FROM sums GROUP BY model, target
-UNION ALL SELECT model, 'per_horizon', NULL, step, {q.r(mae, 4)}, {q.r(rmse, 4)}, NULL, {none}
+UNION ALL SELECT model, 'per_horizon', NULL, step, {q.nearest(mae, 4)}, {q.nearest(rmse, 4)}, NULL, {none}
 FROM sums GROUP BY model, step"""
 
 
@@ -1084,8 +1084,8 @@ def h4_overload(spark, sf_dir):
 
 @query(
     "h5_per_horizon",
-    f"""{q.predictions('events')}, {q.errors('model, step')} SELECT model, step, {q.r('a / c', 4)} AS mae,
-{q.r('sqrt(s / c)', 4)} AS rmse FROM sums""",
+    f"""{q.predictions('events')}, {q.errors('model, step')} SELECT model, step, {q.nearest('a / c', 4)} AS mae,
+{q.nearest('sqrt(s / c)', 4)} AS rmse FROM sums""",
 )
 def h5_per_horizon(spark, sf_dir):
     return evaluate.per_horizon(_predictions(spark, sf_dir))
@@ -1364,8 +1364,8 @@ def j13_cluster_heatmap(spark, sf_dir):
     f"""WITH daily AS (SELECT event_type, ts::DATE AS day, avg(value) AS loss, avg({q.K}) AS other FROM events GROUP BY 1, 2),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS epoch,
     count(*) OVER (PARTITION BY event_type) AS days FROM daily)
-SELECT 'moving_avg_' || event_type AS name, epoch::INT AS epoch, {q.r('loss', 4)} AS train,
-  {q.r('CASE WHEN epoch <= days - 10 THEN other ELSE 0 END', 4)} AS val FROM numbered""",
+SELECT 'moving_avg_' || event_type AS name, epoch::INT AS epoch, {q.nearest_up('loss')} AS train,
+  {q.nearest_up('CASE WHEN epoch <= days - 10 THEN other ELSE 0 END')} AS val FROM numbered""",
 )
 def j14_training_history(spark, sf_dir):
     return models.training_history(_history_table(spark, sf_dir))

@@ -11,8 +11,18 @@ def r(expression: str, digits: int = 6) -> str:
 
 
 def tenth(expression: str) -> str:
-    """Nearest tenth of the binary value, exact ties to even."""
-    return f"(format('{{:.1f}}', {expression})::DOUBLE + 0.0)"
+    return nearest(expression, 1)
+
+
+def nearest(expression: str, digits: int) -> str:
+    """Decimal nearest to the binary value, exact ties to even."""
+    return f"(format('{{:.{digits}f}}', {expression})::DOUBLE + 0.0)"
+
+
+def nearest_up(expression: str) -> str:
+    """Four digits, exact ties (multiples of 1/32) up."""
+    return f"""CASE WHEN ({expression}) * 32 = floor(({expression}) * 32)
+      THEN floor(({expression}) * 10000 + 0.5) / 10000 ELSE {nearest(expression, 4)} END"""
 
 
 def four(expression: str) -> str:

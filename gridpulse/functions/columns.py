@@ -55,19 +55,32 @@ def clip(value: Column, low: float, high: float) -> Column:
     )
 
 
-def round_tenth(value: Column) -> Column:
-    """The tenth nearest to the binary value, exact ties to even.
+_SPLITTER = 134217729.0  # 2**27 + 1 cuts a double into two halves of 26 bits
+
+
+def round_nearest(value: Column, digits: int, ties_to_even: bool = True) -> Column:
+    """The decimal nearest to the binary value; exact ties to even or away from zero.
 
     ``F.round`` rounds the shortest decimal text half up, which differs at about half
-    of all values written with a final 5 (2.25, 0.35). Here twenty times the value is
-    held exactly as ``near + rest``; a value is between two tenths just where that is
-    an odd number, and ``rest`` then tells on which side it lies.
+    of all values written with a final 5 (2.25, 0.35). Here the value times twice the
+    power of ten is held exactly as ``near + rest``; a value is between two results
+    just where that is an odd number, and ``rest`` tells on which side it lies.
     """
-    large, small = value * 16.0, value * 4.0
-    near = large + small
-    rest = small - (near - large)
-    between = (F.pmod(near, F.lit(2.0)) == 1.0) & (rest != 0.0)
-    return F.when(between, (near + F.signum(rest)) / 2.0).otherwise(F.rint(near / 2.0)) / 10.0
+    twice = 2.0 * 10**digits
+    split = value * _SPLITTER
+    high = split - (split - value)
+    near = value * twice
+    rest = (high * twice - near) + (value - high) * twice
+    between = (F.abs(near) % 2.0 == 1.0) & (rest != 0.0)
+    if ties_to_even:
+        plain = F.rint(near / 2.0)
+    else:
+        plain = F.signum(near) * F.floor(F.abs(near) / 2.0 + 0.5)
+    return F.when(between, (near + F.signum(rest)) / 2.0).otherwise(plain) / 10.0**digits
+
+
+def round_tenth(value: Column) -> Column:
+    return round_nearest(value, 1)
 
 
 def is_numeric(data_type: T.DataType) -> bool:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.functions.columns import round_nearest
+
 # Guard of the percentage error and the overload threshold.
 MAPE_EPSILON = 1e-8
 OVERLOAD_THRESHOLD = 0.8
@@ -116,7 +118,7 @@ def per_horizon(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataF
     """MAE and RMSE per step, counted from 1."""
     keys = [*by, "step"]
     return error_sums(predictions, keys).select(
-        *keys, F.round(mae_of(), 4).alias("mae"), F.round(rmse_of(), 4).alias("rmse")
+        *keys, round_nearest(mae_of(), 4).alias("mae"), round_nearest(rmse_of(), 4).alias("rmse")
     )
 
 
@@ -160,8 +162,8 @@ def evaluate_all(
         measured,
         [
             *keys,
-            F.when(horizon, F.round(mae_of(), 4)).otherwise(mae_of()).alias("mae"),
-            F.when(horizon, F.round(rmse_of(), 4)).otherwise(rmse_of()).alias("rmse"),
+            F.when(horizon, round_nearest(mae_of(), 4)).otherwise(mae_of()).alias("mae"),
+            F.when(horizon, round_nearest(rmse_of(), 4)).otherwise(rmse_of()).alias("rmse"),
             F.when(~horizon, mape_of()).alias("mape"),
         ],
     ).withColumns({c: F.when(flagged, F.col(c)) for c in OVERLOAD_COLUMNS})

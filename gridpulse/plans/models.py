@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridpulse.functions.columns import round_nearest
 from gridpulse.operators.forecast import Forecaster, Linear, MovingAverage, UnknownModelError
 
 # Name prefix -> kind of model.
@@ -110,10 +111,16 @@ def training_history(history: DataFrame) -> DataFrame:
     return (
         history.select("name", F.posexplode(zipped).alias("at", "loss"))
         .filter(F.col("loss.train_loss").isNotNull())
+        .select(
+            "name",
+            "at",
+            F.col("loss.train_loss").alias("train"),
+            F.coalesce("loss.val_loss", F.lit(0.0)).alias("val"),
+        )
         .select(
             "name",
             (F.col("at") + 1).alias("epoch"),
-            F.round("loss.train_loss", 4).alias("train"),
-            F.round(F.coalesce(F.col("loss.val_loss"), F.lit(0.0)), 4).alias("val"),
+            round_nearest(F.col("train"), 4, ties_to_even=False).alias("train"),
+            round_nearest(F.col("val"), 4, ties_to_even=False).alias("val"),
         )
     )

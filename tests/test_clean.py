@@ -1,13 +1,14 @@
 """Cleaning, schema resolution and the scalar functions."""
 
 import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.config import PipelineConfig
 from gridpulse.functions import derive
-from gridpulse.functions.columns import round_tenth, to_number
+from gridpulse.functions.columns import round_nearest, to_number
 from gridpulse.operators import clean, rollup
 
 USAGE = (
@@ -129,12 +130,18 @@ def test_interval_must_divide_a_day():
         PipelineConfig(interval_seconds=420)
 
 
-def test_tenths_round_like_the_binary_value(spark):
-    values = [2.25, 0.35, 2.45, 446.04999999999995, 0.05, 0.15, -0.25, 44.65, 99.95, 1e9 + 0.25]
+@pytest.mark.parametrize("digits", [1, 4])
+def test_rounding_follows_the_binary_value(spark, digits):
+    values = [2.25, 0.35, 2.45, 446.04999999999995, 0.05, -0.25, 44.65, 1e9 + 0.25, 38.37875, 0.03125]
     values += [i * 0.4 + 40 for i in range(500)] + [80 + i * 0.01 * 2.5 for i in range(2000)]
+    values += [-i * 0.00005 for i in range(2000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = df.select("v", round_tenth(F.col("v")).alias("r")).collect()
-    assert all(r.r == round(r.v, 1) for r in got)
+    got = df.select("v", round_nearest(F.col("v"), digits).alias("r")).collect()
+    assert all(r.r == round(r.v, digits) for r in got)
+    away = df.select("v", round_nearest(F.col("v"), digits, ties_to_even=False).alias("r"))
+    for r in away.collect():
+        exact = Decimal(r.v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)
+        assert r.r == float(exact)
 
 
 def test_derived_values(spark):
