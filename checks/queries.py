@@ -89,8 +89,8 @@ def _points(spark, sf_dir):
     return pipeline.forecast_with_history(_users(spark, sf_dir), USERS, FEATURES, TARGETS)
 
 
-def _overview(spark, sf_dir):
-    return reports.machine_overview(_users(spark, sf_dir), USERS)
+def _states(spark, sf_dir):
+    return reports.machine_states(_users(spark, sf_dir), USERS)
 
 
 def _predictions(spark, sf_dir, widths=(12,), split=None):
@@ -480,7 +480,7 @@ def _overview_sql(kind: str) -> str:
     f"{_overview_sql('users')} SELECT {q.r('coalesce(avg(latest_cpu), 0.0)')} AS avg_cluster_cpu FROM overview",
 )
 def c8_cluster_average(spark, sf_dir):
-    return rounded(reports.cluster_average(_overview(spark, sf_dir)))
+    return rounded(reports.cluster_average(_states(spark, sf_dir)))
 
 
 @query(
@@ -491,7 +491,7 @@ def c8_cluster_average(spark, sf_dir):
 {q.r('avg(latest_temperature)')} AS avg_temperature FROM overview""",
 )
 def c9_fleet_kpis(spark, sf_dir):
-    return rounded(reports.fleet_kpis(_overview(spark, sf_dir), selected="1"))
+    return rounded(reports.fleet_kpis(_states(spark, sf_dir), selected="1"))
 
 
 _POINTS = f"""{q.series('users')},
@@ -1199,8 +1199,8 @@ latest_temperature, latest_power, latest_jobs, status"""
 
 
 @query("j1_machine_overview", f"{_overview_sql('users')} SELECT {_OVERVIEW_COLUMNS} FROM overview ORDER BY id")
-def j1_machine_overview(spark, sf_dir):
-    return rounded(_overview(spark, sf_dir))
+def j1_machine_states(spark, sf_dir):
+    return rounded(reports.machine_overview(_users(spark, sf_dir), USERS))
 
 
 @query(
@@ -1230,7 +1230,7 @@ def j1_machine_overview_lines(spark, sf_dir):
     f"{_overview_sql('users')}, averages AS (SELECT coalesce(avg(latest_cpu), 0.0) AS a FROM overview) {_workload_sql('a')}",
 )
 def j2_workload(spark, sf_dir):
-    return reports.workload(_overview(spark, sf_dir))
+    return reports.workload(_states(spark, sf_dir))
 
 
 _AUGMENTED = f"""{q.tenth('40.0::DOUBLE + cpu_usage * 0.4::DOUBLE')} AS temperature,
@@ -1356,7 +1356,7 @@ coalesce(latest_jobs, 0) AS jobs, coalesce(latest_temperature, 0) AS temperature
 upper(status) AS band FROM overview""",
 )
 def j13_cluster_heatmap(spark, sf_dir):
-    return rounded(reports.cluster_heatmap(_overview(spark, sf_dir)))
+    return rounded(reports.cluster_heatmap(_states(spark, sf_dir)))
 
 
 @query(

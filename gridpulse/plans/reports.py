@@ -46,10 +46,10 @@ def require_machine(series: DataFrame, machine_id: str) -> DataFrame:
     return one
 
 
-def machine_overview(
+def machine_states(
     series: DataFrame, config: PipelineConfig, machines: DataFrame | None = None
 ) -> DataFrame:
-    """Latest state of every machine, ids as text in text order.
+    """Latest state of every machine, in no order, for further aggregation.
 
     ``machines`` adds ids without any window; their values are NULL.
     """
@@ -73,7 +73,14 @@ def machine_overview(
         power(cpu).alias("latest_power"),
         jobs(cpu).alias("latest_jobs"),
         status(cpu).alias("status"),
-    ).orderBy("id")
+    )
+
+
+def machine_overview(
+    series: DataFrame, config: PipelineConfig, machines: DataFrame | None = None
+) -> DataFrame:
+    """Latest state of every machine, ids as text in text order."""
+    return machine_states(series, config, machines).orderBy("id")
 
 
 def window_total(config: PipelineConfig) -> Column:
@@ -84,16 +91,16 @@ def window_total(config: PipelineConfig) -> Column:
     return total - train - val
 
 
-def cluster_average(overview: DataFrame) -> DataFrame:
+def cluster_average(states: DataFrame) -> DataFrame:
     """Mean latest cpu over the machines; 0.0 when there is none."""
-    return overview.agg(F.coalesce(F.avg("latest_cpu"), F.lit(0.0)).alias("avg_cluster_cpu"))
+    return states.agg(F.coalesce(F.avg("latest_cpu"), F.lit(0.0)).alias("avg_cluster_cpu"))
 
 
-def workload(overview: DataFrame) -> DataFrame:
-    return workload_distribution(cluster_average(overview))
+def workload(states: DataFrame) -> DataFrame:
+    return workload_distribution(cluster_average(states))
 
 
-def fleet_kpis(overview: DataFrame, selected: str | None = None) -> DataFrame:
+def fleet_kpis(states: DataFrame, selected: str | None = None) -> DataFrame:
     """Cluster utilisation, total power and temperatures in one aggregate.
 
     ``selected_temperature`` is the selected machine's, 0 when there is none;
@@ -101,7 +108,7 @@ def fleet_kpis(overview: DataFrame, selected: str | None = None) -> DataFrame:
     """
     chosen = F.lit(False) if selected is None else F.col("id") == selected
     cpu, watts = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("latest_cpu", "latest_power"))
-    return overview.agg(
+    return states.agg(
         F.coalesce(F.avg(cpu), F.lit(0.0)).alias("cluster_utilization"),
         (F.coalesce(F.sum(watts), F.lit(0.0)) / 1000.0).alias("total_power_kw"),
         F.coalesce(F.max(F.when(chosen, F.col("latest_temperature"))), F.lit(0.0)).alias(
@@ -233,9 +240,9 @@ def forecast_summary(points: DataFrame) -> DataFrame:
     )
 
 
-def cluster_heatmap(overview: DataFrame) -> DataFrame:
+def cluster_heatmap(states: DataFrame) -> DataFrame:
     cpu = _zero("latest_cpu")
-    return overview.select(
+    return states.select(
         "id",
         cpu.alias("cpu"),
         _zero("latest_memory").alias("memory"),

@@ -76,12 +76,17 @@ def read_usage(
     return raw.select(*[_typed(name, kind) for name, kind in USAGE_COLUMNS])
 
 
+# About 20 MB of split positions; more of them join by shuffle.
+BROADCAST_SPLITS = 100_000
+
+
 def limit_rows_per_file(scan: DataFrame, count: int) -> DataFrame:
     """The first ``count`` rows of each file of a scan.
 
-    Rows are numbered from per-split counts, so no task ever holds a whole file and
-    the rows themselves are not shuffled where the table of splits is small enough
-    to broadcast. The scan is read twice; splits and row numbers are the same in both.
+    Rows are numbered from per-split counts, so no task ever holds a whole file. The
+    scan is read twice; splits and row numbers are the same in both. The table of
+    splits is broadcast when there are few enough, so that no row is shuffled; their
+    number is at most that of files and scan partitions together.
     """
     placed = _with_file_position(scan)
     splits = placed.groupBy("source_file", "block_start").agg(
@@ -98,6 +103,8 @@ def limit_rows_per_file(scan: DataFrame, count: int) -> DataFrame:
         "first_row",
         F.coalesce(F.sum("split_rows").over(earlier), F.lit(0)).alias("rows_before"),
     ).filter(F.col("rows_before") < count)
+    if len(scan.inputFiles()) + scan.rdd.getNumPartitions() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     row_in_file = F.col("rows_before") + F.col("row_in_scan") - F.col("first_row")
     return (
         placed.join(offsets, ["source_file", "block_start"])
