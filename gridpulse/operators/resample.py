@@ -83,52 +83,55 @@ def fill_gaps(
     """
     columns = list(columns or numeric_columns(bins, exclude=("machine_id", "bin_no")))
     size, limit = config.block_rows, config.ffill_limit
-    distances = range(limit + 1)
     order = "PARTITION BY machine_id, block ORDER BY bin_no"
 
     halo = with_halo(
         bins.select("machine_id", "bin_no", *columns), "bin_no", size, back=limit, ahead=0
     )
     neighbours = [f"lead(bin_no) OVER ({order}) AS next_bin"]
-    for i in distances[1:]:
-        neighbours += [
-            f"lag(`{c}`, {i}) OVER ({order}) AS `{c}__lag{i}`" for c in ["bin_no", *columns]
-        ]
+    for i in range(1, limit + 1):
+        neighbours.append(f"bin_no - lag(bin_no, {i}) OVER ({order}) AS age__{i}")
+        neighbours += [f"lag(`{c}`, {i}) OVER ({order}) AS `{c}__{i}`" for c in columns]
     around = halo.selectExpr("*", *neighbours)
 
-    # Value for the bin d behind: the last one known at most ``limit`` bins back.
-    carried = [
-        "coalesce("
-        + ", ".join(
-            [f"`{c}`"]
-            + [
-                f"CASE WHEN bin_no + {d} - bin_no__lag{i} <= {limit} THEN `{c}__lag{i}` END"
-                for i in distances[1:]
-            ]
-        )
-        + f") AS `{c}__{d}`"
-        for c in columns
-        for d in distances
-    ]
-    values = around.selectExpr("machine_id", "block", "bin_no", "next_bin", *carried)
+    def last_known(column: str, here: str, before: str) -> str:
+        """SQL over the occupied bins in reach, nearest first; NULL if all are missing."""
+        cases = [f"WHEN `{column}` IS NOT NULL THEN {here}"]
+        cases += [
+            f"WHEN age__{i} <= {limit} AND `{column}__{i}` IS NOT NULL THEN {before % i}"
+            for i in range(1, limit + 1)
+        ]
+        return f"CASE {' '.join(cases)} END"
 
-    def kept(d: int) -> str:
-        checks = [f"bin_no + {d} >= block * {size}", f"bin_no + {d} < (block + 1) * {size}"]
-        if d:
-            checks.append(f"(next_bin IS NULL OR bin_no + {d} < next_bin)")
-        if drop_incomplete:
-            checks += [f"`{c}__{d}` IS NOT NULL" for c in columns]
-        return f"CASE WHEN {' AND '.join(checks)} THEN 1 ELSE 0 END AS kept__{d}"
+    known = around.selectExpr(
+        "machine_id",
+        "block",
+        "bin_no",
+        "next_bin",
+        *[f"{last_known(c, f'`{c}`', f'`{c}__%d`')} AS `{c}`" for c in columns],
+        *[f"{last_known(c, '0L', 'age__%d')} AS `{c}__age`" for c in columns],
+    )
 
-    emitting = values.selectExpr("*", *[kept(d) for d in distances])
-    row_count = " + ".join(f"kept__{d}" for d in distances)
-    filled_count = " + ".join(["0", *[f"kept__{d}" for d in distances[1:]]])
+    # A bin emits itself and the bins d behind it for d in [first_d, last_d]: up to the
+    # next occupied bin, the end of the block, and the age at which a value expires.
+    ends = [f"(block + 1) * {size} - 1 - bin_no", f"{limit}L", "next_bin - 1 - bin_no"]
+    last_d = f"least({', '.join(ends)})"
+    if drop_incomplete:
+        complete = " AND ".join(f"`{c}__age` IS NOT NULL" for c in columns)
+        oldest = ", ".join(["0L", "0L", *[f"`{c}__age`" for c in columns]])
+        last_d = f"CASE WHEN {complete} THEN least({last_d}, {limit} - greatest({oldest})) ELSE -1L END"
+    emitting = known.selectExpr(
+        "*", f"greatest(0L, block * {size} - bin_no) AS first_d", f"{last_d} AS last_d"
+    ).selectExpr("*", "greatest(0L, last_d - first_d + 1) AS row_count")
 
     # Filled bins with nothing behind them in their block are real only if the machine
     # goes on in a later block.
     counts = emitting.groupBy("machine_id", "block").agg(
-        F.expr(f"sum({row_count}) AS all_rows"),
-        F.expr(f"sum(CASE WHEN next_bin IS NULL THEN {filled_count} ELSE 0 END) AS trailing_rows"),
+        F.expr("sum(row_count) AS all_rows"),
+        F.expr(
+            "sum(CASE WHEN next_bin IS NULL THEN greatest(0L, last_d - greatest(first_d, 1L) + 1)"
+            " ELSE 0L END) AS trailing_rows"
+        ),
         F.expr(f"max(CASE WHEN bin_no >= block * {size} THEN block END) AS own_block"),
     )
     offsets = (
@@ -137,51 +140,49 @@ def fill_gaps(
             "coalesce(block < max(own_block) OVER (PARTITION BY machine_id), false) AS goes_on",
         )
         .selectExpr(
-            "*", "all_rows - CASE WHEN goes_on THEN 0 ELSE trailing_rows END AS block_total"
+            "*", "all_rows - CASE WHEN goes_on THEN 0L ELSE trailing_rows END AS block_total"
         )
         .selectExpr(
             "machine_id",
             "block",
             "goes_on",
             "coalesce(sum(block_total) OVER (PARTITION BY machine_id ORDER BY block"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset",
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS offset",
             "sum(block_total) OVER (PARTITION BY machine_id) AS n",
         )
     )
 
-    preceding = (
-        f"coalesce(sum({row_count}) OVER ({order}"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS preceding"
-    )
     placed = (
-        emitting.selectExpr("*", preceding)
+        emitting.selectExpr(
+            "*",
+            f"coalesce(sum(row_count) OVER ({order}"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS preceding",
+        )
         # Merge join: this side is already hash-partitioned and sorted by the key, and
         # must never be the one that is broadcast, whatever its estimated size.
         .hint("merge")
         .join(offsets, ["machine_id", "block"])
-        .selectExpr("*", f"explode(sequence(0, {limit})) AS d")
-        .filter(
-            f"{_at('d', [f'kept__{d}' for d in distances])} = 1"
-            " AND (goes_on OR d = 0 OR next_bin IS NOT NULL)"
+        .withColumn(
+            "last_d",
+            F.expr("CASE WHEN next_bin IS NULL AND NOT goes_on THEN least(last_d, 0L) ELSE last_d END"),
         )
+        .filter("first_d <= last_d")
+        .selectExpr("*", "explode(sequence(first_d, last_d)) AS d")
     )
-    skipped = [" + ".join(["0", *[f"kept__{e}" for e in range(d)]]) for d in distances]
+    values = [
+        f"`{c}`" if drop_incomplete else f"CASE WHEN `{c}__age` + d <= {limit} THEN `{c}` END AS `{c}`"
+        for c in columns
+    ]
     series = placed.selectExpr(
         "machine_id",
         "bin_no + d AS bin_no",
-        *[f"{_at('d', [f'`{c}__{d}`' for d in distances])} AS `{c}`" for c in columns],
-        f"offset + preceding + {_at('d', skipped)} AS rn",
+        *values,
+        "offset + preceding + d - first_d AS rn",
         "n",
     )
     return with_bin_start(series, config)
 
 
-def _at(position: str, values: Sequence[str]) -> str:
-    """SQL for the value at a small position."""
-    cases = " ".join(f"WHEN {i} THEN {value}" for i, value in enumerate(values))
-    return f"CASE {position} {cases} END"
-
-
 def forward_fill(
     bins: DataFrame, config: PipelineConfig, columns: Sequence[str] | None = None
 ) -> DataFrame:

@@ -152,3 +152,16 @@ def test_a_machine_with_most_rows_is_cut_into_blocks(spark, regular):
     assert sizes.filter("machine_id = 'hot'").count() >= 50
     made = forecast.moving_average_predictions(series, config, TARGETS, (4,))
     assert made.count() == (2000 - 8 + 3 * (20 - 8)) * 3 * 2
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    """The JVM never compiles methods above 8,000 bytes; they would run interpreted."""
+    series = pipeline.fleet_series(events_usage(spark, DATA), EVENTS)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (series, forecast.moving_average_predictions(series, EVENTS, TARGETS)):
+            text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+            sizes = [int(v) for v in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
