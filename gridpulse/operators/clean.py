@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.functions.columns import (
     clip,
@@ -93,9 +94,7 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ("machine_id",)) ->
 def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_TELEMETRY) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(
-            f"Missing required column(s): {missing}. Need at least {list(required)}."
-        )
+        raise ValueError(messages.MISSING_COLUMNS % (missing, list(required)))
     return df
 
 
@@ -117,8 +116,8 @@ def default_machine(df: DataFrame) -> tuple[DataFrame, list[str]]:
     if "machine_id" in df.columns:
         named = df.withColumn("machine_id", F.col("machine_id").cast("string"))
         return named.filter(F.col("machine_id").isNotNull()), []
-    warning = "No 'machine_id' column; treating all rows as one machine."
-    return df.withColumn("machine_id", F.lit(DEFAULT_MACHINE)), [warning]
+    named = df.withColumn("machine_id", F.lit(DEFAULT_MACHINE))
+    return named, [messages.NO_MACHINE_COLUMN]
 
 
 def resolve_features(
@@ -135,11 +134,11 @@ def resolve_features(
         return df, names, warnings
     if len(names) > expected_dim:
         extras = names[expected_dim:]
-        warnings.append(f"Model expects {expected_dim} features; ignoring extras: {extras}.")
+        warnings.append(messages.EXTRA_FEATURES % (expected_dim, extras))
         return df, names[:expected_dim], warnings
     absent = [c for c in config.features if c not in names]
     padding = absent[: expected_dim - len(names)]
-    warnings += [f"Column '{c}' missing; filled with 0." for c in padding]
+    warnings += [messages.PADDED_COLUMN % c for c in padding]
     padded = df.withColumns({c: F.lit(0.0) for c in padding}) if padding else df
     chosen = set(names) | set(padding)
     return padded, [c for c in config.features if c in chosen], warnings

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.operators.blocks import in_own_block
 from gridpulse.operators.windows import (
@@ -183,7 +184,7 @@ def resolve_model(models: dict[str, Forecaster], name: str | None = None) -> For
     if name is None:
         return next(iter(models.values()))
     if name not in models:
-        raise UnknownModelError(f"Model {name!r} not found or not invokable.")
+        raise UnknownModelError(messages.MODEL_NOT_FOUND % name)
     return models[name]
 
 

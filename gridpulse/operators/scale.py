@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 
 
@@ -107,14 +108,7 @@ def inverse_features(df: DataFrame, scalers: DataFrame, columns: Sequence[str])
     missing = F.col(f"{columns[0]}__min").isNull()
     flagged = joined.withColumn(
         "unscaled_warning",
-        F.when(
-            missing,
-            F.concat(
-                F.lit("No scaler for machine '"),
-                F.col("machine_id"),
-                F.lit("'; returning normalized values."),
-            ),
-        ),
+        F.when(missing, F.format_string(messages.NO_SCALER, F.col("machine_id"))),
     )
     return _without_bounds(apply_unscaled(flagged, {c: c for c in columns}), columns)
 
@@ -125,22 +119,13 @@ def inverse_targets(df: DataFrame, scalers: DataFrame, targets: Sequence[str]) -
     return _without_bounds(apply_unscaled(joined, {c: c for c in targets}), targets)
 
 
-NO_TARGET_WARNING = (
-    "Target columns not present in resolved features; forecast is returned in "
-    "normalized [0,1] space."
-)
-CONSTANT_WARNING = (
-    "One or more feature columns had constant values; forecast may be degenerate."
-)
-
-
 def inverse_upload(
     df: DataFrame, scalers: DataFrame, features: Sequence[str], targets: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
     """Inverse for uploaded telemetry; targets outside the features stay scaled."""
     known = [c for c in targets if c in features]
     if not known:
-        return df, [NO_TARGET_WARNING]
+        return df, [messages.TARGETS_NOT_FEATURES]
     return inverse_targets(df, scalers, known), []
 
 
@@ -151,6 +136,6 @@ def constant_columns(scalers: DataFrame) -> DataFrame:
         .agg(F.max(F.col("data_min") == F.col("data_max")).alias("constant"))
         .select(
             "machine_id",
-            F.when(F.col("constant"), F.lit(CONSTANT_WARNING)).alias("warning"),
+            F.when(F.col("constant"), F.lit(messages.CONSTANT_COLUMNS)).alias("warning"),
         )
     )

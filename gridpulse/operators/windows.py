@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.operators.blocks import block_order, in_own_block, with_halo
 from gridpulse.operators.scale import apply_scaled, training_rows
@@ -58,13 +59,8 @@ def skipped_machines(
         seen = series.filter(F.col("rn") == 0)
         gone = machines.select("machine_id").join(seen, "machine_id", "left_anti")
         counted = counted.unionByName(gone.select("machine_id", F.lit(0).cast("long").alias("n")))
-    return counted.withColumn(
-        "reason",
-        F.concat(
-            F.lit("Data length ("), F.col("n").cast("string"),
-            F.lit(f") < required ({config.window_length})."),
-        ),
-    )
+    reason = F.format_string(messages.TOO_SHORT, F.col("n"), F.lit(config.window_length))
+    return counted.withColumn("reason", reason)
 
 
 def latest_window(series: DataFrame, config: PipelineConfig) -> DataFrame:
@@ -152,13 +148,8 @@ def enough_rows(
 
 
 def short_warning(rows: Column, config: PipelineConfig) -> Column:
-    return F.when(
-        rows < config.sequence_length,
-        F.concat(
-            F.lit("Not enough rows: "), rows.cast("string"),
-            F.lit(f" available, {config.sequence_length} required for a forecast."),
-        ),
-    )
+    text = F.format_string(messages.NOT_ENOUGH_ROWS, rows, F.lit(config.sequence_length))
+    return F.when(rows < config.sequence_length, text)
 
 
 def split_rows(config: PipelineConfig, split: str | None, back: int, ahead: int) -> Column:

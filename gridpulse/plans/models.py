@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridpulse import messages
 from gridpulse.functions.columns import round_nearest
 from gridpulse.operators.forecast import Forecaster, Linear, MovingAverage, UnknownModelError
 
@@ -94,7 +95,7 @@ def model_metrics(models: DataFrame, metrics: DataFrame, name: str) -> DataFrame
     """All metric rows of one model, none if it has no metrics; unknown names are errors."""
     found = metrics.filter(F.col("model") == name)
     if models.filter(F.col("name") == name).isEmpty() and found.isEmpty():
-        raise UnknownModelError(f"Model {name!r} not found.")
+        raise UnknownModelError(messages.MODEL_NOT_FOUND % name)
     return found
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.functions.derive import (
     augment,
@@ -22,7 +23,7 @@ from gridpulse.functions.derive import (
     workload_distribution,
 )
 from gridpulse.operators.scale import fit_minmax, minmax_transform
-from gridpulse.operators.windows import history, latest_window, reject_short, window_counts
+from gridpulse.operators.windows import history, latest_window, reject_short
 from gridpulse.plans.pipeline import forecast_with_history
 
 # Forecast steps of the summary and the overload alert level.
@@ -42,7 +43,7 @@ def require_machine(series: DataFrame, machine_id: str) -> DataFrame:
     """Series of one machine; an unknown id is an error."""
     one = series.filter(F.col("machine_id") == machine_id)
     if one.isEmpty():
-        raise LookupError(f"Machine {machine_id!r} not found.")
+        raise LookupError(messages.MACHINE_NOT_FOUND % machine_id)
     return one
 
 

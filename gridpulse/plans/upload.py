@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.operators.clean import (
     DEFAULT_MACHINE,
@@ -18,12 +19,7 @@ from gridpulse.operators.clean import (
     resolve_features,
 )
 from gridpulse.operators.forecast import Forecaster, MovingAverage, score
-from gridpulse.operators.scale import (
-    CONSTANT_WARNING,
-    NO_TARGET_WARNING,
-    apply_unscaled,
-    scaled,
-)
+from gridpulse.operators.scale import apply_unscaled, scaled
 from gridpulse.operators.windows import last_rows, short_warning
 
 
@@ -83,8 +79,8 @@ def forecast_upload(
     enough = F.col("num_input_rows") >= s
     notes = [
         short_warning(F.col("num_input_rows"), config),
-        F.when(enough & constant, F.lit(CONSTANT_WARNING)),
-        F.when(enough, F.lit(NO_TARGET_WARNING)) if not known else F.lit(None).cast("string"),
+        F.when(enough & constant, F.lit(messages.CONSTANT_COLUMNS)),
+        F.when(enough, F.lit(messages.TARGETS_NOT_FEATURES)) if not known else F.lit(None).cast("string"),
     ]
     machines = stats.select(
         "machine_id", "num_input_rows", F.array_compact(F.array(*notes)).alias("warnings")
@@ -110,7 +106,7 @@ def forecast_upload(
         *[F.col("row")[i].alias(c) for i, c in enumerate(features)],
     )
 
-    if isinstance(model, MovingAverage) and len(known) == len(targets) and features[: len(targets)] == targets:
+    if isinstance(model, MovingAverage) and features[: len(targets)] == targets:
         # The mean commutes with scaling: no scaler needed.
         scored = model.forecast(windows.withColumnRenamed("raw", "x"))
         long = scored.select("machine_id", F.posexplode("forecast").alias("step", "row")).select(

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.operators import evaluate, forecast, resample, windows
 from gridpulse.plans import models, pipeline, upload
-from gridpulse.operators.scale import CONSTANT_WARNING
 
 CONFIG = PipelineConfig(sequence_length=6, horizon=3, block_rows=50)
 TARGETS = ["cpu_usage", "memory_usage"]
@@ -271,5 +271,5 @@ def test_upload_fits_the_model_inputs(spark):
     three = forecast.NumpyForecaster("last", copy_last, input_dim=3)
     got = upload.forecast_upload(_telemetry(spark, {"a": 60}), UPLOAD, three)
     assert got.warnings == ["Column 'assigned_memory' missing; filled with 0."]
-    assert got.machines.first().warnings == [CONSTANT_WARNING]
+    assert got.machines.first().warnings == [messages.CONSTANT_COLUMNS]
     assert got.points.filter("kind = 'history'").first().assigned_memory == 0.0

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.operators import resample, scale, windows
 from gridpulse.plans import pipeline
@@ -158,9 +159,9 @@ def test_scaling_round_trip_constant_and_unknown_machine(spark):
     assert {r.unscaled_warning for r in back} == {None}
     other = scale.inverse_features(scaled.withColumn("machine_id", F.lit("z")), scalers, ["x"])
     assert "No scaler" in other.first().unscaled_warning
-    assert scale.constant_columns(scalers).first().warning == scale.CONSTANT_WARNING
+    assert scale.constant_columns(scalers).first().warning == messages.CONSTANT_COLUMNS
     same, warnings = scale.inverse_upload(scaled, scalers, ["c"], ["x"])
-    assert same is scaled and warnings == [scale.NO_TARGET_WARNING]
+    assert same is scaled and warnings == [messages.TARGETS_NOT_FEATURES]
 
 
 def test_blocks_scale_like_the_plain_join(regular):
