@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,13 +27,10 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to the machine's temporary
-    folder; on a cluster executors could not see it, so that is an error.
+    Where that is unset, a folder inside the warehouse serves, which all executors share
+    as well. The setting is only read, never written.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="gridpulse-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
