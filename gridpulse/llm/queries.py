@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridpulse.llm import near_dedup
+from gridpulse.llm import near_dedup, sharding, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,20 +16,85 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(documents(spark, sf_dir), window=50)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.interleaved_shards(documents(spark, sf_dir), shards=24)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source",
+    )
+
+
 LLM_QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op8_sharding": op8_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 LLM_ORACLES = {
+    "op8_sharding": r"""
+WITH steps AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)::BIGINT[]),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(b))),
+sized AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes,
+    CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum,
+    md5('8:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents),
+summed AS (
+  SELECT doc_id, source, size, stratum, key,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(bytes, lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
+  FROM sized, steps),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, size, text_crc32) - 1)::DOUBLE
+    / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS place
+  FROM summed),
+cut AS (
+  SELECT *, (row_number() OVER (ORDER BY place, stratum, key, doc_id, size, text_crc32) - 1) * 24
+    // count(*) OVER () AS shard
+  FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, stratum, key, doc_id, size, text_crc32) - 1 AS slot,
+  NULL::INT AS grown_shard, source
+FROM cut
+""",
+    "op1_substring_dedup": r"""
+WITH tokens AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda t: t <> '') AS w
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM tokens WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS home FROM windows GROUP BY h),
+hits AS (SELECT doc_id, list(i) AS s FROM windows JOIN least USING (h) WHERE home < doc_id GROUP BY doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM (SELECT doc_id, unnest(s) AS i FROM hits)),
+gone_of AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+    list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)),
+      lambda p: w[p]) END, ' ')) AS kept_sha256
+FROM tokens t LEFT JOIN gone_of g ON g.doc_id = t.doc_id
+""",
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+      '[\x20\x09-\x0D]+'), lambda t: t <> '') AS w
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2
-      THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])
+      THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
       WHEN len(w) = 1 THEN w ELSE [] END) AS s
   FROM tokens),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
