@@ -1 +1,68 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language, quality, near-duplicates, repeated passages, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), reads what its
+predecessor kept and returns a DataFrame. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridpulse.llm import language_id, near_dedup, packing, quality, substring_dedup
+from gridpulse.llm.scratch import stored
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among the ids of ``decisions`` (rows to drop)."""
+    gone = decisions.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go: no letters, or less sure than the calibrated threshold."""
+    model = language_id.fit(language_id.training_rows(docs, F.lit(True)))
+    return _kept(docs, language_id.identified(docs, model).filter("rejected"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(quality.training_rows(docs, labels, F.lit(True)))
+    return _kept(docs, quality.scored(docs, model).filter("predicted = 0"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: five-word shingles, 0.8 or more."""
+    return _kept(docs, near_dedup.near_groups(docs, words=5, percent=80).filter("not kept"))
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more leave all documents but the first that has them."""
+    return substring_dedup.without_repeats(docs, window=50)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of what is left."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("packing", packing_stage),
+]
+
+# Trained models and library tokenizers have no SQL form; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

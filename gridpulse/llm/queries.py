@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import near_dedup, sharding, substring_dedup
+import public_tokenizers
+
+from gridpulse.llm import language_id, near_dedup, packing, quality, sharding, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def part_of(parts: int):
+    """crc32 of the doc_id as text, modulo ``parts``; a null doc_id counts as empty."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text) % parts
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), words=2, percent=80)
 
@@ -20,6 +32,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(documents(spark, sf_dir), window=50)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = quality.training_rows(docs, labels(spark, sf_dir), part_of(4) != 2)
+    scored = quality.scored(docs, quality.fit(rows), threshold=0.7)
+    return scored.select("doc_id", (part_of(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(language_id.training_rows(docs, part_of(3) != 1))
+    found = language_id.identified(docs, model)
+    return found.select(
+        "doc_id", (part_of(3) == 1).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.interleaved_shards(documents(spark, sf_dir), shards=24)
     return sharded.select(
@@ -29,8 +67,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "pipeline": pipeline,
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
