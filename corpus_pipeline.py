@@ -14,28 +14,24 @@ from gridpulse.llm import language_id, near_dedup, packing, quality, substring_d
 from gridpulse.llm.scratch import stored
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among the ids of ``decisions`` (rows to drop)."""
-    gone = decisions.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letters, or less sure than the calibrated threshold."""
     model = language_id.fit(language_id.training_rows(docs, F.lit(True)))
-    return _kept(docs, language_id.identified(docs, model).filter("rejected"))
+    return language_id.accepted(docs, model)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.training_rows(docs, labels, F.lit(True)))
-    return _kept(docs, quality.scored(docs, model).filter("predicted = 0"))
+    return quality.accepted(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, 0.8 or more."""
-    return _kept(docs, near_dedup.near_groups(docs, words=5, percent=80).filter("not kept"))
+    groups = near_dedup.near_groups(docs, words=5, percent=80)
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,6 +161,18 @@ def training_rows(docs: DataFrame, keep) -> list[tuple[str, str]]:
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
 
 
+def _decisions(texts: pa.Array, model: LanguageModel | None):
+    """Predicted language, score and rejection of each text."""
+    lettered = np.array([t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()], bool)
+    if model is None:
+        none = np.zeros(len(lettered))
+        return [UNKNOWN] * len(lettered), none, none == 0
+    found = model.probabilities(model.logits(texts))
+    score = np.where(lettered, found.max(axis=1), 0.0)
+    names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(found.argmax(axis=1), lettered)]
+    return names, score, ~lettered | (score < model.threshold)
+
+
 def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected per row of ``docs``.
 
@@ -172,28 +184,22 @@ def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
-            lettered = [t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()]
-            if model is None:
-                lettered = [False] * len(lettered)
-                found = np.zeros((len(lettered), 1))
-                languages = [UNKNOWN]
-            else:
-                found = model.probabilities(model.logits(texts))
-                languages = model.languages
-            best = found.argmax(axis=1) if len(found) else np.zeros(0, int)
-            score = [float(found[i, b]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))]
-            low = model.threshold if model else 1.0
+            names, score, rejected = _decisions(batch.column(1), model)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], pa.string()),
-                    pa.array(score, pa.float64()),
-                    pa.array([not ok or s < low for s, ok in zip(score, lettered)], pa.bool_()),
-                ],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, lang_pred string, score double, rejected boolean"
     )
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``identified`` does not reject."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~_decisions(batch.column("text"), model)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -146,3 +146,13 @@ def scored(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> Data
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of ``threshold`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column("text")) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
