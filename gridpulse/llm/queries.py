@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gridpulse.llm import language_id, near_dedup, packing, quality, sharding, substring_dedup
+from gridpulse.llm import (
+    bpe_codec,
+    language_id,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (part_of(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(language_id.training_rows(docs, part_of(3) != 1))
@@ -70,6 +82,7 @@ LLM_QUERIES = {
     "pipeline": pipeline,
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_bpe_codec": op4_bpe_codec,
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
