@@ -9,8 +9,10 @@ import public_tokenizers
 
 from gridpulse.llm import (
     bpe_codec,
+    fingerprints,
     language_id,
     near_dedup,
+    nearest,
     packing,
     quality,
     sharding,
@@ -51,6 +53,15 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest(vectors, "vec_id", "embedding", "id % 50 = 0", k=5)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(language_id.training_rows(docs, part_of(3) != 1))
@@ -83,7 +94,9 @@ LLM_QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
