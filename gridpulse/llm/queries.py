@@ -11,6 +11,7 @@ from gridpulse.llm import (
     bpe_codec,
     fingerprints,
     language_id,
+    licences,
     near_dedup,
     nearest,
     packing,
@@ -42,6 +43,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(documents(spark, sf_dir), window=50)
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files: folders of 16 documents in folders of 256; the first document of
+    a folder is its README."""
+    outer, inner = F.expr("doc_id div 256"), F.expr("doc_id div 16")
+    path = (
+        F.when(F.col("doc_id") % 256 == 0, F.concat_ws("/", outer, F.lit("README.md")))
+        .when(F.col("doc_id") % 16 == 0, F.concat_ws("/", outer, inner, F.lit("README.md")))
+        .otherwise(F.concat_ws("/", outer, inner, F.concat("doc_id", F.lit(".txt"))))
+    )
+    return docs.filter("doc_id is not null").select("doc_id", path.alias("path"), "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = document_files(documents(spark, sf_dir))
+    return licences.licences(files.select("path", "text"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = quality.training_rows(docs, labels(spark, sf_dir), part_of(4) != 2)
@@ -92,6 +110,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "pipeline": pipeline,
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_fingerprints": op5_fingerprints,
