@@ -8,13 +8,15 @@ similarity by maximum likelihood, full shingle sets decide.
 
 Large groups never meet as pairs. Equal sets are one vertex. In a bucket every member is
 compared with the smallest one only, its centre. Members of one bucket that still lie in
-different components are compared in a second pass, except where the triangle inequality of
-the Jaccard distance (both distances to the centre are known) rules a link out.
+different components are compared in a second pass, in blocks inside a task and each pair in
+its first common bucket only, except where the triangle inequality of the Jaccard distance
+(both distances to the centre are known) rules a link out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with probability 6e-6
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 MEMBERS_A_SALT = 2048
+STRAYS_A_SALT = 256
+MARGIN = 6.0  # standard deviations of the estimate below the threshold that still get verified
 
 _random = np.random.default_rng(10)
 _FACTORS = _random.integers(0, 2**31, REGISTERS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,11 +155,21 @@ def _spread(edges: DataFrame) -> DataFrame:
     return members.unionAll(centres)
 
 
-def verified(edges: DataFrame, texts: DataFrame, words: int, estimate_from: float) -> DataFrame:
-    """Shared and united shingles of each edge (member, centre), from full sets.
+def _least_estimate(percent: int) -> float:
+    j = percent / 100
+    return j - MARGIN * (j * (1 - j) / REGISTERS) ** 0.5 - 0.01
 
-    Edges whose estimated similarity is below ``estimate_from`` are left out.
+
+def _common(left: np.ndarray, right: np.ndarray) -> int:
+    return len(np.intersect1d(left, right, assume_unique=True))
+
+
+def verified(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(member, centre, shared, united) shingle counts of edges, from full sets.
+
+    Edges estimated to be far below ``percent`` similarity are left out.
     """
+    least = _least_estimate(percent)
 
     def run(batches):
         centre, own, sketch = None, None, None
@@ -165,16 +179,13 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, estimate_from: floa
             ids, roles = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, found in enumerate(shingle_sets(batch.column(4), words)):
                 if roles[i] == 0:
-                    centre, own, sketch = (centres[i], salts[i]), found, None
+                    centre, own, sketch = (centres[i], salts[i]), found, registers(found)
                     continue
                 if centre != (centres[i], salts[i]):
                     raise ValueError("a member came before its centre")
-                if estimate_from > 0:
-                    sketch = registers(own) if sketch is None else sketch
-                    guess = likeliest(registers(found), sketch, len(found), len(own))
-                    if guess < estimate_from:
-                        continue
-                shared = len(np.intersect1d(found, own, assume_unique=True))
+                if likeliest(registers(found), sketch, len(found), len(own)) < least:
+                    continue
+                shared = _common(found, own)
                 out.append((ids[i], centres[i], shared, len(found) + len(own) - shared))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -190,6 +201,95 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, estimate_from: floa
     )
 
 
+@dataclass
+class _Stray:
+    id: int
+    component: int
+    distance: float
+    bands: np.ndarray
+    own: np.ndarray
+    sketch: np.ndarray
+
+
+def _across(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) inside buckets between components.
+
+    ``buckets``: band, centre, id, component, d (distance to the centre; null if unknown).
+    A bucket's strays are the members outside its largest component. They are held in
+    blocks, and all members stream past each block; only links come out. The centre has met
+    everybody and stays away.
+    """
+    sizes = buckets.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = (
+        sizes.groupBy("band")
+        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+        .select(
+            "band",
+            F.col("top.component").alias("main"),
+            F.ceil((F.col("all") - F.col("top.n")) / STRAYS_A_SALT).cast("int").alias("salts"),
+        )
+        .filter("salts > 0")
+    )
+    rows = buckets.filter("id != centre").join(largest, "band")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int"))
+    columns = ["band", "salt", "role", "id", "component", "d"]
+    strays = rows.filter("component != main").withColumn("role", F.lit(0)).select(*columns)
+    members = (
+        rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .withColumn("role", F.lit(1)).select(*columns)
+    )
+    rows = strays.unionAll(members).join(texts, "id").select(*columns, "bands", "text")
+    far, least = 1 - percent / 100 + 1e-9, _least_estimate(percent)
+
+    def run(batches):
+        at, block = None, []
+        for batch in batches:
+            out = []
+            values = [batch.column(i).to_pylist() for i in range(6)]
+            for i, own in enumerate(shingle_sets(batch.column(7), words)):
+                band, salt, role, id, component, d = (column[i] for column in values)
+                if at != (band, salt):
+                    at, block, met = (band, salt), [], None
+                d = np.nan if d is None else d
+                keys = batch.column(6)[i].values.to_numpy()
+                if role == 0:
+                    block.append(_Stray(id, component, d, keys, own, registers(own)))
+                    continue
+                if not block:
+                    continue
+                if met is None:
+                    met = [np.array([getattr(s, f) for s in block]) for f in ("id", "component", "distance")]
+                    strays, bands = {s.id for s in block}, np.stack([s.bands for s in block])
+                    sketches_ = np.stack([s.sketch for s in block])
+                same = bands == keys
+                first = same[np.arange(len(block)), same.argmax(axis=1)]
+                here = keys[same.argmax(axis=1)] == band
+                open_ = (met[1] != component) & first & here & ~(np.abs(met[2] - d) > far)
+                if id in strays:
+                    open_ &= met[0] > id
+                near = np.flatnonzero(open_)
+                if not len(near):
+                    continue
+                sketch = registers(own)
+                # Registers agree at least as often as sets are similar.
+                near = near[(sketches_[near] == sketch).mean(axis=1) >= least]
+                for stray in [block[k] for k in near.tolist()]:
+                    if likeliest(stray.sketch, sketch, len(stray.own), len(own)) < least:
+                        continue
+                    shared = _common(stray.own, own)
+                    if 100 * shared >= percent * (len(stray.own) + len(own) - shared):
+                        out.append((stray.id, id))
+            columns_ = list(zip(*out)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns_], names=["a", "b"]
+            )
+
+    return (
+        rows.repartition("band", "salt").sortWithinPartitions("band", "salt", "role", "id")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -218,11 +318,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     involved = buckets.select("id").distinct()
     texts = (
         docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-        .join(involved, "id", "left_semi")
+        .join(involved, "id", "left_semi").dropDuplicates(["id"])
     )
-    texts = stored(texts.dropDuplicates(["id"]), "texts")
-    far = 1 - percent / 100
-    tested = stored(verified(edges, texts, words, 0.0), "tested")
+    keys = vertices.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"])
+    texts = stored(texts.join(keys, "id"), "texts")
+    tested = stored(verified(edges, texts.select("id", "text"), words, percent), "tested")
     linked = F.expr(f"100 * shared >= {percent} * united")
     links = tested.filter(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
 
@@ -230,26 +330,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     placed = buckets.join(reached.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "centre", "id", F.coalesce("component", "id").alias("component")
     )
-    open_bands = (
-        placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x < y").select("band")
-    )
     distances = tested.select(
         F.col("member").alias("id"), "centre", (1 - F.col("shared") / F.col("united")).alias("d")
     )
-    # The centre itself needs no further test: it met every member of its bucket.
-    rest = placed.filter("id != centre").join(open_bands, "band").join(distances, ["id", "centre"])
-    one, two = rest.alias("one"), rest.alias("two")
-    slack = far + 1e-9
-    across = (
-        one.join(two, F.expr("one.band = two.band and one.component < two.component"))
-        .filter(F.abs(F.col("one.d") - F.col("two.d")) <= slack)
-        .select(F.col("one.id").alias("member"), F.col("two.id").alias("centre"))
-        .distinct()
-    )
-    sigma = (percent / 100 * far / REGISTERS) ** 0.5
-    more = stored(verified(across, texts, words, percent / 100 - 6 * sigma - 0.02), "tested")
-    found = more.filter(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    placed = placed.join(distances, ["id", "centre"], "left")
+    found = stored(_across(placed, texts, words, percent).distinct(), "links")
     ties = copies.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = connected(links.unionAll(found).unionAll(ties)).withColumnRenamed("node", "doc_id")
     return sketched.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select(
