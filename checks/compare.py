@@ -35,14 +35,16 @@ def _table(columns, rows):
     return names, sorted(values, key=repr)
 
 
-def differences(spark, connection, sf_dir: str, name: str) -> str | None:
+def differences(
+    spark, connection, sf_dir: str, name: str, queries=QUERIES, oracles=ORACLES
+) -> str | None:
     """None when Spark and SQL agree in columns, row count and every value."""
-    df = QUERIES[name](spark, sf_dir)
+    df = queries[name](spark, sf_dir)
     rows = [tuple(row) for row in df.collect()]
     names, got = _table(df.columns, rows)
-    if name not in ORACLES:
-        return None if rows else "no rows"
-    result = connection.execute(ORACLES[name])
+    if name not in oracles:
+        return "no SQL to compare with"
+    result = connection.execute(oracles[name])
     oracle_names, expected = _table([c[0] for c in result.description], result.fetchall())
     if names != oracle_names:
         return f"columns {names} vs {oracle_names}"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from checks.adapters import (
     text_telemetry,
     user_usage,
 )
+from gridpulse.config import PipelineConfig
 from gridpulse.functions import derive
 from gridpulse.operators import clean, evaluate, forecast, resample, rollup, scale, windows
 from gridpulse.plans import models, pipeline, reports, upload
@@ -140,19 +142,29 @@ def a1_read_usage(spark, sf_dir):
     )
 
 
-@query("a3_limit_per_file")
+@query(
+    "a3_limit_per_file",
+    f"""WITH usage AS ({q.USAGE['events']})
+SELECT event_id AS instance_index, machine_id, collection_id, {_round_list(['avg_cpu', 'avg_memory'])}
+FROM usage QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY event_id) <= 500""",
+)
 def a3_limit_per_file(spark, sf_dir):
-    """At most 500 rows of each shard; which rows share a shard is up to the writer."""
+    """The first 500 rows of each shard; a shard holds one event type in event order."""
     path = scratch_folder(spark, "shards")
-    source = events_usage(spark, sf_dir)
-    source.select(
-        *[
-            F.col(c).cast("string") if c in source.columns else F.lit(None).cast("string").alias(c)
-            for c, _ in usage.USAGE_COLUMNS
-        ]
-    ).write.csv(path)
-    kept = usage.read_usage(spark, path, limit_per_file=500)
-    return kept.select("start_time", "machine_id", "collection_id", "avg_cpu", "avg_memory")
+    source = events_usage(spark, sf_dir).withColumn("instance_index", F.col("event_id"))
+    columns = [
+        F.col(c).cast("string") if c in source.columns else F.lit(None).cast("string").alias(c)
+        for c, _ in usage.USAGE_COLUMNS
+    ]
+    (
+        source.repartition("machine_id").sortWithinPartitions("machine_id", "event_id")
+        .select(*columns, F.col("machine_id").alias("shard"))
+        .write.partitionBy("shard").csv(path)
+    )
+    kept = usage.read_usage(spark, f"{path}/shard=*", limit_per_file=500)
+    return rounded(
+        kept.select("instance_index", "machine_id", "collection_id", "avg_cpu", "avg_memory")
+    )
 
 
 @query(
@@ -176,20 +188,60 @@ def a5_read_telemetry_csv(spark, sf_dir):
     )
 
 
+_WINDOW_DIGEST = f"""{q.series('users')}, {q.scalers(FEATURES)},
+  framed AS (SELECT machine_id, rn, n, list(cpu_usage) OVER x AS xc, list(assigned_memory) OVER x AS xa,
+      list(memory_usage) OVER y AS ym
+    FROM (SELECT m.machine_id, rn, n, {', '.join(f'{q.scaled(c)} AS {c}' for c in FEATURES)}
+      FROM marks m JOIN bounds b ON m.machine_id = b.machine_id)
+    WINDOW x AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
+      y AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))
+SELECT w.machine_id, w.window_idx, w.split, len(xc)::INT AS x_rows, len(ym)::INT AS y_rows,
+  {q.r('xc[1]', 9)} AS x_first, {q.r('xa[60]', 9)} AS x_last, {q.r('list_sum(xc)', 9)} AS x_sum,
+  {q.r('ym[1]', 9)} AS y_first, {q.r('list_sum(ym)', 9)} AS y_sum
+FROM windows w JOIN framed f ON w.machine_id = f.machine_id AND w.rn = f.rn"""
+
+
+def _window_digest(made: DataFrame) -> DataFrame:
+    """Sizes, ends and sums of window arrays; nine digits, where short decimals cannot tie."""
+
+    def total(column, at):
+        return F.aggregate(column, F.lit(0.0), lambda acc, row: acc + row[at])
+
+    return rounded(
+        made.select(
+            "machine_id", "window_idx", "split",
+            F.size("x").alias("x_rows"), F.size("y").alias("y_rows"),
+            F.col("x")[0][0].alias("x_first"), F.col("x")[59][2].alias("x_last"),
+            total("x", 0).alias("x_sum"),
+            F.col("y")[0][1].alias("y_first"), total("y", 1).alias("y_sum"),
+        ),
+        9,
+    )
+
+
+def _user_windows(spark, sf_dir):
+    blocks = windows.scaled_blocks(_users(spark, sf_dir), FEATURES, USERS, back=59, ahead=12)
+    return windows.array_windows(blocks, FEATURES, TARGETS, USERS)
+
+
+@query("a6_a7_windows_round_trip", _WINDOW_DIGEST)
+def a6_a7_windows_round_trip(spark, sf_dir):
+    """Inputs and targets of all three splits, written and read back split by split."""
+    path = scratch_folder(spark, "windows")
+    tables.write_windows(_user_windows(spark, sf_dir), path)
+    parts = [tables.read_windows(spark, path, split) for split in tables.SPLITS]
+    return _window_digest(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 @query(
-    "a6_a7_windows_round_trip",
-    f"""{q.series('events')}
-SELECT machine_id, window_idx, split, {_round_list(TARGETS)} FROM windows WHERE split <> 'train'""",
+    "a7_read_one_split",
+    f"""{_WINDOW_DIGEST} WHERE w.split = 'val' AND w.machine_id IN ('1', '3', '5')""",
 )
-def a6_a7_windows_round_trip(spark, sf_dir):
+def a7_read_one_split(spark, sf_dir):
+    """One split of three machines: a folder and a pushed filter."""
     path = scratch_folder(spark, "windows")
-    made = windows.sliding_windows(_events(spark, sf_dir), EVENTS)
-    tables.write_windows(made.select("machine_id", "window_idx", "split", *TARGETS), path)
-    return rounded(
-        tables.read_windows(spark, path, "val").unionByName(
-            tables.read_windows(spark, path, "test")
-        )
-    )
+    tables.write_windows(_user_windows(spark, sf_dir), path)
+    return _window_digest(tables.read_windows(spark, path, "val", ["1", "3", "5"]))
 
 
 @query(
@@ -639,37 +691,10 @@ def e5_sliding_windows(spark, sf_dir):
     return rounded(made.select("machine_id", "window_idx", "split", "bin", *TARGETS))
 
 
-@query(
-    "e5_array_windows",
-    f"""{q.series('users')}, {q.scalers(FEATURES)},
-  framed AS (SELECT machine_id, rn, n, list(cpu_usage) OVER x AS xc, list(assigned_memory) OVER x AS xa,
-      list(memory_usage) OVER y AS ym
-    FROM (SELECT m.machine_id, rn, n, {', '.join(f'{q.scaled(c)} AS {c}' for c in FEATURES)}
-      FROM marks m JOIN bounds b ON m.machine_id = b.machine_id)
-    WINDOW x AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
-      y AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))
-SELECT w.machine_id, w.window_idx, w.split, len(xc)::INT AS x_rows, len(ym)::INT AS y_rows,
-  {q.r('xc[1]')} AS x_first, {q.r('xa[60]')} AS x_last, {q.r('list_sum(xc)')} AS x_sum,
-  {q.r('ym[1]')} AS y_first, {q.r('list_sum(ym)')} AS y_sum
-FROM windows w JOIN framed f ON w.machine_id = f.machine_id AND w.rn = f.rn""",
-)
+@query("e5_array_windows", _WINDOW_DIGEST)
 def e5_array_windows(spark, sf_dir):
     """Window arrays, checked by size, ends and sums."""
-    blocks = windows.scaled_blocks(_users(spark, sf_dir), FEATURES, USERS, back=59, ahead=12)
-    made = windows.array_windows(blocks, FEATURES, TARGETS, USERS)
-
-    def total(column, at):
-        return F.aggregate(column, F.lit(0.0), lambda acc, row: acc + row[at])
-
-    return rounded(
-        made.select(
-            "machine_id", "window_idx", "split",
-            F.size("x").alias("x_rows"), F.size("y").alias("y_rows"),
-            F.col("x")[0][0].alias("x_first"), F.col("x")[59][2].alias("x_last"),
-            total("x", 0).alias("x_sum"),
-            F.col("y")[0][1].alias("y_first"), total("y", 1).alias("y_sum"),
-        )
-    )
+    return _window_digest(_user_windows(spark, sf_dir))
 
 
 @query(
@@ -719,6 +744,13 @@ def e8_prepare(spark, sf_dir):
     return rounded(ready.windows.select("machine_id", "window_idx", "split", "bin", *ready.features))
 
 
+@query("e8_prepare_arrays", f"{_WINDOW_DIGEST} WHERE w.split = 'test'")
+def e8_prepare_arrays(spark, sf_dir):
+    """Inputs and targets of one split, as prepare hands them out."""
+    ready = pipeline.prepare(_rolled(spark, sf_dir, user_usage, count_jobs=False), USERS)
+    return _window_digest(ready.arrays("test"))
+
+
 @query(
     "e9_latest_window",
     f"{q.series('users')} SELECT machine_id, step, bin, {_round_list(FEATURES)} FROM latest",
@@ -888,7 +920,7 @@ def g1_moving_average(spark, sf_dir):
 @query(
     "g1_moving_average_windows",
     f"""{q.predictions('events')} SELECT machine_id, window_idx, split, model, target, count(*) AS steps,
-{q.r('sum(y_true * step)')} AS weighted_truth, {q.r('min(y_pred)')} AS lowest, {q.r('max(y_pred)')} AS highest
+{q.r('sum(y_true * step)', 9)} AS weighted_truth, {q.r('min(y_pred)', 9)} AS lowest, {q.r('max(y_pred)', 9)} AS highest
 FROM predictions GROUP BY 1, 2, 3, 4, 5""",
 )
 def g1_moving_average_windows(spark, sf_dir):
@@ -901,33 +933,84 @@ def g1_moving_average_windows(spark, sf_dir):
             F.sum(F.col("y_true") * F.col("step")).alias("weighted_truth"),
             F.min("y_pred").alias("lowest"),
             F.max("y_pred").alias("highest"),
-        )
+        ),
+        9,
     )
 
 
-def _linear(spark, sf_dir):
-    return forecast.linear_fit(_users(spark, sf_dir), USERS, FEATURES, TARGETS)
+# A window of two rows and one step ahead: the normal equations are three by three, so SQL
+# can solve them. The same code fits any window.
+PAIRS_AHEAD = PipelineConfig(interval_seconds=3_600, sequence_length=2, horizon=1)
+_SMALL_FIT = f"""{q.series('users')},
+  long AS (SELECT * FROM series WHERE n >= 3),
+  range_of AS (SELECT machine_id, min(cpu_usage) AS cpu_usage_lo, max(cpu_usage) AS cpu_usage_hi FROM long
+    WHERE rn < floor(n * 0.7::DOUBLE) GROUP BY 1),
+  scaled AS (SELECT l.machine_id, rn, n, {q.scaled('cpu_usage')} AS c FROM long l JOIN range_of r ON l.machine_id = r.machine_id),
+  framed AS (SELECT rn, n, lag(c) OVER w AS p, c AS r, lead(c) OVER w AS y FROM scaled
+    WINDOW w AS (PARTITION BY machine_id ORDER BY rn)),
+  sums AS (SELECT count(*)::DOUBLE AS k, count(*) * 1e-5::DOUBLE / 2 AS l, sum(p) AS p, sum(r) AS r, sum(y) AS y,
+      sum(p * p) AS pp, sum(p * r) AS pr, sum(r * r) AS rr, sum(p * y) AS py, sum(r * y) AS ry
+    FROM framed WHERE rn >= 1 AND rn < n - 1 AND rn - 1 < floor((n - 2) * 0.7::DOUBLE)),
+  solved AS (SELECT *, (pp + l) * ((rr + l) * k - r * r) - pr * (pr * k - r * p) + p * (pr * r - (rr + l) * p) AS det,
+      py * ((rr + l) * k - r * r) - pr * (ry * k - r * y) + p * (ry * r - (rr + l) * y) AS d0,
+      (pp + l) * (ry * k - r * y) - py * (pr * k - r * p) + p * (pr * y - ry * p) AS d1,
+      (pp + l) * ((rr + l) * y - ry * r) - pr * (pr * y - ry * p) + py * (pr * r - (rr + l) * p) AS d2 FROM sums),
+  fitted AS (SELECT 0 AS input, d0 / det AS weight FROM solved UNION ALL SELECT 1, d1 / det FROM solved
+    UNION ALL SELECT 2, d2 / det FROM solved)"""
+
+
+def _small_fit(spark, sf_dir):
+    columns = ["cpu_usage"]
+    return forecast.linear_fit(_users(spark, sf_dir), PAIRS_AHEAD, columns, columns)
+
+
+@query("g2_linear_fit", f"{_SMALL_FIT} SELECT input, {q.r('weight')} AS weight FROM fitted")
+def g2_linear_fit(spark, sf_dir):
+    """Weights of both rows and the bias (input 2), over the train windows of all machines."""
+    model = _small_fit(spark, sf_dir)
+    values = [*model.weights[:, 0].tolist(), float(model.bias[0])]
+    return rounded(spark.createDataFrame(list(enumerate(values)), "input int, weight double"))
+
 
+def _set_linear() -> forecast.Linear:
+    """Weights by a rule of input and output, so that SQL can form the products."""
+    i, o = np.arange(180)[:, None], np.arange(24)[None, :]
+    return forecast.Linear(3, 2, 60, 12, ((i * 7 + o * 3) % 11 - 5) / 600.0, np.arange(24) / 100.0)
 
-@query("g2_linear_fit")
-def g2_linear_fit(spark, sf_dir):
-    """Fitted weights by input position and output; iterative numerics, no SQL."""
-    model = _linear(spark, sf_dir)
-    rows = [
-        (i, o, float(model.weights[i, o]))
-        for i in range(model.weights.shape[0])
-        for o in range(model.weights.shape[1])
-    ]
-    return rounded(spark.createDataFrame(rows, "input int, output int, weight double"))
 
+def _set_weight(row: str, feature: int, output: str) -> str:
+    return f"((((3 * {row} + {feature}) * 7 + {output} * 3) % 11 - 5) / 600.0::DOUBLE)"
+
+
+_SET_LINEAR = f"""{q.series('users')}, {q.scalers(FEATURES)},
+  framed AS (SELECT machine_id, rn, list(struct_pack(c := cpu_usage, m := memory_usage, a := assigned_memory)) OVER x AS x,
+      list(cpu_usage) OVER y AS yc, list(memory_usage) OVER y AS ym
+    FROM (SELECT m.machine_id, rn, n, {', '.join(f'{q.scaled(c)} AS {c}' for c in FEATURES)}
+      FROM marks m JOIN bounds b ON m.machine_id = b.machine_id)
+    WINDOW x AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
+      y AS (PARTITION BY machine_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
+  made AS (SELECT f.machine_id, f.rn, w.split, x, yc, ym FROM framed f JOIN windows w ON w.machine_id = f.machine_id AND w.rn = f.rn),
+  inputs AS (SELECT machine_id, rn, unnest(range(60)) AS pos, unnest(x) AS v FROM made),
+  outputs AS (SELECT unnest(range(24)) AS o),
+  dots AS (SELECT machine_id, rn, o, sum(v.c * {_set_weight('pos', 0, 'o')} + v.m * {_set_weight('pos', 1, 'o')}
+      + v.a * {_set_weight('pos', 2, 'o')}) + o / 100.0::DOUBLE AS y_pred FROM inputs, outputs GROUP BY machine_id, rn, o),
+  predictions AS (SELECT split, 'linear_baseline' AS model, (o // 2 + 1)::INT AS step,
+      CASE WHEN o % 2 = 0 THEN 'cpu_usage' ELSE 'memory_usage' END AS target,
+      CASE WHEN o % 2 = 0 THEN yc[o // 2 + 1] ELSE ym[o // 2 + 1] END AS y_true, y_pred
+    FROM dots d JOIN made m ON m.machine_id = d.machine_id AND m.rn = d.rn)"""
 
-@query("g3_linear_predict")
+
+@query(
+    "g3_linear_predict",
+    f"""{_SET_LINEAR}, {q.errors('split, model, target')}
+SELECT split, model, target, {q.r('a / c')} AS mae, {q.r('sqrt(s / c)')} AS rmse FROM sums""",
+)
 def g3_linear_predict(spark, sf_dir):
-    """Evaluation of the fitted linear model over all windows."""
+    """All windows scored by a linear model, errors per split and target."""
     predicted = forecast.model_predictions(
-        _users(spark, sf_dir), USERS, FEATURES, TARGETS, _linear(spark, sf_dir)
+        _users(spark, sf_dir), USERS, FEATURES, TARGETS, _set_linear()
     )
-    return rounded(evaluate.evaluate_by_split(predicted, split=None), mape=2)
+    return rounded(evaluate.per_target(predicted, by=["split", "model"]).drop("mape"))
 
 
 _SCORED = f"""{q.series('users')}, {q.scalers(TARGETS)},
@@ -978,18 +1061,13 @@ def g5_score_batch(spark, sf_dir):
 
 @query(
     "g8_count_parameters",
-    f"""{q.series('users')} SELECT machine_id, 0::BIGINT AS moving_average_params,
-(60 * 3 * 12 * 2 + 12 * 2)::BIGINT AS linear_params FROM series WHERE rn = 0""",
+    f"""{_SMALL_FIT} SELECT 'linear_baseline' AS name, 'linear' AS kind, count(weight) AS num_params FROM fitted
+UNION ALL SELECT 'moving_avg_12', 'moving_average', 0""",
 )
 def g8_count_parameters(spark, sf_dir):
-    """Model sizes, next to the machines the models serve."""
-    average = forecast.MovingAverage()
-    linear = forecast.Linear(3, 2, 60, 12, None, None)
-    return _users(spark, sf_dir).filter("rn = 0").select(
-        "machine_id",
-        F.lit(average.num_params()).cast("long").alias("moving_average_params"),
-        F.lit(linear.num_params()).cast("long").alias("linear_params"),
-    )
+    """Sizes in the models table that holds the fitted linear model."""
+    loaded = models.models_table(spark, [_small_fit(spark, sf_dir), forecast.MovingAverage()])
+    return loaded.select("name", "kind", "num_params")
 
 
 @query(
@@ -1015,6 +1093,33 @@ def g10_forecast_machine(spark, sf_dir):
     return rounded(_points(spark, sf_dir))
 
 
+def _fading_last(x):
+    """The last row, fading with the step: does not commute with scaling."""
+    fade = 1 - np.arange(12) / 24
+    return x[:, -1:, :2] * fade[None, :, None]
+
+
+_FADING = forecast.NumpyForecaster("fading_last", _fading_last)
+
+
+def _faded(column: str) -> str:
+    return q.r(f"(f.{column} - {column}_lo) * (1 - h / 24.0::DOUBLE) + {column}_lo")
+
+
+@query(
+    "g10_forecast_machine_model",
+    f"""{q.series('users')}, {q.scalers(TARGETS)}
+SELECT machine_id, 'history' AS kind, step, {_round_list(FEATURES)} FROM latest
+UNION ALL SELECT f.machine_id, 'forecast', h::INT, {_faded('cpu_usage')}, {_faded('memory_usage')}, NULL
+FROM latest f JOIN bounds b ON f.machine_id = b.machine_id, range(12) t(h) WHERE f.step = 59""",
+)
+def g10_forecast_machine_model(spark, sf_dir):
+    """Latest windows scaled, scored by a plug-in model and turned back."""
+    return rounded(
+        pipeline.forecast_with_history(_users(spark, sf_dir), USERS, FEATURES, TARGETS, _FADING)
+    )
+
+
 _UPLOAD = f"""{_USABLE}, {_TAIL},
   full_tail AS (SELECT *, (60 - back)::INT AS step FROM tail WHERE n >= 60),
   ahead AS (SELECT machine_id, unnest(generate_series(0, 11))::INT AS step, cpu_usage, memory_usage FROM (
@@ -1031,6 +1136,19 @@ def g11_forecast_upload(spark, sf_dir):
     return rounded(upload.forecast_upload(text_telemetry(spark, sf_dir), EVENTS).points)
 
 
+@query(
+    "g11_forecast_upload_model",
+    f"""{_UPLOAD} SELECT machine_id, 'history' AS kind, step, {_round_list(FEATURES)} FROM full_tail
+UNION ALL SELECT f.machine_id, 'forecast', h::INT, {_faded('cpu_usage')}, {_faded('memory_usage')}, NULL
+FROM full_tail f JOIN bounds b ON f.machine_id = b.machine_id, range(12) t(h) WHERE f.step = 59""",
+)
+def g11_forecast_upload_model(spark, sf_dir):
+    """Uploads scaled by their own rows, scored by a plug-in model and turned back; the
+    padded feature is a constant column."""
+    made = upload.forecast_upload(text_telemetry(spark, sf_dir), EVENTS, _FADING)
+    return rounded(made.points)
+
+
 @query(
     "g11_forecast_upload_unnamed",
     f"""WITH {_COERCED}, usable AS (SELECT * FROM typed WHERE cpu_usage IS NOT NULL AND memory_usage IS NOT NULL),
@@ -1203,6 +1321,19 @@ def j1_machine_states(spark, sf_dir):
     return rounded(reports.machine_overview(_users(spark, sf_dir), USERS))
 
 
+def _stored_tail(spark, sf_dir):
+    """The rows that reports on latest windows need, from a stored series."""
+    path = scratch_folder(spark, "series")
+    tables.write_series(_users(spark, sf_dir), path, tail_rows=USERS.window_length)
+    return tables.read_series(spark, path, tail_only=True)
+
+
+@query("j1_machine_overview_stored", ORACLES["j1_machine_overview"])
+def j1_machine_overview_stored(spark, sf_dir):
+    """From a stored series, whose files outside the tail are not read."""
+    return rounded(reports.machine_overview(_stored_tail(spark, sf_dir), USERS))
+
+
 @query(
     "j1_machine_overview_pairs",
     f"""{_overview_sql('pairs')}, inputs AS (SELECT DISTINCT machine_id AS id FROM rolled)
@@ -1266,6 +1397,11 @@ def j4_machine_forecast(spark, sf_dir):
     return rounded(reports.machine_forecast(_users(spark, sf_dir), USERS, FEATURES, TARGETS))
 
 
+@query("j4_machine_forecast_stored", ORACLES["j4_machine_forecast"])
+def j4_machine_forecast_stored(spark, sf_dir):
+    return rounded(reports.machine_forecast(_stored_tail(spark, sf_dir), USERS, FEATURES, TARGETS))
+
+
 @query(
     "j5_list_models",
     f"""{_METRICS} SELECT coalesce(m.name, s.model) AS name, coalesce(num_params, 0) AS num_params,
@@ -1290,10 +1426,28 @@ def j6_compare_models(spark, sf_dir):
     return rounded(compared, mape=2)
 
 
-@query("j7_model_metrics", _EVALUATION)
+_J7 = _EVALUATION.split("SELECT model, 'overall'")[0]
+
+
+@query(
+    "j7_model_metrics",
+    f"""{_J7.rstrip()}, metrics AS ({_EVALUATION[len(_J7):]}),
+  curve AS (SELECT ts::DATE AS day, avg(value) AS loss, avg({q.K}) AS other,
+      row_number() OVER (ORDER BY ts::DATE) AS epoch, count(*) OVER () AS epochs
+    FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1)
+SELECT *, NULL::DOUBLE AS train_loss, NULL::DOUBLE AS val_loss, NULL::DOUBLE AS lr FROM metrics
+UNION ALL BY NAME
+SELECT 'moving_avg_12' AS model, 'training_history' AS scope, epoch::INT AS step, {q.r('loss')} AS train_loss,
+  CASE WHEN epoch <= epochs - 10 THEN {q.r('other')} END AS val_loss, 0.001::DOUBLE AS lr FROM curve""",
+)
 def j7_model_metrics(spark, sf_dir):
+    """Metric rows of one model and its training curve."""
     metrics = evaluate.evaluate_by_split(_predictions(spark, sf_dir, split="test"))
-    return rounded(models.model_metrics(_models_table(spark), metrics, "moving_avg_12"), mape=2)
+    history = _history_table(spark, sf_dir)
+    first = history.agg(F.min("name").alias("name"))
+    traced = history.join(first, "name", "left_semi").withColumn("name", F.lit("moving_avg_12"))
+    found = models.model_metrics(_models_table(spark), metrics, "moving_avg_12", traced)
+    return rounded(found, mape=2)
 
 
 @query(
@@ -1321,6 +1475,16 @@ def j9_utilization_series(spark, sf_dir):
     return rounded(reports.utilization_series(_points(spark, sf_dir)))
 
 
+@query(
+    "j9_utilization_series_stored",
+    ORACLES["j9_utilization_series"],
+)
+def j9_utilization_series_stored(spark, sf_dir):
+    tail = _stored_tail(spark, sf_dir)
+    points = pipeline.forecast_with_history(tail, USERS, FEATURES, TARGETS)
+    return rounded(reports.utilization_series(points))
+
+
 @query(
     "j10_memory_series",
     f"""{_POINTS}, chart AS (SELECT machine_id, step - 59 AS position, memory_usage AS value FROM points WHERE kind = 'history')

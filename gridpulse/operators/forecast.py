@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from gridpulse.operators.blocks import in_own_block
 from gridpulse.operators.windows import (
     map_windows,
     raw_blocks,
+    reject_short,
     scaled_blocks,
     sliding_windows,
     split_of,
@@ -62,18 +62,31 @@ class Forecaster(Protocol):
 
 
 def _scored(windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Score array windows with a numpy function on Arrow batches."""
-    schema = T.StructType([*windows.schema.fields, T.StructField("forecast", WINDOW_TYPE)])
+    """Score array windows with a numpy function on the value buffers of Arrow batches.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``forecast`` takes the place of ``x``; values do not turn into Python objects.
+    """
+    names = [c for c in windows.columns if c != "x"]
+    schema = T.StructType([*windows.select(*names).schema.fields, T.StructField("forecast", WINDOW_TYPE)])
+
+    def nested(values: np.ndarray) -> pa.Array:
+        batch, steps, targets = values.shape
+        rows = np.arange(0, batch * steps * targets + 1, targets, dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(rows), pa.array(values.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, batch * steps + 1, steps, dtype=np.int32)), lists)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = np.stack([np.stack(window) for window in batch["x"]]).astype(float)
-                batch["forecast"] = [row.tolist() for row in np.asarray(predict(x))]
-                batch["x"] = [window.tolist() for window in x]
-                yield batch
+            if batch.num_rows:
+                rows = batch.column("x").flatten()
+                values = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+                x = values.reshape(batch.num_rows, len(rows) // batch.num_rows, -1)
+                made = nested(np.ascontiguousarray(predict(x), dtype=float))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in names], made], names=[*names, "forecast"]
+                )
 
-    return windows.mapInPandas(run, schema)
+    return windows.select(*names, "x").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -300,7 +313,10 @@ def _long_predictions(
 
 
 def first_machine(series: DataFrame) -> DataFrame:
-    """Rows of the machine whose id sorts first, the default training set."""
+    """Rows of the machine whose id sorts first, the default training set.
+
+    The broadcast side is one row.
+    """
     first = series.agg(F.min("machine_id").alias("machine_id"))
     return series.join(F.broadcast(first), "machine_id", "left_semi")
 
@@ -356,7 +372,8 @@ def linear_fit(
         return each, finish
 
     columns = list(features) + [t for t in targets if t not in features]
-    blocks = scaled_blocks(training_set(series, train_on), columns, config, s - 1, h, "train")
+    chosen = training_set(reject_short(series, config), train_on)
+    blocks = scaled_blocks(chosen, columns, config, s - 1, h, "train")
     partials = map_windows(
         blocks, features, targets, config, make, "entries array<double>"
     )

@@ -120,6 +120,9 @@ def fill_gaps(
         complete = " AND ".join(f"`{c}__age` IS NOT NULL" for c in columns)
         oldest = ", ".join(["0L", "0L", *[f"`{c}__age`" for c in columns]])
         last_d = f"CASE WHEN {complete} THEN least({last_d}, {limit} - greatest({oldest})) ELSE -1L END"
+    else:
+        # Ages are never negative, so this adds zero; it keeps the columns in both branches.
+        last_d += f" + least(0L, {', '.join(f'`{c}__age`' for c in columns)})"
     emitting = known.selectExpr(
         "*", f"greatest(0L, block * {size} - bin_no) AS first_d", f"{last_d} AS last_d"
     ).selectExpr("*", "greatest(0L, last_d - first_d + 1) AS row_count")
@@ -180,7 +183,9 @@ def fill_gaps(
         "offset + preceding + d - first_d AS rn",
         "n",
     )
-    return with_bin_start(series, config)
+    # Always true, and more than the optimizer can know: it keeps the columns of positions
+    # alive for callers that drop them, so that both branches read one exchange.
+    return with_bin_start(series.filter("rn < n"), config)
 
 
 def forward_fill(

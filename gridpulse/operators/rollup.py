@@ -49,13 +49,10 @@ def top_machines(rolled: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-# The top list is broadcast only up to this length; a longer one joins by shuffle.
-BROADCAST_TOP = 100_000
-
-
 def restrict_to(rolled: DataFrame, n: int = 8) -> DataFrame:
-    """Rows of the ``n`` busiest machines."""
+    """Rows of the ``n`` busiest machines.
+
+    The optimizer picks the join by the measured size of the list.
+    """
     top = top_machines(rolled, n).select("machine_id")
-    if n <= BROADCAST_TOP:
-        top = F.broadcast(top)
     return rolled.join(top, "machine_id", "left_semi")

@@ -82,10 +82,12 @@ def latest_window(series: DataFrame, config: PipelineConfig) -> DataFrame:
 
 
 def latest_stored(windows: DataFrame) -> DataFrame:
-    """Latest of each machine's stored windows; splits are in time order."""
-    rest = [c for c in windows.columns if c != "machine_id"]
-    latest = F.max_by(F.struct(*rest), F.col("window_idx")).alias("window")
-    return windows.groupBy("machine_id").agg(latest).select("machine_id", "window.*")
+    """Latest of each machine's stored windows; splits are in time order.
+
+    The number of the latest comes from two narrow columns; only its row is read in full.
+    """
+    latest = windows.groupBy("machine_id").agg(F.max("window_idx").alias("window_idx"))
+    return windows.join(latest, ["machine_id", "window_idx"], "left_semi")
 
 
 def window_counts(series: DataFrame, config: PipelineConfig) -> DataFrame:
@@ -109,7 +111,11 @@ MAX_HISTORY_STEPS = 1000
 
 
 def history(series: DataFrame, config: PipelineConfig, steps: int = 60) -> DataFrame:
-    """The last ``steps`` rows of each latest window, numbered from 0."""
+    """The last ``steps`` rows of each latest window, numbered from 0.
+
+    A window has ``sequence_length`` rows; asking for more, up to ``MAX_HISTORY_STEPS``,
+    gives the whole window.
+    """
     if not 1 <= steps <= MAX_HISTORY_STEPS:
         raise ValueError(f"steps must be in 1..{MAX_HISTORY_STEPS}, got {steps}")
     first = config.sequence_length - min(steps, config.sequence_length)

@@ -84,19 +84,38 @@ def list_models(models: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def compare_models(models: DataFrame, metrics: DataFrame) -> DataFrame:
     """Overall metrics side by side; NULL where a model has none."""
-    names = list_models(models, metrics).select("name")
-    overall = metrics.filter(F.col("scope") == "overall").select(
-        F.col("model").alias("name"), "mae", "rmse", "mape"
+    numbers = ("mae", "rmse", "mape")
+    overall = metrics.groupBy(F.col("model").alias("name")).agg(
+        *[F.max(F.when(F.col("scope") == "overall", F.col(c))).alias(c) for c in numbers]
     )
-    return names.join(overall, "name", "left").orderBy("name")
+    return models.select("name").join(overall, "name", "full_outer").orderBy("name")
 
 
-def model_metrics(models: DataFrame, metrics: DataFrame, name: str) -> DataFrame:
-    """All metric rows of one model, none if it has no metrics; unknown names are errors."""
+def model_metrics(
+    models: DataFrame, metrics: DataFrame, name: str, history: DataFrame | None = None
+) -> DataFrame:
+    """All metric rows of one model and, with ``history``, its training curve.
+
+    Curve rows have the scope ``training_history``, the epoch from 1 as ``step`` and the
+    losses and learning rate in ``train_loss``, ``val_loss`` and ``lr``; there are none
+    without a history. A model known from its metrics alone is accepted, a name that is
+    neither loaded nor measured is an error.
+    """
     found = metrics.filter(F.col("model") == name)
     if models.filter(F.col("name") == name).isEmpty() and found.isEmpty():
         raise UnknownModelError(messages.MODEL_NOT_FOUND % name)
-    return found
+    if history is None:
+        return found
+    curves = ("train_loss", "val_loss", "lr")
+    epochs = history.filter(F.col("name") == name).select(
+        F.col("name").alias("model"),
+        F.lit("training_history").alias("scope"),
+        F.posexplode(F.arrays_zip(*curves)).alias("at", "values"),
+    )
+    curve = epochs.select(
+        "model", "scope", (F.col("at") + 1).alias("step"), *[F.col("values")[c].alias(c) for c in curves]
+    )
+    return found.unionByName(curve, allowMissingColumns=True)
 
 
 def inventory(models: DataFrame, machines: DataFrame) -> DataFrame:

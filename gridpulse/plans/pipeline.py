@@ -19,6 +19,7 @@ from gridpulse.operators.scale import (
     minmax_transform,
 )
 from gridpulse.operators.windows import (
+    array_windows,
     latest_stored,
     latest_window,
     reject_short,
@@ -58,13 +59,26 @@ class Prepared:
     skipped: DataFrame
     features: list[str]
     targets: list[str]
+    config: PipelineConfig
+
+    def arrays(self, split: str | None = None) -> DataFrame:
+        """Windows of one split (or all) as arrays: x in features, y in targets, scaled."""
+        config, columns = self.config, list(dict.fromkeys([*self.features, *self.targets]))
+        blocks = scaled_blocks(
+            self.series, columns, config, config.sequence_length - 1, config.horizon, split
+        )
+        made = array_windows(blocks, self.features, self.targets, config)
+        return made if split is None else made.filter(F.col("split") == split)
 
 
 def prepare(telemetry: DataFrame, config: PipelineConfig) -> Prepared:
-    """Resample, scale by the training rows, window and split all machines at once."""
+    """Resample, scale by the training rows, window and split all machines at once.
+
+    Machines too short for a window keep their scalers if they have a training row.
+    """
     features, targets, columns = select_features(numeric_columns(telemetry), config)
     series = regular_series(telemetry, config)
-    scalers = fit_minmax(reject_short(series, config), columns, config)
+    scalers = fit_minmax(series, columns, config)
     scaled = scaled_blocks(series, columns, config, back=0, ahead=0, keep=["bin"]).drop("block")
     return Prepared(
         series=series,
@@ -74,6 +88,7 @@ def prepare(telemetry: DataFrame, config: PipelineConfig) -> Prepared:
         skipped=skipped_machines(series, config, telemetry.select("machine_id").distinct()),
         features=features,
         targets=targets,
+        config=config,
     )
 
 

@@ -47,24 +47,39 @@ def read_windows(
     return df
 
 
-def write_series(series: DataFrame, path: str, mode: str = "error") -> None:
+def write_series(
+    series: DataFrame, path: str, mode: str = "error", tail_rows: int = 72
+) -> None:
     """The numbered series, so that reports need not build it again.
 
-    Range-partitioned by machine and position: a long series is cut into several
+    The last ``tail_rows`` rows of each machine (a whole window) lie in a folder of their
+    own. Range-partitioned by machine and position: a long series is cut into several
     files, and file statistics prune by machine.
     """
+    placed = series.withColumn("tail", (F.col("n") - F.col("rn") <= tail_rows).cast("int"))
     (
-        series.repartitionByRange("machine_id", "rn")
-        .sortWithinPartitions("machine_id", "rn")
-        .write.mode(mode)
+        placed.repartitionByRange("tail", "machine_id", "rn")
+        .sortWithinPartitions("tail", "machine_id", "rn")
+        .write.partitionBy("tail")
+        .mode(mode)
         .parquet(path)
     )
 
 
 def read_series(
-    spark: SparkSession, path: str, machine_ids: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    machine_ids: Sequence[str] | None = None,
+    tail_only: bool = False,
 ) -> DataFrame:
+    """A stored series; ``tail_only`` reads the rows of latest windows and no others.
+
+    Reports on latest windows need only those: each row carries the series length.
+    """
     df = spark.read.parquet(path)
+    if tail_only:
+        df = df.filter(F.col("tail") == 1)
+    df = df.drop("tail")
     return df if machine_ids is None else df.filter(F.col("machine_id").isin(*machine_ids))
 
 

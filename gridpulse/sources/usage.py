@@ -76,49 +76,26 @@ def read_usage(
     return raw.select(*[_typed(name, kind) for name, kind in USAGE_COLUMNS])
 
 
-# About 20 MB of split positions; more of them join by shuffle.
-BROADCAST_SPLITS = 100_000
-
-
 def limit_rows_per_file(scan: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` rows of each file of a scan.
+    """The first ``count`` rows of each file of a scan, in one pass.
 
-    Rows are numbered from per-split counts, so no task ever holds a whole file. The
-    scan is read twice; splits and row numbers are the same in both. The table of
-    splits is broadcast when there are few enough, so that no row is shuffled; their
-    number is at most that of files and scan partitions together.
+    Rows are numbered in file order. Spark keeps at most ``count`` rows of a file on the
+    map side (up to the session's window group limit threshold), so a reducer sees
+    ``count`` rows per split of a file and not the whole file.
     """
-    placed = _with_file_position(scan)
-    splits = placed.groupBy("source_file", "block_start").agg(
-        F.min("row_in_scan").alias("first_row"), F.count(F.lit(1)).alias("split_rows")
-    )
-    earlier = (
-        Window.partitionBy("source_file")
-        .orderBy("block_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = splits.select(
-        "source_file",
-        "block_start",
-        "first_row",
-        F.coalesce(F.sum("split_rows").over(earlier), F.lit(0)).alias("rows_before"),
-    ).filter(F.col("rows_before") < count)
-    if len(scan.inputFiles()) + scan.rdd.getNumPartitions() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    row_in_file = F.col("rows_before") + F.col("row_in_scan") - F.col("first_row")
-    return (
-        placed.join(offsets, ["source_file", "block_start"])
-        .filter(row_in_file < count)
-        .select(*scan.columns)
-    )
+    order = Window.partitionBy("source_file").orderBy("block_start", "row_in_scan")
+    placed = _with_file_position(scan).withColumn("row_in_file", F.row_number().over(order))
+    return placed.filter(F.col("row_in_file") <= count).select(*scan.columns)
 
 
 def read_telemetry_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """User telemetry with a header row, all text, plus ``row_order`` in file order.
 
-    ``row_order`` sorts by file, split and row, whatever task read a split.
+    ``row_order`` sorts by file, split and row, whatever task read a split. A file whose
+    header names other columns, or the same in another order, than the first file is an
+    error when it is read.
     """
-    df = spark.read.option("header", True).csv(paths)
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
     if not df.columns:
         raise ValueError("File is empty.")
     return _with_file_position(df).select(

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.adapters import EVENTS, LINES, events_usage, line_usage
+from checks.queries import QUERIES
 from gridpulse.config import PipelineConfig
 from gridpulse.operators import forecast, resample, windows
 from gridpulse.plans import pipeline, reports
+from gridpulse.sources import tables
 
 CONFIG = PipelineConfig(sequence_length=6, horizon=12, block_rows=50)
 TARGETS = ["cpu_usage", "memory_usage"]
@@ -131,6 +133,33 @@ def test_one_scan_and_no_product_joins(spark, name):
     assert "Python" not in plan
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "d1_with_scaler", "e2_ffill", "f1_minmax_transform", "f2_inverse_features",
+        "f5_constant_column_warning", "g9_training_set",
+    ],
+)
+def test_one_scan_when_positions_are_not_selected(spark, name):
+    df = QUERIES[name](spark, DATA)
+    plan = _final_plan(df.agg(F.count("*"), *[F.max(c) for c in df.columns]))
+    assert len(_scans(plan)) == 1
+    assert "ReusedExchange" in plan
+
+
+def test_reports_on_a_stored_series_read_the_tail_only(spark, tmp_path):
+    path = str(tmp_path / "series")
+    series = pipeline.fleet_series(events_usage(spark, DATA), EVENTS)
+    tables.write_series(series, path)
+    tail = tables.read_series(spark, path, tail_only=True)
+    overview = reports.machine_overview(tail, EVENTS)
+    plan = overview._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*tail", plan)
+    files = [r[0] for r in tail.select(F.input_file_name()).distinct().collect()]
+    assert files and all("tail=1" in f for f in files)
+    assert overview.collect() == reports.machine_overview(series, EVENTS).collect()
+
+
 def test_last_rows_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("string(id % 2) AS machine_id", "id AS row_order")
     plan = windows.last_rows(df, 60)._jdf.queryExecution().executedPlan().toString()
