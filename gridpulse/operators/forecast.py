@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from math import isqrt
 from typing import Protocol, runtime_checkable
 
 import numpy as np
@@ -333,6 +334,25 @@ def training_set(series: DataFrame, train_on: Sequence[str] | str | None = None)
 WEIGHT_DECAY = 1e-5
 
 
+def _entries(*parts: np.ndarray) -> pa.RecordBatch:
+    values = np.concatenate(parts)
+    ends = pa.array([0, len(values)], pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(ends, pa.array(values))], names=["entries"]
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of all arrays of a partition, nothing if it has none."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            total = rows.sum(axis=0) if total is None else total + rows.sum(axis=0)
+    if total is not None:
+        yield _entries(total)
+
+
 def linear_fit(
     series: DataFrame,
     config: PipelineConfig,
@@ -367,29 +387,30 @@ def linear_fit(
 
         def finish():
             if used[0]:
-                yield pa.RecordBatch.from_pydict({"entries": [total.ravel()]})
+                yield _entries(total[:, :width][upper], total[:, width:].ravel())
 
         return each, finish
 
     columns = list(features) + [t for t in targets if t not in features]
     chosen = training_set(reject_short(series, config), train_on)
     blocks = scaled_blocks(chosen, columns, config, s - 1, h, "train")
+    upper = np.triu_indices(width)
     partials = map_windows(
         blocks, features, targets, config, make, "entries array<double>"
     )
-    # One partial per partition goes in; the sum has width * (width + outputs) rows.
-    summed = (
-        partials.select(F.posexplode("entries").alias("at", "entry"))
-        .groupBy("at")
-        .agg(F.sum("entry").alias("entry"))
-        .toPandas()
-    )
-    if summed.empty:
+    # One array per partition; they are added up whole, in two levels of about the square
+    # root of their number, so no level adds many of them and none is cut into rows.
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for count in (isqrt(parts) or 1, 1):
+        partials = partials.repartition(count).mapInArrow(_added, "entries array<double>")
+    summed = partials.first()
+    if summed is None:
         raise ValueError("no training window in the given series")
-    gram = np.zeros(width * (width + outputs))
-    gram[summed["at"].to_numpy()] = summed["entry"].to_numpy()
-    gram = gram.reshape(width, width + outputs)
-    left, right = gram[:, :width], gram[:, width:]
+    entries = np.array(summed["entries"])
+    left = np.zeros((width, width))
+    left[upper] = entries[: len(upper[0])]
+    left = left + np.triu(left, 1).T
+    right = entries[len(upper[0]) :].reshape(width, outputs)
     windows = left[-1, -1]
     penalty = np.full(width, windows * outputs * WEIGHT_DECAY / 2)
     penalty[-1] = 0.0
