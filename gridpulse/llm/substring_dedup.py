@@ -361,10 +361,10 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     cut = _cut(ranges, docs.select("doc_id", "text"), digest=False).dropDuplicates(["doc_id"])
     whole = scan.filter("whole").select("doc_id", F.lit("").alias("kept")).distinct()
     changed = cut.select("doc_id", "kept").unionAll(whole)
-    changed = changed.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    out = docs.join(changed, docs["doc_id"] == changed["_id"], "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(changed, "doc_id", "left")
+    text = F.coalesce("kept", "row.text")
+    values = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(size))
-    return out.select(*docs.columns)
+        size = F.length(text).cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(F.col("kept").isNull(), values["n_chars"]).otherwise(size)
+    return rows.select(*[value.alias(c) for c, value in values.items()])
