@@ -167,6 +167,43 @@ def a3_limit_per_file(spark, sf_dir):
     )
 
 
+def _renamed(spark, folder: str, new_name) -> None:
+    """Give the part files of each ``key=value`` folder the name ``new_name(value)``.
+
+    Through the Hadoop file system, whatever store the folder is in; a few sidecar files.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in system.listStatus(root):
+        if "=" in part.getPath().getName():
+            value = part.getPath().getName().split("=", 1)[1]
+            for file in system.listStatus(part.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    system.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(folder, new_name(value)))
+
+
+@query(
+    "a4_unreadable_shard",
+    f"""WITH usage AS ({q.USAGE['events']})
+SELECT event_id AS instance_index, machine_id, {_round_list(['avg_cpu', 'avg_memory'])} FROM usage""",
+)
+def a4_unreadable_shard(spark, sf_dir):
+    """Good shards next to one that claims to be gzip and is not: the rest is read."""
+    good, bad = scratch_folder(spark, "shards"), scratch_folder(spark, "broken")
+    source = events_usage(spark, sf_dir).withColumn("instance_index", F.col("event_id"))
+    source.select(
+        *[
+            F.col(c).cast("string") if c in source.columns else F.lit(None).cast("string").alias(c)
+            for c, _ in usage.USAGE_COLUMNS
+        ]
+    ).write.csv(good)
+    spark.range(1).select(F.lit("not gzip").alias("line"), F.lit(0).alias("k")).write.partitionBy("k").text(bad)
+    _renamed(spark, bad, lambda _: "shard.csv.gz")
+    kept = usage.read_usage(spark, [good, f"{bad}/shard.csv.gz"])
+    return rounded(kept.select("instance_index", "machine_id", "avg_cpu", "avg_memory"))
+
+
 @query(
     "a5_read_telemetry_csv",
     f"""SELECT machine_id, nullif(trim(cpu_usage), '') AS cpu_usage, memory_usage, assigned_memory,
@@ -304,6 +341,29 @@ def a9_metrics_round_trip(spark, sf_dir):
     return rounded(tables.read_metrics(spark, path), mape=2)
 
 
+@query("a9_metrics_from_json", _EVALUATION)
+def a9_metrics_from_json(spark, sf_dir):
+    """Metrics as one JSON document per model, read back as rows."""
+    path = scratch_folder(spark, "metrics")
+    metrics = evaluate.evaluate_by_split(_predictions(spark, sf_dir, split="test"))
+
+    def of(scope, value):
+        return F.when(F.col("scope") == scope, value)
+
+    regression = F.struct("mae", "rmse", "mape")
+    events = F.struct(*[f.name for f in tables.METRICS_SCHEMA.fields[6:12]])
+    metrics.groupBy("model").agg(
+        F.first(of("overall", regression), ignorenulls=True).alias("overall"),
+        F.map_from_entries(F.collect_list(of("per_target", F.struct("target", regression)))).alias("per_target"),
+        F.collect_list(of("per_horizon", F.struct("step", "mae", "rmse"))).alias("per_horizon"),
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("accuracy").isNotNull(), F.struct("target", events)))
+        ).alias("overload"),
+    ).write.partitionBy("model").json(path)
+    _renamed(spark, path, lambda model: f"{model}_metrics.json")
+    return rounded(tables.read_metrics_json(spark, f"{path}/*_metrics.json"), mape=2)
+
+
 # ---------------------------------------------------------------- cleaning
 
 
@@ -633,6 +693,27 @@ def _two_model_metrics(spark, sf_dir):
     return evaluate.evaluate_by_split(_predictions(spark, sf_dir, (3, 12), "test"))
 
 
+@query(
+    "a10_read_history",
+    f"""WITH daily AS (SELECT event_type, ts::DATE AS day, avg(value) AS loss, avg({q.K}) AS other,
+    row_number() OVER (PARTITION BY event_type ORDER BY ts::DATE) AS epoch, count(*) OVER (PARTITION BY event_type) AS epochs
+  FROM events GROUP BY 1, 2)
+SELECT 'moving_avg_' || event_type AS name, epoch::INT AS epoch, {q.r('loss')} AS train_loss,
+  CASE WHEN epoch <= epochs - 10 THEN {q.r('other')} END AS val_loss, 0.001::DOUBLE AS lr FROM daily""",
+)
+def a10_read_history(spark, sf_dir):
+    """Training histories as one JSON document per model, read back and unfolded."""
+    path = scratch_folder(spark, "histories")
+    _history_table(spark, sf_dir).write.partitionBy("name").json(path)
+    _renamed(spark, path, lambda name: f"{name}_history.json")
+    read = tables.read_history(spark, f"{path}/*_history.json")
+    curves = ("train_loss", "val_loss", "lr")
+    unfolded = read.select("name", F.posexplode(F.arrays_zip(*curves)).alias("at", "v"))
+    return rounded(
+        unfolded.select("name", (F.col("at") + 1).alias("epoch"), *[F.col("v")[c].alias(c) for c in curves])
+    )
+
+
 @query(
     "d3_model_sidecars",
     f"""{_METRICS}, curves AS (SELECT DISTINCT 'moving_avg_' || event_type AS name FROM events)
