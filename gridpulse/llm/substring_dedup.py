@@ -5,13 +5,12 @@
    share its anchor, and only about one phrase in fifteen is one.
 2. Windows whose anchor occurs in two different texts are hashed and counted; a window in
    two documents is confirmed, the smallest of them is its home. Runs of confirmed windows
-   at home are passages. A passage is cut into aligned phrases of half a window: any window
-   inside it holds one whole.
-3. Passages are dealt to shards of bounded size. A shard's phrases form one Aho-Corasick
-   automaton over word numbers; the documents that share a window with the shard stream
-   through it. A hit aligns document and passage, and every run of at least ``window`` equal
-   words along the alignment is an occurrence. Words themselves are compared, so a hash
-   collision cannot remove a word.
+   at home are passages, cut into pieces of bounded length.
+3. Pieces are dealt to shards of bounded size. The windows of a shard's pieces form one
+   Aho-Corasick automaton over word numbers; the documents that share a window with one of
+   its homes stream through it. Every hit is an occurrence of a whole window, so a document
+   of n words has at most n hits in a shard, however many passages resemble each other.
+   Words themselves are compared, so a hash collision cannot remove a word.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from gridpulse.llm import spans
 from gridpulse.llm.scratch import stored
 
 PHRASE = 20
-SHARD_WORDS = 200_000
-DOCUMENTS_A_SALT = 2000
+SHARD_WINDOWS = 4000
+DOCUMENTS_A_SALT = 200
 
 
 def _minimizers(phrases: np.ndarray, width: int) -> np.ndarray:
@@ -138,57 +137,34 @@ def _runs(sorted_positions: np.ndarray) -> list[tuple[int, int]]:
 
 
 class _Shard:
-    """Passages of one shard, their phrases in an automaton, and its word numbers."""
+    """The windows of a shard's passages in an automaton, and its word numbers."""
 
     def __init__(self, window: int):
-        self.window, self.step = window, window // 2
+        self.window, self.ready = window, False
         self.number: dict[str, int] = {}
-        self.passages: list[tuple[int, np.ndarray]] = []
-        self.automaton = None
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
     def add(self, home: int, words: list[str]) -> None:
         number = self.number
-        self.passages.append(
-            (home, np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64))
-        )
-
-    def compile(self) -> None:
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for p, (_, words) in enumerate(self.passages):
-            values = words.tolist()
-            for at in range(0, len(values) - self.step + 1, self.step):
-                places.setdefault(tuple(values[at : at + self.step]), []).append((p, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, where in places.items():
-            self.automaton.add_word(phrase, where)
-        self.automaton.make_automaton()
+        values = tuple([number.setdefault(w, len(number) + 1) for w in words])
+        for at in range(len(values) - self.window + 1):
+            self.automaton.add_word(values[at : at + self.window], home)
 
     def locate(self, doc_id: int, words: list[str]) -> list[tuple[int, int]]:
-        """Word ranges of the document that repeat passages at home in smaller documents."""
-        if self.automaton is None:
-            self.compile()
-        if not len(self.automaton):
-            return []
+        """Word ranges of the document that repeat windows at home in smaller documents."""
+        if not self.ready:
+            self.automaton.make_automaton()
+            self.ready = True
         get = self.number.get
-        values = [get(w, 0) for w in words]
-        own = np.array(values, np.int64)
-        covered = np.zeros(len(own) + 1, np.int32)
-        seen = set()
-        for end, where in self.automaton.iter(tuple(values)):
-            for p, at in where:
-                shift = end - self.step + 1 - at
-                if self.passages[p][0] >= doc_id or (p, shift) in seen:
-                    continue
-                seen.add((p, shift))
-                other = self.passages[p][1]
-                lo, hi = max(0, shift), min(len(own), shift + len(other))
-                equal = np.flatnonzero(own[lo:hi] == other[lo - shift : hi - shift])
-                for first, last in _runs(equal):
-                    if last - first + 1 >= self.window:
-                        covered[lo + first] += 1
-                        covered[lo + last + 1] -= 1
-        inside = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
-        return [(first, last + 1) for first, last in _runs(inside)] if len(inside) else []
+        values = tuple([get(w, 0) for w in words])
+        ends = np.array([e for e, home in self.automaton.iter(values) if home < doc_id], np.int64)
+        out: list[tuple[int, int]] = []
+        for first, last in _runs(ends):
+            first -= self.window - 1
+            if out and first <= out[-1][1]:
+                first = out.pop()[0]
+            out.append((first, last + 1))
+        return out
 
 
 def _split(text: str | None) -> list[str]:
@@ -199,8 +175,34 @@ def _split(text: str | None) -> list[str]:
 _BLANKS = {code: " " for code in range(0x09, 0x0E)}
 
 
+def _pieces(homes: DataFrame, window: int) -> DataFrame:
+    """(home, piece, windows, text) from rows (doc_id, text, starts): runs of windows."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words, piece = _split(text), 0
+                for first, last in _runs(np.unique(np.array(starts, np.int64))):
+                    for at in range(first, last + 1, SHARD_WINDOWS):
+                        upto = min(at + SHARD_WINDOWS, last + 1)
+                        part = " ".join(words[at : upto + window - 1])
+                        out.append((doc_id, piece, upto - at, part))
+                        piece += 1
+            columns = list(zip(*out)) or [[]] * 4
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                names=["home", "piece", "windows", "text"],
+            )
+
+    return homes.select("doc_id", "text", "starts").mapInArrow(
+        run, "home long, piece int, windows long, text string"
+    )
+
+
 def _occurrences(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, first, last) from rows (shard, salt, role, doc_id, text, starts).
+    """(doc_id, first, last) from rows (shard, salt, role, doc_id, text).
 
     In a group passages (role 0) come first; texts (role 1) stream past the automaton.
     """
@@ -209,14 +211,13 @@ def _occurrences(rows: DataFrame, window: int) -> DataFrame:
         at, shard = None, None
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)]
-            for i, (number, salt, role, doc_id, starts) in enumerate(zip(*columns)):
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for i, (number, salt, role, doc_id) in enumerate(zip(*columns)):
                 if at != (number, salt):
                     at, shard = (number, salt), _Shard(window)
                 words = _split(batch.column(4)[i].as_py())
                 if role == 0:
-                    for first, last in _runs(np.unique(np.array(starts, np.int64))):
-                        shard.add(doc_id, words[first : last + window])
+                    shard.add(doc_id, words)
                 else:
                     out += [(doc_id, lo, hi) for lo, hi in shard.locate(doc_id, words)]
             columns = list(zip(*out)) or [[]] * 3
@@ -227,7 +228,7 @@ def _occurrences(rows: DataFrame, window: int) -> DataFrame:
 
     return (
         rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "doc_id")
-        .select("shard", "salt", "role", "doc_id", "text", "starts")
+        .select("shard", "salt", "role", "doc_id", "text")
         .mapInArrow(run, "doc_id long, first int, last int")
     )
 
@@ -280,31 +281,34 @@ def repeated(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_list(F.expr("if(doc_id = home, start, null)")).alias("starts")),
         "shared",
     )
-    total = shared.filter("doc_id = home").agg(F.sum(F.size("starts"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("shard")
-    routes = shared.filter("doc_id > home").select("doc_id", shard).distinct()
+    pieces = stored(_pieces(shared.filter("doc_id = home").join(texts, "doc_id"), window), "pieces")
+    shards = max(1, -(-(pieces.agg(F.sum("windows")).first()[0] or 0) // SHARD_WINDOWS))
+    shard = F.pmod(F.xxhash64("home", "piece"), F.lit(shards)).cast("int").alias("shard")
+    dealt = pieces.select("home", shard, "text")
+    routes = (
+        shared.filter("doc_id > home").select("doc_id", "home")
+        .join(dealt.select("home", "shard").distinct(), "home").select("doc_id", "shard").distinct()
+    )
     salts = routes.groupBy("shard").agg(
         F.ceil(F.count("*") / DOCUMENTS_A_SALT).cast("int").alias("salts")
     )
-    streams = routes.join(salts, "shard").select(
-        "shard",
-        F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int").alias("salt"),
-        F.lit(1).alias("role"),
-        "doc_id",
-        F.lit(None).cast("array<int>").alias("starts"),
-    )
-    passages = (
-        shared.filter("doc_id = home").select("doc_id", shard, "starts").join(salts, "shard")
-        .select(
+    streams = (
+        routes.join(salts, "shard").join(texts.select("doc_id", "text"), "doc_id").select(
             "shard",
-            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-            F.lit(0).alias("role"),
+            F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int").alias("salt"),
+            F.lit(1).alias("role"),
             "doc_id",
-            "starts",
+            "text",
         )
     )
-    rows = streams.unionByName(passages).join(texts.select("doc_id", "text"), "doc_id")
+    passages = dealt.join(salts, "shard").select(
+        "shard",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(0).alias("role"),
+        F.col("home").alias("doc_id"),
+        "text",
+    )
+    rows = streams.unionByName(passages)
     ranges = (
         stored(_occurrences(rows, window), "occurrences").groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
