@@ -203,9 +203,14 @@ def scaled_blocks(
     per_block = wide.withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last_n") - 1) / size)))
     ).drop("last_n")
-    # A merge join shuffles and sorts the series just as the windows behind it need;
-    # the series itself must never be broadcast on a low size estimate.
-    joined = halo.hint("merge").join(per_block, ["machine_id", "block"])
+    if back or ahead:
+        # A merge join shuffles and sorts the series just as the windows behind it need;
+        # the series itself must never be broadcast on a low size estimate.
+        joined = halo.hint("merge").join(per_block, ["machine_id", "block"])
+    else:
+        # No window follows. Every machine here has training rows, so a left join finds the
+        # same rows, and only the scalers can be broadcast, if they measure small.
+        joined = halo.join(per_block, ["machine_id", "block"], "left")
     return apply_scaled(joined, columns).drop(
         *[f"{c}__{side}" for c in columns for side in ("min", "max")]
     )
