@@ -234,14 +234,14 @@ def _occurrences(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Scan table of all rows, and the word ranges to remove.
+    """Scan table of all rows, and the texts to cut with the word ranges to remove.
 
     First result: one row per row of ``docs`` with doc_id, n_words, words_sha256 (of the
     words joined by one space) and ``whole``: the document has at least ``window`` words and
     repeats one with a smaller doc_id word by word, so all its words go.
 
-    Second result: doc_id and ``ranges`` (array of word ranges [first, last), sorted; they
-    may overlap) of the other documents that repeat a window of ``window`` words of a
+    Second result: doc_id, text and ``ranges`` (array of word ranges [first, last), sorted;
+    they may overlap) of the other documents that repeat a window of ``window`` words of a
     document with a smaller doc_id. Null and empty texts have no words. Equal rows are one
     document. Rows without a doc_id, and rows whose doc_id stands at different texts, have
     no place in the order: they lose no words and make no others lose any. Further columns
@@ -313,10 +313,10 @@ def repeated(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
         stored(_occurrences(rows, window), "occurrences").groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
     )
-    return scan_out, ranges
+    return scan_out, ranges.join(texts.select("doc_id", "text"), "doc_id")
 
 
-def _cut(ranges: DataFrame, docs: DataFrame, digest: bool) -> DataFrame:
+def _cut(repeats: DataFrame, digest: bool) -> DataFrame:
     """doc_id, n_removed and the kept text (or its digest) of documents with ranges."""
 
     def run(batches):
@@ -335,16 +335,15 @@ def _cut(ranges: DataFrame, docs: DataFrame, digest: bool) -> DataFrame:
                 names=["doc_id", "n_removed", "kept"],
             )
 
-    return (
-        docs.join(ranges, "doc_id").select("doc_id", "text", "ranges")
-        .mapInArrow(run, "doc_id long, n_removed long, kept string")
+    return repeats.select("doc_id", "text", "ranges").mapInArrow(
+        run, "doc_id long, n_removed long, kept string"
     )
 
 
 def removal_digest(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``; see ``repeated``."""
-    scan, ranges = repeated(docs, window)
-    cut = _cut(ranges, docs.select("doc_id", "text"), digest=True).dropDuplicates(["doc_id"])
+    scan, repeats = repeated(docs, window)
+    cut = _cut(repeats, digest=True)
     whole = F.col("whole")
     return scan.join(cut, "doc_id", "left").select(
         "doc_id",
@@ -361,8 +360,8 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     All columns and rows stay; texts that lose nothing stay as they are, ``n_chars`` (if
     there) follows the text. See ``repeated`` for nulls, ties and repeated rows.
     """
-    scan, ranges = repeated(docs, window)
-    cut = _cut(ranges, docs.select("doc_id", "text"), digest=False).dropDuplicates(["doc_id"])
+    scan, repeats = repeated(docs, window)
+    cut = _cut(repeats, digest=False)
     whole = scan.filter("whole").select("doc_id", F.lit("").alias("kept")).distinct()
     changed = cut.select("doc_id", "kept").unionAll(whole)
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(changed, "doc_id", "left")
