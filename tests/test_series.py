@@ -104,7 +104,8 @@ def test_short_series_are_skipped_with_a_reason(regular):
     assert [(r.machine_id, r.window_idx, r.split) for r in rows] == [("exact", 0, "test")]
     skipped = {r.machine_id: r.n for r in ready.skipped.collect()}
     assert skipped == {"short": 71, "empty": 0}
-    assert {r.machine_id for r in ready.scalers.collect()} == {"exact"}
+    # A machine too short for a window keeps its scaler; one without training rows has none.
+    assert {r.machine_id for r in ready.scalers.collect()} == {"exact", "short"}
 
 
 def test_training_prefix_uses_double_arithmetic(regular):
