@@ -29,7 +29,7 @@ from gridpulse.llm.scratch import stored
 WINDOW = 2048
 OPEN = 32
 LEAST_PIECE = 64
-CACHED_UNITS = 500_000
+CACHED_UNITS = 100_000
 
 # Pre-token pattern of the byte-level vocabulary: a fixed value.
 _PRETOKEN = (
