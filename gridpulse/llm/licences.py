@@ -10,9 +10,15 @@ README has one; folders are matched by joins on their paths.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import log, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.llm.scratch import stored
+
 # Short statements that stand for a licence: fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -32,10 +38,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _template_words(templates: dict[str, str], spark) -> DataFrame:
-    rows = spark.createDataFrame(sorted(templates.items()), "template string, body string")
-    words = rows.select("template", F.explode(_words(F.col("body"))).alias("word"))
-    return words.groupBy("template", "word").agg(F.count("*").alias("tf"))
+def _template_counts(templates: dict[str, str]) -> dict[str, Counter]:
+    return {
+        name: Counter(w for w in re.split("[^a-z0-9]+", body.lower()) if w)
+        for name, body in sorted(templates.items())
+    }
 
 
 def statements(
@@ -46,9 +53,8 @@ def statements(
     ``files`` has path and text; null paths and texts find nothing, ties go to the template
     first in order. Equal rows count once. Idf is ln(lines + 1) - ln(lines with the word).
     """
-    spark = files.sparkSession
-    wanted = _template_words(templates or TEMPLATES, spark)
-    vocabulary = sorted(r["word"] for r in wanted.select("word").distinct().collect())
+    wanted = _template_counts(templates or TEMPLATES)
+    vocabulary = sorted({w for words in wanted.values() for w in words})
     known = F.array(*[F.lit(w) for w in vocabulary])
     lines = files.filter("path is not null").select(
         "path", F.posexplode(F.split("text", "\n")).alias("line", "body")
@@ -59,8 +65,7 @@ def statements(
     seen = hits.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     counts = {r["word"]: r["df"] for r in seen.collect()}  # at most the template words
     top = F.lit(float(total + 1))
-    idf = spark.createDataFrame([(w, counts.get(w, 1)) for w in vocabulary], "word string, df long")
-    idf = idf.withColumn("idf", F.log(top) - F.log(F.col("df").cast("double")))
+    idf = {w: log(total + 1) - log(counts.get(w, 1)) for w in vocabulary}
     weight = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, float(counts.get(w, 1)))])
     rare = F.log(top)
 
@@ -79,20 +84,26 @@ def statements(
     close = close.withColumn("inside", inside).filter(bound)
     outside = mass(F.col("others"), lambda w: rare)
     close = close.withColumn("norm", F.sqrt(F.col("inside") + outside)).filter("norm > 0")
-    vectors = wanted.join(F.broadcast(idf), "word").withColumn("x", F.col("tf") * F.col("idf"))
-    norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    vectors = vectors.join(norms, "template").select("template", "word", "x", "idf", "length")
-    terms = close.select("path", "line", "norm", F.explode("words").alias("word"))
-    scored = (
-        terms.join(F.broadcast(vectors), "word").groupBy("path", "line", "norm", "template", "length")
-        .agg(F.sum(F.col("x") * F.col("idf")).alias("dot"))
-        .withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6))
-        .filter(F.col("cosine") >= threshold)
-    )
-    best = scored.groupBy("path").agg(
-        F.max("cosine").alias("cosine"), F.min(F.struct(-F.col("cosine"), "template")).alias("top")
-    )
-    return best.select("path", F.col("top.template").alias("licence"), "cosine")
+    # Written once, so that the scoring below is not pushed into the scan of all lines.
+    close = stored(close.select("path", "words", "norm"), "lines")
+
+    def equals(word: str):
+        return lambda x: x == F.lit(word)
+
+    # Templates are few and fixed, so their products are expressions over the line itself.
+    scores = []
+    for place, (name, words) in enumerate(wanted.items()):
+        length = sqrt(sum((tf * idf[w]) ** 2 for w, tf in words.items()))
+        parts = [
+            F.size(F.filter("words", equals(w))) * F.lit(tf * idf[w] ** 2)
+            for w, tf in words.items()
+        ]
+        dot = F.aggregate(F.array(*parts), F.lit(0.0), lambda total, part: total + part)
+        cosine = F.round(dot / (F.col("norm") * F.lit(length)), 6) if length else F.lit(0.0)
+        scores.append(F.struct(cosine.alias("cosine"), F.lit(-place).alias("place"), F.lit(name).alias("licence")))
+    best = close.select("path", F.array_max(F.array(*scores)).alias("top"))
+    best = best.filter(F.col("top.cosine") >= threshold).groupBy("path").agg(F.max("top").alias("top"))
+    return best.select("path", "top.licence", "top.cosine")
 
 
 def _folder(path: Column) -> Column:
