@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpulse.llm.scratch import stored
+
 SAMPLE = 20_000  # bound of the k-means sample
 MOST_LISTS = 256
 PROBED_SHARE = 0.6  # of the lists; recall is measured in the tests
@@ -94,6 +96,10 @@ class _Scan:
         score = dots / (self.norms[query] * norms[row])
         order = np.lexsort((ids[row], -score, query))
         query, row, score = query[order], row[order], score[order]
+        # Rows of one id at one score count once, before the best are cut.
+        fresh = (query[1:] != query[:-1]) | (ids[row[1:]] != ids[row[:-1]]) | (score[1:] != score[:-1])
+        fresh = np.r_[True, fresh]
+        query, row, score = query[fresh], row[fresh], score[fresh]
         starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
         for lo, hi in zip(starts, np.r_[starts[1:], len(query)]):
             q = query[lo]
@@ -126,8 +132,10 @@ def nearest(
     widths = valid.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if widths is None:
         return spark.createDataFrame([], schema)
-    width, total = widths
-    valid = valid.filter(F.size("v") == width)
+    width = widths["w"]
+    # Repeats go before anything is counted, so lists hold, and scans see, each row once.
+    valid = stored(valid.filter(F.size("v") == width).distinct(), "vectors")
+    total = valid.count()
     sample = valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     units = _unit(np.array([r["v"] for r in sample], np.float64))
     rotation = np.linalg.qr(np.random.default_rng(7).normal(size=(width, width)))[0]

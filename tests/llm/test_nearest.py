@@ -54,3 +54,16 @@ def test_edge_rows(spark, monkeypatch):
     two = df.filter("vec_id in (0, 100)")
     assert [(r.query_id, r.vec_id) for r in nearest.nearest(two, "vec_id", "embedding", "id = 0").collect()] == [(0, 100)]
     assert nearest.nearest(df.limit(0), "vec_id", "embedding", "true").count() == 0
+
+
+def test_repeated_rows_leave_room_for_others(spark):
+    rng = np.random.default_rng(5)
+    ids, vectors = np.arange(1, 41), rng.normal(size=(40, 8))
+    vectors[1:9] = vectors[0] + 0.01 * np.arange(1, 9)[:, None] * rng.normal(size=(8, 8))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors)]
+    rows += rows * 5  # every row more often than k
+    rows += [(2, (vectors[1] * 2**n).tolist()) for n in range(1, 8)]  # one id at one score, rows not equal
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, "vec_id", "embedding", "id = 1", probed_share=1.0).collect()
+    want = [i for i, _ in brute(ids, vectors, [1], 5)[1]]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == want
