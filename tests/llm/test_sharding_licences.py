@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from importlib.resources import files as packaged
 
 from gridpulse.llm import licences, sharding
 from tests.llm.conftest import CLASHING
@@ -85,3 +86,30 @@ def test_licences_equal_brute_force(spark):
     assert got["lib/deep/er/d.py"] == ("Apache-2.0", "inherited", "lib/deep/COPYING")
     assert got["b.py"][0] == "MIT" and got["a.py"][:2] == ("GPL-3.0", "own")
     assert licences.licences(df.limit(0)).count() == 0
+
+
+def test_licences_beyond_the_short_statements(spark):
+    def text(name):
+        return (packaged("gridpulse.llm") / "licence_texts" / f"{name}.txt").read_text()
+
+    mit = text("MIT").replace("<year> <copyright holders>", "2019 Jane Roe and others").replace(", ", ",\n * ")
+    apache = "\n".join(" * " + line for line in text("Apache-2.0").split("\n")[-13:])
+    files = {
+        "a/LICENSE": (mit.split("\n\n", 2)[2], "MIT"),  # neither title nor copyright line
+        "b/x.c": ("/*\n * Copyright 2020 Roe\n *\n" + apache + "\n */\nint main() { return 0; }", "Apache-2.0"),
+        "c/COPYING": (text("GPL-3.0"), "GPL-3.0"), "d/COPYING": (text("GPL-2.0"), "GPL-2.0"),
+        "e/COPYING": (text("LGPL-3.0"), "LGPL-3.0"), "f/LICENSE": (text("BSD-3-Clause"), "BSD-3-Clause"),
+        "g/x.py": ("#!/bin/x\n# SPDX-License-Identifier: GPL-3.0-or-later\nprint(1)", "GPL-3.0"),
+        "h/x.py": ("// SPDX-License-Identifier: MIT", "MIT"), "i/x.py": ("# SPDX-License-Identifier: AAL", None),
+        "j/x": ("# This file is licensed under the MIT License.", "MIT"), "k/x": ("MIT License", "MIT"),
+        "l/x": ("The code here is released under the MIT License.", "MIT"),
+        "m/README.md": ("# Name\n\nSome words.\n\n## License\n\nMIT\n", "MIT"),
+        "n/x": ("Creative Commons Attribution-NonCommercial 4.0 International Public License", "CC-BY-NC-4.0"),
+        "o/x": ("the licence of the driver is under review and that is that", None),
+    }
+    rows = [(p, t) for p, (t, _) in files.items()]
+    rows += [(f"z/{i}", f"the words of here {i} and a plain line\nof a work that is in the sky") for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.licence for r in licences.statements(df).collect()}
+    assert {p: got.get(p) for p in files} == {p: n for p, (_, n) in files.items()}
+    assert not any(p.startswith("z/") for p in got)
