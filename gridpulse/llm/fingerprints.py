@@ -4,14 +4,17 @@ The hash of a text's first i characters, modulo two primes, is kept for every i;
 hash follows from two of them, so any two spans compare in constant time and the longest
 common extension of two positions is found by binary search. A fingerprint samples these
 arrays: the hashes of the prefixes and of the suffixes whose lengths lie on a geometric
-grid, with the length and the hash of the whole. Two fingerprints tell by binary search how
-far the texts agree from the start and from the end.
+grid, with the length and the hash of the whole, and the hashes and lengths of the spans
+between borders that the text itself sets. Two fingerprints tell by binary search how far
+the texts agree from the start and from the end, and by equal spans what they share between,
+wherever it stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,10 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 1350490027)
 STEPS_A_DOUBLING = 4
 DIGITS = 6  # hex digits of a sampled hash
+LENGTH_DIGITS = 3  # hex digits of a span's length; longer spans are cut
+WINDOW = 8  # characters that decide on a border, a power of two
+REACH = 16  # a border is the least window among so many on either side
+SHORT = 160  # texts up to this length are told by their ends alone
 ROWS_A_RANGE = 4000
 MOST_RANGES = 1_000_000
 
@@ -47,7 +54,7 @@ class PrefixHashes:
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.length = len(codes)
+        self.length, self.codes, self.made = len(codes), codes, None
         values = codes.astype(np.uint64) + np.uint64(1)
         self.sums = []
         for base, prime in zip(BASES, PRIMES):
@@ -79,18 +86,53 @@ class PrefixHashes:
                 high = middle - 1
         return low
 
+    def borders(self) -> np.ndarray:
+        """0, the places where a window hashes lower than all within REACH, and the length.
+
+        A border depends on nothing farther away than REACH and a window, so an edit moves
+        the borders next to it only.
+        """
+        values = self.codes * np.uint32(0x9E3779B1)
+        size, factor = 1, 0x85EBCA6B
+        while size < WINDOW and len(values) > size:
+            values = values[:-size] * np.uint32(factor) + values[size:]
+            size, factor = 2 * size, factor * factor & 0xFFFFFFFF
+        values = (values ^ values >> np.uint32(15)) * np.uint32(0xC2B2AE35)
+        values = (values ^ values >> np.uint32(13)) >> np.uint32(1)  # below the filling
+        fill = np.full(REACH, 0xFFFFFFFF, np.uint32)
+        least, width = np.concatenate([fill, values, fill]), 1
+        while 2 * width <= REACH:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        rest = REACH - width
+        least = np.minimum(least[: len(least) - rest], least[rest:])  # of REACH places each
+        n = len(values)
+        inner = np.flatnonzero((values < least[:n]) & (values < least[REACH + 1 : REACH + 1 + n]))
+        most = 16**LENGTH_DIGITS - 1
+        found = np.unique(np.concatenate([[0], inner, [self.length]]))
+        if (np.diff(found) > most).any():
+            cut = [np.arange(lo, hi, most) for lo, hi in zip(found[:-1], found[1:])]
+            found = np.concatenate([*cut, found[-1:]])
+        return found
+
     def fingerprint(self) -> str:
-        """length:whole:prefixes:suffixes, in hex; equal texts have equal fingerprints."""
+        """length:whole:prefixes:suffixes:spans, in hex; equal texts have equal fingerprints."""
+        if self.made:
+            return self.made
         n = self.length
         sizes = _GRID[: bisect_right(GRID, n)]
         zero = np.zeros(len(sizes) + 1, np.int64)
         prefixes = self.spans(zero, np.append(sizes, n))
         suffixes = self.spans(n - sizes, np.full(len(sizes), n))
-        sampled = np.concatenate([prefixes[:-1], suffixes]) * np.uint64(0x9E3779B97F4A7C15)
+        at = self.borders() if n > SHORT else np.zeros(1, np.int64)
+        inner = self.spans(at[:-1], at[1:])
+        sampled = np.concatenate([prefixes[:-1], suffixes, inner]) * np.uint64(0x9E3779B97F4A7C15)
         sampled = (sampled >> np.uint64(64 - 4 * DIGITS)).tolist()
         digits = [f"{v:0{DIGITS}x}" for v in sampled]
         half = len(sizes)
-        return f"{n:x}:{int(prefixes[-1]):016x}:{''.join(digits[:half])}:{''.join(digits[half:])}"
+        spans = [f"{d}{w:0{LENGTH_DIGITS}x}" for d, w in zip(digits[2 * half :], np.diff(at).tolist())]
+        ends = f"{''.join(digits[:half])}:{''.join(digits[half : 2 * half])}"
+        self.made = f"{n:x}:{int(prefixes[-1]):016x}:{ends}:{''.join(spans)}"
+        return self.made
 
 
 def _agreed(one: str, two: str) -> int:
@@ -106,16 +148,37 @@ def _agreed(one: str, two: str) -> int:
     return GRID[low - 1] if low else 0
 
 
+def _spans(digits: str, first: int, last: int) -> tuple[Counter, Counter]:
+    """Lengths of the spans by hash and length: of all, and of those between two places."""
+    every, between, at = Counter(), Counter(), 0
+    for i in range(0, len(digits), DIGITS + LENGTH_DIGITS):
+        span = digits[i : i + DIGITS + LENGTH_DIGITS]
+        width = int(span[DIGITS:], 16)
+        every[span] += width
+        if at >= first and at + width <= last:
+            between[span] += width
+        at += width
+    return every, between
+
+
 def likeness(one: str, two: str) -> float:
-    """Share of the longer text in which two fingerprints agree from the start and the end.
+    """Share of the longer text that equal spans of two fingerprints cover.
 
-    1 only for equal fingerprints. The shares are lower bounds, by less than a grid step.
+    Counted are what agrees from the start and from the end with the equal spans between, or
+    all equal spans if those are more. 1 only for equal fingerprints. The shares are lower
+    bounds: an end may be short by a grid step, and a span with an edit in it counts nothing.
+    Texts of up to SHORT characters are compared by their ends alone.
     """
     if one == two:
         return 1.0
     a, b = one.split(":"), two.split(":")
     n, m = int(a[0], 16), int(b[0], 16)
-    same = _agreed(a[2], b[2]) + _agreed(a[3], b[3])
+    start, end = _agreed(a[2], b[2]), _agreed(a[3], b[3])
+    same = start + end
+    if a[4] and b[4] and same < min(n, m):
+        every, between = _spans(a[4], start, n - end)
+        others, beside = _spans(b[4], start, m - end)
+        same = max(same + (between & beside).total(), (every & others).total())
     return min(same, min(n, m), max(n, m) - 1) / max(n, m)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given
@@ -63,3 +64,25 @@ def test_edge_rows(spark, docs):
     assert len(fp.fingerprinted(docs(rows)).collect()) == 5
     assert fp.fingerprinted(docs([(None, "ab"), (None, "cd")])).count() == 2
     assert fp.fingerprinted(docs(rows).limit(0)).count() == 0
+
+
+def test_likeness_sees_what_lies_between_edits():
+    random.seed(4)
+
+    def prose(n):
+        return " ".join("".join(random.choices("aeioustrnél", k=random.randint(2, 9))) for _ in range(n))
+
+    def near(one, two):
+        return fp.likeness(fp.PrefixHashes(one).fingerprint(), fp.PrefixHashes(two).fingerprint())
+
+    body = prose(1000)
+    assert near("Old title\n" + body + "\nold footer", "A new and longer title\n" + body + "\nby another") > 0.95
+    words = body.split(" ")
+    spread = [w if i % 100 else "edited" for i, w in enumerate(words)]
+    assert near(body, " ".join(spread)) > 0.85
+    half = len(body) // 2
+    assert near(body, body[half:] + body[:half]) > 0.95
+    assert near(body, prose(1000)) < 0.05
+    # No span counts more often than both texts have it, and a run without borders is no harm.
+    assert near(body + body, "x" + body + "y") <= 0.51
+    assert near("a" * 20000, "b" + "a" * 20000 + "c") < 1
