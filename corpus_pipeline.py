@@ -40,8 +40,8 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of what is left."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token windows of what is left, with their ids."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [

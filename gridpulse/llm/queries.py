@@ -90,7 +90,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.packed(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True
+    )
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,19 @@ def test_stages_equal_brute_force(spark):
             assert start == at and zlib.crc32(ids[start : start + length].tobytes()) == crc
             at += length
         assert at == len(ids)
+
+
+def test_last_stage_hands_out_sequences(spark, docs):
+    rows = [(i, f"words of document {i} " * (i % 40)) for i in range(60)]
+    windows = defaultdict(dict)
+    for r in corpus_pipeline.packing_stage(spark, docs(rows), DATA).collect():
+        windows[r.sequence_id][r.offset] = r
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = defaultdict(list)
+    for pieces in windows.values():
+        sequence = b"".join(pieces[at].ids for at in sorted(pieces))
+        for at, r in pieces.items():
+            parts[r.doc_id].append((r.start, sequence[4 * at : 4 * (at + r.length)]))
+    for doc_id, text in rows:
+        want = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(piece for _, piece in sorted(parts[doc_id])) == want
