@@ -12,6 +12,7 @@ from gridpulse.llm import (
     fingerprints,
     language_id,
     licences,
+    mixing,
     near_dedup,
     nearest,
     packing,
@@ -110,6 +111,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.scheduled(documents(spark, sf_dir)).drop("positions")
+    return mixing.in_training_order(mix)
+
+
 LLM_QUERIES = {
     "pipeline": pipeline,
     "op1_substring_dedup": op1_substring_dedup,
@@ -122,6 +128,7 @@ LLM_QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_source_mix": op13_source_mix,
 }
 
 LLM_ORACLES = {
@@ -202,5 +209,46 @@ least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
   d.doc_id = component_id AS kept
 FROM documents d JOIN least ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+""",
+    "op13_source_mix": r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('13:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS key
+  FROM documents),
+totals AS (SELECT source, sum(size)::HUGEINT AS s FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, s, 3 * s AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS tier
+  FROM totals),
+lined AS (SELECT *, CASE tier WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM weighed),
+-- Sources fill up in the order of cap / weight; 10 / w is whole.
+filled AS (
+  SELECT *, (SELECT sum(s) FROM totals)
+      - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM lined WINDOW o AS (ORDER BY cap * (10 // w), source NULLS LAST)),
+level AS (
+  SELECT rest, share FROM filled WHERE cap * share >= w * rest
+  ORDER BY cap * (10 // w), source NULLS LAST LIMIT 1),
+aims AS (
+  SELECT source, s::BIGINT AS source_size, tier,
+    CASE WHEN cap * share < w * rest THEN cap::DOUBLE ELSE w * rest::DOUBLE / share::DOUBLE END AS target
+  FROM lined, level),
+placed AS (
+  SELECT z.*, source_size, tier, target, coalesce(sum(size) OVER (PARTITION BY z.source
+    ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized z JOIN aims a ON a.source IS NOT DISTINCT FROM z.source),
+reading AS (
+  SELECT *, list_transform(range(3), lambda r:
+      greatest(least(floor(target + 0.5)::BIGINT - start - source_size * r, size), 0)) AS given,
+    start / nullif(target, 0) AS q
+  FROM placed)
+SELECT doc_id, source, size, source_size, target, list_sum(given)::BIGINT AS taken,
+  len(list_filter(given, lambda n: n > 0))::INT AS reads,
+  CASE WHEN given[1] = 0 THEN NULL
+    WHEN tier = 0 THEN q * 2 / (sqrt(2.25 + q * -2) + 1.5)
+    WHEN tier = 1 THEN q * 2 / 2
+    WHEN q >= 0.25 THEN (q - 0.25) * 2 / (sqrt(0.5625 + (q - 0.25) * 6) + 0.75) + 0.5
+    ELSE q * 2 / (sqrt(0.0625 + q * 2) + 0.25) END AS position
+FROM reading
 """,
 }
