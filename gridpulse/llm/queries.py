@@ -18,6 +18,7 @@ from gridpulse.llm import (
     packing,
     quality,
     sharding,
+    spelling,
     substring_dedup,
 )
 
@@ -111,6 +112,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.scheduled(documents(spark, sf_dir)).drop("positions")
     return mixing.in_training_order(mix)
@@ -128,6 +133,7 @@ LLM_QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_source_mix": op13_source_mix,
 }
 
@@ -209,6 +215,49 @@ least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
   d.doc_id = component_id AS kept
 FROM documents d JOIN least ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE steps AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)::BIGINT[]),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(b))),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'),
+      lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+  FROM counted, steps),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+    FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (
+  SELECT DISTINCT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word),
+near AS (
+  SELECT a AS word, count(*) AS n_near, min({'less': -w.n, 'word': b}) AS first
+  FROM pairs JOIN words w ON w.word = b GROUP BY a),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN -first.less >= 5 * w.n THEN first.word END AS form,
+    CASE WHEN -first.less >= 5 * w.n THEN -first.less END AS form_n
+  FROM words w LEFT JOIN near ON near.word = w.word),
+chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends ON ends.word = f.word
 """,
     "op13_source_mix": r"""
 WITH RECURSIVE sized AS (
