@@ -6,14 +6,14 @@ are refined with their decoded bytes. Where both have a cut, a group of tokens e
 tokens of a group are linked with each other.
 
 Texts are handled in units: a space after a character that is no white space starts a token
-in both vocabularies (checked when the files are loaded), so units are aligned alone and
-looked up again. Where a vocabulary does not promise that, a text is one unit.
-
-Documents are dealt into blocks of about ``BLOCK_BYTES`` of text. A block writes its distinct
-units, its distinct linked id pairs with the number of its documents that hold them, and each
-document as unit numbers. Pair counts are one aggregate over all blocks, and go back to the
-blocks that hold the pair. So what moves is one row per block and pair, not per document and
-pair, and a task holds one block.
+in both vocabularies (checked when the files are loaded), so unseen units are aligned many at
+a time and looked up again. Where a vocabulary does not promise that, a text is one unit.
+
+Documents are dealt into blocks of about ``BLOCK_BYTES`` of text. A block writes the groups of
+its distinct units, its distinct linked id pairs with the number of its documents that hold
+them, and each document as unit numbers. Pair counts are one aggregate over all blocks, and
+go back to the blocks that hold the pair. So what moves is one row per block and pair, not
+per document and pair, and a task holds one block.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ from tokenizers import Tokenizer
 from gridpulse.llm.scratch import stored
 
 BLOCK_BYTES = 8 << 20
-CACHED_UNITS = 100_000  # per generation; two are kept
-LONGEST_CACHED = 64
+CACHED_UNITS = 500_000  # kept from one block of a task to the next
+UNITS_AT_ONCE = 200
 OUT_CHARACTERS = 8 << 20
 
 _UNIT = re.compile(r"(?<=\S)(?= )")
@@ -48,54 +48,84 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _BYTE_OF = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(_OTHERS)}
 
 
-def cuts_by_offsets(offsets: list[tuple[int, int]], decoded: list[bytes], text: str) -> list[int]:
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each run of values."""
+    sums, ends = np.concatenate([[0], np.cumsum(values)]), np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+@dataclass
+class Groups:
+    """Aligned units: ids of both sides, tokens in each group, groups in each unit."""
+
+    a: np.ndarray
+    b: np.ndarray
+    in_a: np.ndarray
+    in_b: np.ndarray
+    units: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Groups]) -> Groups:
+        names = ("a", "b", "in_a", "in_b", "units")
+        return Groups(*(np.concatenate([_NONE, *(getattr(p, n) for p in parts)]) for n in names))
+
+    def of(self, units: np.ndarray) -> Groups:
+        """The groups of some units, in their order."""
+        sizes = self.units[units]
+        own = _places((np.cumsum(self.units) - self.units)[units], sizes)
+        in_a, in_b = self.in_a[own], self.in_b[own]
+        a = self.a[_places((np.cumsum(self.in_a) - self.in_a)[own], in_a)]
+        return Groups(a, self.b[_places((np.cumsum(self.in_b) - self.in_b)[own], in_b)], in_a, in_b, sizes)
+
+    def links(self) -> np.ndarray:
+        """Linked id pairs as one number each, group after group."""
+        group = np.repeat(np.arange(len(self.in_a)), self.in_a)
+        times = self.in_b[group]
+        return np.repeat(self.a, times) << 32 | self.b[_places((np.cumsum(self.in_b) - self.in_b)[group], times)]
+
+    def many(self) -> np.ndarray:
+        """(first tokens, second tokens, groups, links) of each unit."""
+        counts = (self.in_a, self.in_b, np.ones(len(self.in_a), np.int64), self.in_a * self.in_b)
+        return np.stack([_sums(c, self.units) for c in counts])
+
+    def texts(self) -> list[str]:
+        """Each unit as ``a1,a2|b1;a3|b2,b3``."""
+        both = self.in_a + self.in_b
+        start = np.cumsum(both) - both
+        codes = np.zeros(int(both.sum()), np.int64)
+        codes[_places(start, self.in_a)] = 4 * self.a
+        codes[_places(start + self.in_a, self.in_b)] = 4 * self.b
+        codes[start + self.in_a - 1] += 1
+        codes[start + both - 1] += 2
+        codes[(start + both - 1)[np.cumsum(self.units) - 1]] += 1
+        if len(codes) and codes.max() >= len(_marked):
+            known = len(_marked) // 4
+            _marked.extend(f"{i}{mark}" for i in range(known, int(codes.max()) // 4 + 1) for mark in ",|;\n")
+        return "".join(map(_marked.__getitem__, codes.tolist())).split("\n")[:-1]
+
+
+_NONE = np.zeros(0, np.int64)
+_marked: list[str] = []
+
+
+def cuts(offsets: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Byte positions at which tokens with character offsets end.
 
-    A token whose last character goes on in the next token ends inside it: there the length
-    of its decoded bytes counts.
+    A token whose last character goes on in the next token ends inside it: there the sizes
+    of the decoded tokens count.
     """
-    if text.isascii():
-        return [end for _, end in offsets]
-    bytes_at = [0]
-    for character in text:
-        bytes_at.append(bytes_at[-1] + len(character.encode()))
-    ends, at = [], 0
-    for i, (_, end) in enumerate(offsets):
-        shared = i + 1 < len(offsets) and offsets[i + 1][0] < end
-        at = at + len(decoded[i]) if shared else bytes_at[end]
-        ends.append(at)
-    return ends
-
-
-def groups_of(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids of both sides between positions where tokens of both end."""
-    groups, i, j = [], 0, 0
-    for end in sorted(set(a_ends) & set(b_ends)):
-        k, m = i, j
-        while k < len(a) and a_ends[k] <= end:
-            k += 1
-        while m < len(b) and b_ends[m] <= end:
-            m += 1
-        groups.append((a[i:k], b[j:m]))
-        i, j = k, m
-    return groups
-
-
-class Aligned:
-    """Groups of one unit: token and group numbers, linked id pairs, and their text form."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "text")
-
-    def __init__(self, groups: list[tuple[list[int], list[int]]]):
-        self.n_a = sum(len(a) for a, _ in groups)
-        self.n_b = sum(len(b) for _, b in groups)
-        self.n_groups = len(groups)
-        self.pairs = array("q", [x << 32 | y for a, b in groups for x in a for y in b])
-        self.text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
+    characters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    shared = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
+    return np.where(shared, np.cumsum(sizes), characters[offsets[:, 1]])
 
 
 class Aligner:
-    """Both tokenizers, and a bounded cache of units."""
+    """Both tokenizers, and the units met so far."""
 
     def __init__(self, a_file: str, b_file: str):
         # Tasks share the cores already.
@@ -103,17 +133,19 @@ class Aligner:
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        added = {str(t.content): i for i, t in self.a.get_added_tokens_decoder().items()}
-        self.a_bytes = {
-            i: t.encode() if t in added else bytes([_BYTE_OF[c] for c in t])
-            for t, i in self.a.get_vocab(True).items()
-        }
+        added = {str(t.content) for t in self.a.get_added_tokens_decoder().values()}
+        vocabulary = self.a.get_vocab(True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = t.encode() if t in added else bytes([_BYTE_OF[c] for c in t])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.b_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if own else p.replace(_SPACE, " ").encode()
             for p, own in zip(pieces, self.b_byte)
         ]
+        self.a_size = np.array([len(t) for t in self.a_bytes])
+        self.b_size = np.array([len(t) for t in self.b_bytes])
         with open(a_file, encoding="utf-8") as file:
             rules = json.load(file)
         first = rules["pre_tokenizer"] or {}
@@ -123,131 +155,140 @@ class Aligner:
             and all(t["special"] for t in rules["added_tokens"])
             and not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
         )
-        self.cache: dict[str, Aligned | None] = {}
-        self.old: dict[str, Aligned | None] = {}
+        self.forget()
 
-    def _aligned(self, text: str, encoding, proto) -> Aligned | None:
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.parts: list[Groups] = []
+        self.met = 0
+
+    def groups(self) -> Groups:
+        """All units met, by number."""
+        self.parts = [Groups.joined(self.parts)]
+        return self.parts[0]
+
+    def _aligned(self, units: list[str]) -> Groups | None:
+        """Groups of units that follow each other; None where the bytes differ."""
+        text = "".join(units)
         raw = text.encode()
+        encoding = self.a.encode(text, add_special_tokens=False)
+        proto = self.b.encode(text[1:], return_type="proto")
         a = encoding.ids
-        a_decoded = [self.a_bytes[i] for i in a]
-        b, b_ends, b_decoded, at = [], [], [], 0
-        for piece in proto.pieces:
-            number = piece.id
-            b.append(number)
-            b_decoded.append(self.b_bytes[number])
-            # Spans leave out the space that the tokenizer adds in front.
-            at = at + 1 if self.b_byte[number] else piece.end + 1
-            b_ends.append(at)
-        if b"".join(a_decoded) != raw or b"".join(b_decoded) != raw:
-            return None
-        return Aligned(groups_of(a, cuts_by_offsets(encoding.offsets, a_decoded, text), b, b_ends))
-
-    def build(self, texts: list[str]) -> list[Aligned | None]:
-        """Each text, which begins with a space, aligned; None where the bytes differ."""
-        encodings = self.a.encode_batch(texts, add_special_tokens=False)
-        protos = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        return list(map(self._aligned, texts, encodings, protos))
-
-    def units(self, texts: list[str | None]) -> list[list[str]]:
-        """The units of each text behind an added space; null and empty texts have none."""
-        if self.by_units:
-            return [_UNIT.split(" " + t) if t else [] for t in texts]
-        return [[" " + t] if t else [] for t in texts]
-
-    def look_up(self, units: set[str]) -> dict[str, Aligned | None]:
-        found, missing = {}, []
-        for unit in units:
-            if unit in self.cache:
-                found[unit] = self.cache[unit]
-            elif unit in self.old:
-                found[unit] = self.cache[unit] = self.old[unit]
-            else:
-                missing.append(unit)
-        if len(self.cache) > CACHED_UNITS:
-            self.cache, self.old = {}, self.cache
-        for at in range(0, len(missing), 1000):
-            part = missing[at : at + 1000]
-            for unit, made in zip(part, self.build(part)):
-                found[unit] = made
-                if len(unit) <= LONGEST_CACHED:
-                    self.cache[unit] = made
-        return found
+        b, ends = zip(*[(piece.id, piece.end) for piece in proto.pieces]) if proto.pieces else ((), ())
+        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_cuts = cuts(np.array(encoding.offsets), self.a_size[a], np.frombuffer(raw, np.uint8))
+        # Spans leave out the space that the tokenizer adds in front; byte pieces share one.
+        b_cuts = np.where(self.b_byte[b], np.cumsum(self.b_size[b]), np.array(ends) + 1)
+        common = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
+        unit_ends = np.cumsum([len(u.encode()) for u in units])
+        last = np.searchsorted(common, unit_ends)
+        if (common[np.minimum(last, len(common) - 1)] != unit_ends).any():
+            raise ValueError("a token crosses the border of two units")
+        in_a, in_b = (
+            np.bincount(np.searchsorted(common, c), minlength=len(common)) for c in (a_cuts, b_cuts)
+        )
+        return Groups(a, b, in_a, in_b, np.diff(last, prepend=-1))
+
+    def _learn(self, units: list[str]) -> None:
+        """Number the units; -1 where the bytes differ."""
+        made = self._aligned(units)
+        if made is not None:
+            self.number.update(zip(units, range(self.met, self.met + len(units))))
+            self.parts.append(made)
+            self.met += len(units)
+        elif len(units) == 1:
+            self.number[units[0]] = -1
+        else:
+            self._learn(units[: len(units) // 2])
+            self._learn(units[len(units) // 2 :])
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Unit numbers of each text behind an added space; none without tokens."""
+        divide = _UNIT.split if self.by_units else lambda text: [text]
+        split = [divide(" " + t) if t else [] for t in texts]
+        missing = list({unit for units in split for unit in units if unit not in self.number})
+        step = UNITS_AT_ONCE if self.by_units else 1
+        for at in range(0, len(missing), step):
+            self._learn(missing[at : at + step])
+        out = []
+        for text, units in zip(texts, split):
+            own = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+            if (own < 0).any():
+                # Some bytes differ in a unit: the whole text decides.
+                if " " + text not in self.number:
+                    self._learn([" " + text])
+                own = np.array([self.number[" " + text]], np.int64)
+                own = own[own >= 0]
+            out.append(own)
+        return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
 def aligner(a_file: str, b_file: str) -> Aligner:
-    """The worker's aligner for two vocabulary files; its cache lives as long as the worker."""
+    """The worker's aligner for two vocabulary files; its units live as long as the worker."""
     if (a_file, b_file) not in _aligners:
         _aligners[a_file, b_file] = Aligner(a_file, b_file)
     return _aligners[a_file, b_file]
 
 
-class _Block:
-    """Documents of one block as unit numbers, and their distinct units."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.aligned: list[Aligned] = []
-        self.docs: list[tuple] = []
-        self.bytes = 0
-
-    def add(self, doc_id, units: list[str], made: list[Aligned], size: int) -> None:
-        numbers = np.zeros(len(units), np.uint32)
-        for i, unit in enumerate(units):
-            k = self.number.get(unit)
-            if k is None:
-                k = self.number[unit] = len(self.aligned)
-                self.aligned.append(made[i])
-            numbers[i] = k
-        self.docs.append((
-            doc_id, sum([m.n_a for m in made]), sum([m.n_b for m in made]),
-            sum([m.n_groups for m in made]), sum([len(m.pairs) for m in made]), numbers,
-        ))
-        self.bytes += size
-
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        links = np.frombuffer(b"".join([m.pairs.tobytes() for m in self.aligned]), np.int64)
-        many = np.array([len(m.pairs) for m in self.aligned], np.int64)
-        first = np.cumsum(many) - many
-        pairs, index = np.unique(links, return_inverse=True)
-        held = np.zeros(len(pairs), np.int64)
-        run, total = [], 0
-        for n, (*_, numbers) in enumerate(self.docs):
-            own = np.unique(numbers)
-            sizes = many[own]
-            at = np.repeat(first[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            run.append(index[at] + n * len(pairs))
-            total += len(at)
-            if total > 1_000_000 or n + 1 == len(self.docs):
-                held += np.bincount(np.unique(np.concatenate(run)) % max(len(pairs), 1), minlength=len(pairs))
-                run, total = [], 0
-        yield _written(
-            [(block, 0, None, None, None, None, None, many.astype("<u4").tobytes(), index.astype("<u4").tobytes())],
-            [pairs.tolist()], [held.tolist()], [[m.text for m in self.aligned]],
-        )
-        for at in range(0, len(self.docs), 1000):
-            part = [(block, 2, *doc[:-1], doc[-1].astype("<u4").tobytes(), None) for doc in self.docs[at : at + 1000]]
-            yield _written(part, *[[None] * len(part)] * 3)
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers as two planes of two bytes, of which the upper one is mostly zeros."""
+    halves = values.astype("<u4").view("<u2")
+    return halves[::2].tobytes() + halves[1::2].tobytes()
+
+
+def _large(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, "<u2").reshape(2, -1).astype(np.int64)
+    return high << 16 | low
+
+
+def _block_rows(block: int, ids: list, own: list[np.ndarray], groups: Groups) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: its units and pairs first, then its documents."""
+    distinct, place = np.unique(np.concatenate([_NONE, *own]), return_inverse=True)
+    groups = groups.of(distinct)
+    many = groups.many()
+    pairs, index = np.unique(groups.links(), return_inverse=True)
+    first = np.cumsum(many[3]) - many[3]
+    held = np.zeros(len(pairs), np.int64)
+    ends = np.cumsum([len(o) for o in own])
+    own = [place[end - len(o) : end] for end, o in zip(ends, own)]
+    run, total = [], 0
+    for n, numbers in enumerate(own):
+        once = np.unique(numbers)
+        at = _places(first[once], many[3][once])
+        run.append(index[at] + n * len(pairs))
+        total += len(at)
+        if len(pairs) and (total > 1_000_000 or n + 1 == len(own)):
+            held += np.bincount(np.unique(np.concatenate(run)) % len(pairs), minlength=len(pairs))
+            run, total = [], 0
+    packed = [_small(x) for x in (groups.a, groups.b, groups.in_a, groups.in_b, groups.units)]
+    yield _written([(block, 0, None, None, None, packed, pairs.tolist(), held.tolist())])
+    for at in range(0, len(ids), 1000):
+        part = zip(ids[at : at + 1000], own[at : at + 1000])
+        yield _written([
+            (block, 2, doc_id, many[:, o].sum(axis=1).tolist(), _small(o), None, None, None) for doc_id, o in part
+        ])
 
 
 _BLOCK_FIELDS = [
-    ("block", pa.int64()), ("role", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()),
-    ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("units", pa.binary()),
-    ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())),
-    ("texts", pa.list_(pa.string())),
+    ("block", pa.int64()), ("role", pa.int32()), ("doc_id", pa.int64()), ("many", pa.list_(pa.int64())),
+    ("units", pa.binary()), ("groups", pa.list_(pa.binary())), ("pairs", pa.list_(pa.int64())),
+    ("held", pa.list_(pa.int64())),
 ]
 _BLOCK_SCHEMA = (
-    "block long, role int, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
-    "units binary, links binary, pairs array<long>, held array<long>, texts array<string>"
+    "block long, role int, doc_id long, many array<long>, units binary, groups array<binary>, "
+    "pairs array<long>, held array<long>"
 )
 
 
-def _written(rows: list[tuple], pairs: list, held: list, texts: list) -> pa.RecordBatch:
-    columns = [*zip(*rows), pairs, held, texts]
+def _written(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, (_, t) in zip(columns, _BLOCK_FIELDS)], names=[n for n, _ in _BLOCK_FIELDS]
+        [pa.array(c, t) for c, (_, t) in zip(zip(*rows), _BLOCK_FIELDS)], names=[n for n, _ in _BLOCK_FIELDS]
     )
 
 
@@ -256,28 +297,21 @@ def blocks(docs: DataFrame, a_file: str, b_file: str, block_bytes: int = BLOCK_B
 
     def run(batches: Iterator[pa.RecordBatch]):
         work = aligner(a_file, b_file)
-        base, made, block = TaskContext.get().partitionId() << 32, 0, _Block()
+        block, ids, own, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            at = 0
-            while at < batch.num_rows:
+            all_ids = batch.column(0).to_pylist()
+            for at in range(0, batch.num_rows, 200):
                 texts = batch.column(1).slice(at, 200).to_pylist()
-                split = work.units(texts)
-                found = work.look_up({unit for units in split for unit in units})
-                for doc_id, text, units in zip(ids[at : at + 200], texts, split):
-                    aligned = [found[unit] for unit in units]
-                    if None in aligned:
-                        # Some bytes differ in a unit: the whole text decides.
-                        units, aligned = [" " + text], work.build([" " + text])
-                    if None in aligned:
-                        units, aligned = [], []
-                    block.add(doc_id, units, aligned, len(text or ""))
-                    if block.bytes >= block_bytes:
-                        yield from block.rows(base + made)
-                        made, block = made + 1, _Block()
-                at += 200
-        if block.docs:
-            yield from block.rows(base + made)
+                ids += all_ids[at : at + 200]
+                own += work.numbers(texts)
+                size += sum([len(t) for t in texts if t])
+                if size >= block_bytes:
+                    yield from _block_rows(block, ids, own, work.groups())
+                    block, ids, own, size = block + 1, [], [], 0
+                    if work.met > CACHED_UNITS:
+                        work.forget()
+        if ids:
+            yield from _block_rows(block, ids, own, work.groups())
 
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCK_SCHEMA)
 
@@ -300,31 +334,28 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, ready, size = None, [], 0
     for batch in batches:
         numbers, roles = (batch.column(i).to_numpy() for i in (0, 1))
-        cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(roles) != 0)) + 1
-        for first, last in zip([0, *cuts], [*cuts, batch.num_rows]):
+        cut = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(roles) != 0)) + 1
+        for first, last in zip([0, *cut], [*cut, batch.num_rows]):
             if first == last:
                 continue
             part = batch.slice(first, last - first)
             if block != numbers[first]:
-                block, sums = numbers[first], None
-                many = np.frombuffer(part.column("units")[0].as_py(), "<u4").astype(np.int64)
-                links = np.frombuffer(part.column("links")[0].as_py(), "<u4")
-                texts = part.column("texts")[0].as_py()
-                counts = np.zeros(int(links.max()) + 1 if len(links) else 0, np.int64)
-                best = np.zeros(len(counts), np.int64)
+                block, texts, entries = numbers[first], None, []
+                groups = Groups(*map(_large, part.column("groups")[0].as_py()))
             elif roles[first] == 1:
-                at = part.column("pair").to_numpy(zero_copy_only=False)
-                counts[at] = part.column("count").to_numpy(zero_copy_only=False)
-                best[at] = part.column("best").to_numpy(zero_copy_only=False)
+                entries.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "count", "best")])
             else:
-                if sums is None:
-                    starts = np.cumsum(many) - many
-                    sums = [np.add.reduceat(x[links], starts) if len(links) else x for x in (best, counts)]
-                for *row, units in zip(*(part.column(n).to_pylist() for n in _CARRIED)):
-                    units = np.frombuffer(units, "<u4")
-                    groups = ";".join([texts[u] for u in units.tolist()])
-                    ready.append((*row, *(int(s[units].sum()) for s in sums), groups))
-                    size += len(groups)
+                if texts is None:
+                    pairs, *values = (np.concatenate([_NONE, *x]) for x in (zip(*entries) if entries else [()] * 3))
+                    order = np.argsort(pairs)
+                    at = order[np.searchsorted(pairs, groups.links(), sorter=order)]
+                    sums = [_sums(x[at], groups.many()[3]) for x in (values[1], values[0])]
+                    texts = groups.texts()
+                for doc_id, many, units in zip(*(part.column(n).to_pylist() for n in ("doc_id", "many", "units"))):
+                    own = _large(units)
+                    text = ";".join([texts[u] for u in own.tolist()])
+                    ready.append((doc_id, *many, *(int(s[own].sum()) for s in sums), text))
+                    size += len(text)
                     if size > OUT_CHARACTERS:
                         yield out()
                         ready, size = [], 0
@@ -332,9 +363,6 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_CARRIED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "units")
-
-
 def aligned(docs: DataFrame, a_file: str, b_file: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
@@ -351,15 +379,14 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, block_bytes: int = BLOCK_
     table gives no rows.
     """
     dealt = stored(blocks(docs, a_file, b_file, block_bytes), "aligned")
-    held = dealt.filter("role = 0").select(
-        "block", F.posexplode(F.arrays_zip("pairs", "held")).alias("pair", "x")
-    ).select("block", "pair", F.col("x.pairs").alias("ids"), F.col("x.held").alias("held"))
-    counted = held.groupBy("ids").agg(F.sum("held").alias("count"))
-    counted = counted.withColumn("a", F.shiftright("ids", 32))
+    held = dealt.filter("role = 0").select("block", F.explode(F.arrays_zip("pairs", "held")).alias("x"))
+    held = held.select("block", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
+    counted = held.groupBy("pair").agg(F.sum("held").alias("count"))
+    counted = counted.withColumn("a", F.shiftright("pair", 32))
     highest = counted.groupBy("a").agg(F.max("count").alias("most"))
     ranked = counted.join(highest, "a").select(
-        "ids", "count", (F.col("count") == F.col("most")).cast("long").alias("best")
+        "pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")
     )
-    entries = held.join(ranked, "ids").select("block", F.lit(1).alias("role"), "pair", "count", "best")
+    entries = held.select("block", "pair").join(ranked, "pair").withColumn("role", F.lit(1))
     rows = dealt.drop("pairs", "held").unionByName(entries, allowMissingColumns=True)
     return rows.repartition("block").sortWithinPartitions("block", "role").mapInArrow(_joined, _OUT)

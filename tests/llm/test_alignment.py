@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -94,13 +95,9 @@ def test_alignment_equals_brute_force(docs, libraries, block):
 def test_units_join_to_the_whole(libraries, text):
     work = alignment.aligner(A, B)
     assert work.by_units
-    units = work.units([text])[0]
-    made = work.look_up(set(units))
-    parts = [made[u] for u in units]
-    if None in parts:
-        parts = [p for p in work.build([" " + text]) if p]
+    (own,) = work.numbers([text])
     groups = whole(libraries, text)
-    assert ";".join(p.text for p in parts) == ";".join(
+    assert ";".join(work.groups().of(own).texts()) == ";".join(
         ",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups
     )
 
@@ -110,8 +107,9 @@ def test_offsets_refined_inside_characters(libraries):
     text = " é🎉日ḀΩж"
     found = a.encode(text, add_special_tokens=False)
     decoded = [bytes(BYTES[c] for c in t) for t in found.tokens]
-    ends = alignment.cuts_by_offsets(found.offsets, decoded, text)
-    assert ends == [sum(map(len, decoded[: i + 1])) for i in range(len(decoded))]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = alignment.cuts(np.array(found.offsets), np.array([len(d) for d in decoded]), raw)
+    assert ends.tolist() == [sum(map(len, decoded[: i + 1])) for i in range(len(decoded))]
 
 
 def test_empty_table(docs):
