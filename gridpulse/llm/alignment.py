@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from gridpulse.llm.scratch import stored
 
 BLOCK_BYTES = 8 << 20
-CACHED_UNITS = 500_000  # kept from one block of a task to the next
+CACHED_UNITS = 300_000  # kept from one block to the next
 UNITS_AT_ONCE = 200
 OUT_CHARACTERS = 8 << 20
 
@@ -72,7 +72,8 @@ class Groups:
     @staticmethod
     def joined(parts: list[Groups]) -> Groups:
         names = ("a", "b", "in_a", "in_b", "units")
-        return Groups(*(np.concatenate([_NONE, *(getattr(p, n) for p in parts)]) for n in names))
+        none = np.zeros(0, np.int32)
+        return Groups(*(np.concatenate([none, *(getattr(p, n) for p in parts)]) for n in names))
 
     def of(self, units: np.ndarray) -> Groups:
         """The groups of some units, in their order."""
@@ -86,7 +87,7 @@ class Groups:
         """Linked id pairs as one number each, group after group."""
         group = np.repeat(np.arange(len(self.in_a)), self.in_a)
         times = self.in_b[group]
-        return np.repeat(self.a, times) << 32 | self.b[_places((np.cumsum(self.in_b) - self.in_b)[group], times)]
+        return np.repeat(self.a.astype(np.int64), times) << 32 | self.b[_places((np.cumsum(self.in_b) - self.in_b)[group], times)]
 
     def many(self) -> np.ndarray:
         """(first tokens, second tokens, groups, links) of each unit."""
@@ -98,8 +99,9 @@ class Groups:
         both = self.in_a + self.in_b
         start = np.cumsum(both) - both
         codes = np.zeros(int(both.sum()), np.int64)
-        codes[_places(start, self.in_a)] = 4 * self.a
-        codes[_places(start + self.in_a, self.in_b)] = 4 * self.b
+        codes[_places(start, self.in_a)] = self.a
+        codes[_places(start + self.in_a, self.in_b)] = self.b
+        codes *= 4
         codes[start + self.in_a - 1] += 1
         codes[start + both - 1] += 2
         codes[(start + both - 1)[np.cumsum(self.units) - 1]] += 1
@@ -113,12 +115,15 @@ _NONE = np.zeros(0, np.int64)
 _marked: list[str] = []
 
 
-def cuts(offsets: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def cuts(offsets: list[tuple[int, int]], sizes: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Byte positions at which tokens with character offsets end.
 
     A token whose last character goes on in the next token ends inside it: there the sizes
     of the decoded tokens count.
     """
+    if len(raw) == offsets[-1][1]:  # every character is one byte
+        return np.array([end for _, end in offsets])
+    offsets = np.array(offsets)
     characters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
     shared = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
     return np.where(shared, np.cumsum(sizes), characters[offsets[:, 1]])
@@ -160,7 +165,23 @@ class Aligner:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.parts: list[Groups] = []
-        self.met = 0
+        self.met, self.worth = 0, np.zeros(0)
+
+    def keep_frequent(self, own: list[np.ndarray]) -> None:
+        """After a block: beyond ``CACHED_UNITS``, the half that was met most often lately stays."""
+        worth = np.bincount(np.concatenate([_NONE, *own]), minlength=self.met).astype(float)
+        worth[: len(self.worth)] += self.worth / 2
+        self.worth = worth
+        if self.met <= CACHED_UNITS:
+            return
+        kept = np.sort(np.argpartition(worth, -(CACHED_UNITS // 2))[-(CACHED_UNITS // 2) :])
+        moved = np.full(self.met, -1)
+        moved[kept] = np.arange(len(kept))
+        moved = moved.tolist()
+        groups = self.groups().of(kept)
+        number = {u: moved[k] for u, k in self.number.items() if k >= 0 and moved[k] >= 0}
+        self.forget()
+        self.number, self.parts, self.met, self.worth = number, [groups], len(kept), worth[kept]
 
     def groups(self) -> Groups:
         """All units met, by number."""
@@ -179,7 +200,7 @@ class Aligner:
             if b"".join(map(table.__getitem__, ids)) != raw:
                 return None
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        a_cuts = cuts(np.array(encoding.offsets), self.a_size[a], np.frombuffer(raw, np.uint8))
+        a_cuts = cuts(encoding.offsets, self.a_size[a], np.frombuffer(raw, np.uint8))
         # Spans leave out the space that the tokenizer adds in front; byte pieces share one.
         b_cuts = np.where(self.b_byte[b], np.cumsum(self.b_size[b]), np.array(ends) + 1)
         common = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
@@ -190,7 +211,7 @@ class Aligner:
         in_a, in_b = (
             np.bincount(np.searchsorted(common, c), minlength=len(common)) for c in (a_cuts, b_cuts)
         )
-        return Groups(a, b, in_a, in_b, np.diff(last, prepend=-1))
+        return Groups(*(x.astype(np.int32) for x in (a, b, in_a, in_b, np.diff(last, prepend=-1))))
 
     def _learn(self, units: list[str]) -> None:
         """Number the units; -1 where the bytes differ."""
@@ -237,14 +258,15 @@ def aligner(a_file: str, b_file: str) -> Aligner:
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Whole numbers as two planes of two bytes, of which the upper one is mostly zeros."""
-    halves = values.astype("<u4").view("<u2")
-    return halves[::2].tobytes() + halves[1::2].tobytes()
+    """Whole numbers below 2**32 byte plane by byte plane, packed."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _large(data: bytes) -> np.ndarray:
-    low, high = np.frombuffer(data, "<u2").reshape(2, -1).astype(np.int64)
-    return high << 16 | low
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], 4 * n, "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _block_rows(block: int, ids: list, own: list[np.ndarray], groups: Groups) -> Iterator[pa.RecordBatch]:
@@ -267,7 +289,11 @@ def _block_rows(block: int, ids: list, own: list[np.ndarray], groups: Groups) ->
             held += np.bincount(np.unique(np.concatenate(run)) % len(pairs), minlength=len(pairs))
             run, total = [], 0
     packed = [_small(x) for x in (groups.a, groups.b, groups.in_a, groups.in_b, groups.units)]
-    yield _written([(block, 0, None, None, None, packed, pairs.tolist(), held.tolist())])
+    one = _written([(block, 0, None, None, None, packed, [], [])])
+    for name, values in (("pairs", pairs), ("held", held)):
+        whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
+        one = one.set_column(one.schema.get_field_index(name), name, whole)
+    yield one
     for at in range(0, len(ids), 1000):
         part = zip(ids[at : at + 1000], own[at : at + 1000])
         yield _written([
@@ -307,11 +333,11 @@ def blocks(docs: DataFrame, a_file: str, b_file: str, block_bytes: int = BLOCK_B
                 size += sum([len(t) for t in texts if t])
                 if size >= block_bytes:
                     yield from _block_rows(block, ids, own, work.groups())
+                    work.keep_frequent(own)
                     block, ids, own, size = block + 1, [], [], 0
-                    if work.met > CACHED_UNITS:
-                        work.forget()
         if ids:
             yield from _block_rows(block, ids, own, work.groups())
+            work.keep_frequent(own)
 
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCK_SCHEMA)
 

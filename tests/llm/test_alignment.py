@@ -108,10 +108,27 @@ def test_offsets_refined_inside_characters(libraries):
     found = a.encode(text, add_special_tokens=False)
     decoded = [bytes(BYTES[c] for c in t) for t in found.tokens]
     raw = np.frombuffer(text.encode(), np.uint8)
-    ends = alignment.cuts(np.array(found.offsets), np.array([len(d) for d in decoded]), raw)
+    ends = alignment.cuts(found.offsets, np.array([len(d) for d in decoded]), raw)
     assert ends.tolist() == [sum(map(len, decoded[: i + 1])) for i in range(len(decoded))]
 
 
+def test_forgetting_units_changes_nothing(libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "CACHED_UNITS", 8)
+    work = alignment.Aligner(A, B)
+    for text in [t for t in ODD if t] * 2:
+        own = work.numbers([text])
+        groups = whole(libraries, text)
+        expected = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        assert ";".join(work.groups().of(own[0]).texts()) == expected
+        work.keep_frequent(own)
+        assert work.met <= 8
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_packed_numbers_come_back(values):
+    assert alignment._large(alignment._small(np.array(values, np.int64))).tolist() == values
+
+
 def test_empty_table(docs):
     assert alignment.aligned(docs([]), A, B).collect() == []
 
