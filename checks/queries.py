@@ -204,6 +204,83 @@ def a4_unreadable_shard(spark, sf_dir):
     return rounded(kept.select("instance_index", "machine_id", "avg_cpu", "avg_memory"))
 
 
+@query(
+    "a3_limit_per_file_lines",
+    f"""SELECT l_orderkey AS collection_id, l_linenumber::BIGINT AS instance_index, machine_id,
+{q.r('avg_cpu')} AS avg_cpu FROM (
+  SELECT l_orderkey, l_linenumber, l_suppkey::VARCHAR AS machine_id, l_quantity / 50 AS avg_cpu,
+    row_number() OVER (PARTITION BY l_orderkey % 3 ORDER BY l_orderkey, l_linenumber) AS place
+  FROM lineitem) WHERE place <= 1500""",
+)
+def a3_limit_per_file_lines(spark, sf_dir):
+    """The first 1,500 rows of each of three shards of order lines, beyond any map-side top-k."""
+    path = scratch_folder(spark, "shards")
+    source = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("collection_id"), F.col("l_linenumber").alias("instance_index"),
+        F.col("l_suppkey").alias("machine_id"), (F.col("l_quantity") / 50).alias("avg_cpu"),
+        (F.col("l_orderkey") % 3).alias("shard"),
+    )
+    columns = [
+        F.col(c).cast("string") if c in source.columns else F.lit(None).cast("string").alias(c)
+        for c, _ in usage.USAGE_COLUMNS
+    ]
+    (
+        source.repartition("shard").sortWithinPartitions("shard", "collection_id", "instance_index")
+        .select(*columns, "shard").write.partitionBy("shard").csv(path)
+    )
+    kept = usage.read_usage(spark, f"{path}/shard=*", limit_per_file=1500)
+    return rounded(kept.select("collection_id", "instance_index", "machine_id", "avg_cpu"))
+
+
+def _gzip_shards_one_cut(spark, sf_dir):
+    """Gzip shards, one per event type; of the first one only half of the bytes."""
+    path = scratch_folder(spark, "shards")
+    source = events_usage(spark, sf_dir).withColumn("instance_index", F.col("event_id"))
+    columns = [
+        F.col(c).cast("string") if c in source.columns else F.lit(None).cast("string").alias(c)
+        for c, _ in usage.USAGE_COLUMNS
+    ]
+    (
+        source.repartition("machine_id").select(*columns, F.col("machine_id").alias("shard"))
+        .write.partitionBy("shard").option("compression", "gzip").csv(path)
+    )
+    _renamed(spark, path, lambda shard: f"{shard}.csv.gz")
+    cut = source.agg(F.min("machine_id")).first()[0]
+    hadoop = spark._jvm.org.apache.hadoop
+    whole = hadoop.fs.Path(path, f"{cut}.csv.gz")
+    system = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    source, half = system.open(whole), system.create(hadoop.fs.Path(path, f"cut-{cut}.csv.gz"))
+    half.write(source.readNBytes(system.getFileStatus(whole).getLen() // 2))
+    half.close()
+    source.close()
+    system.delete(whole, False)
+    return usage.read_shards(spark, f"{path}/*.csv.gz")
+
+
+@query(
+    "a4_truncated_gzip",
+    f"""SELECT event_id AS instance_index, machine_id, {_round_list(['avg_cpu', 'avg_memory'])}
+FROM ({q.USAGE['events']}) WHERE machine_id > (SELECT min(event_type) FROM events)""",
+)
+def a4_truncated_gzip(spark, sf_dir):
+    """A shard whose gzip data end too early gives no row, not even those before the end."""
+    kept = _gzip_shards_one_cut(spark, sf_dir).usage
+    return rounded(kept.select("instance_index", "machine_id", "avg_cpu", "avg_memory"))
+
+
+@query(
+    "a4_shard_ledger",
+    """SELECT CASE WHEN event_type = least THEN 'cut-' ELSE '' END || event_type || '.csv.gz' AS shard,
+  CASE WHEN event_type = least THEN 0 ELSE count(*) END AS rows_read,
+  CASE WHEN event_type = least THEN 'gzip data end too early' END AS reason
+FROM events, (SELECT min(event_type) AS least FROM events) GROUP BY event_type, least""",
+)
+def a4_shard_ledger(spark, sf_dir):
+    """One row per shard, with the rows read or the reason why none were."""
+    ledger = _gzip_shards_one_cut(spark, sf_dir).ledger
+    return ledger.select(F.element_at(F.split("shard", "/"), -1).alias("shard"), "rows_read", "reason")
+
+
 @query(
     "a5_read_telemetry_csv",
     f"""SELECT machine_id, nullif(trim(cpu_usage), '') AS cpu_usage, memory_usage, assigned_memory,

@@ -160,3 +160,63 @@ def test_inventory_lists_names_or_nothing(spark):
     got = [(r.kind, r.name) for r in models.inventory(loaded, machines).collect()]
     assert got == [("machine", "10"), ("machine", "2"), ("model", "moving_avg_12")]
     assert models.inventory(loaded.filter("false"), machines.filter("false")).count() == 0
+
+
+def _lines(count, start=0):
+    return "".join(f"{i},,{i},{i},m,,0.5,0.5,,,,,,,,\n" for i in range(start, start + count))
+
+
+def _starts(df):
+    return sorted(r["start_time"] for r in df.select("start_time").collect())
+
+
+@pytest.mark.parametrize("limit", [1, 700, 1500, 2999, 3000, 10_000])
+def test_limit_per_file_over_several_splits(spark, tmp_path, limit):
+    (tmp_path / "a.csv").write_text(_lines(3000))
+    (tmp_path / "b.csv").write_text(_lines(40, 100_000))
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write(_lines(2000, 200_000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        df = usage.read_usage(spark, str(tmp_path / "*"), limit_per_file=limit)
+        assert df.rdd.getNumPartitions() > 5
+        expected = [*range(min(limit, 3000)), *range(100_000, 100_000 + min(limit, 40)),
+                    *range(200_000, 200_000 + min(limit, 2000))]
+        assert _starts(df) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_limit_per_file_moves_no_data_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(_lines(30))
+    df = usage.read_usage(spark, str(tmp_path / "a.csv"), limit_per_file=500_000)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joined = next(i for i, line in enumerate(plan.splitlines()) if "BroadcastHashJoin" in line)
+    # Everything that is exchanged stands below the join's broadcast side.
+    stream = [x for x in plan.splitlines()[joined + 1 :] if "Scan csv" in x or "Exchange" in x]
+    assert sum("Scan csv" in x for x in stream) == 2
+    assert "machine_id" not in "".join(x for x in stream if "Exchange" in x)
+
+
+@pytest.mark.parametrize("damage", ["cut", "flipped", "no header"])
+def test_a_damaged_gzip_shard_gives_no_row(spark, tmp_path, damage):
+    (tmp_path / "good.csv").write_text(_lines(5))
+    data = bytearray(gzip.compress(_lines(50_000, 1000).encode(), 1))
+    if damage == "cut":
+        data = data[: len(data) * 3 // 4]
+    elif damage == "flipped":
+        data[-6] ^= 1  # in the checksum, so that all rows come before the damage is seen
+    else:
+        data = b"plain text"
+    (tmp_path / "bad.csv.gz").write_bytes(data)
+    (tmp_path / "two.csv.gz").write_bytes(gzip.compress(_lines(3, 10).encode()) + gzip.compress(_lines(4, 20).encode()))
+    shards = usage.read_shards(spark, str(tmp_path / "*"))
+    assert _starts(shards.usage) == [*range(5), 10, 11, 12, 20, 21, 22, 23]
+    ledger = {r["shard"].rsplit("/", 1)[1]: r for r in shards.ledger.collect()}
+    assert ledger["good.csv"]["rows_read"] == 5 and ledger["good.csv"]["reason"] is None
+    assert ledger["two.csv.gz"]["rows_read"] == 7 and ledger["two.csv.gz"]["reason"] is None
+    assert ledger["bad.csv.gz"]["rows_read"] == 0 and "gzip data" in ledger["bad.csv.gz"]["reason"]
+    with pytest.raises(ValueError, match="No shard could be read"):
+        usage.read_usage(spark, str(tmp_path / "bad.csv.gz"))
