@@ -25,7 +25,7 @@ from gridpulse.session import configure  # noqa: E402
 
 def linear_fit_60x3(spark, sf_dir):
     """The full-size fit; the registered one is small enough for SQL."""
-    model = forecast.linear_fit(_users(spark, sf_dir), USERS, FEATURES, TARGETS)
+    model = forecast.linear_fit(_users(spark, sf_dir), USERS, FEATURES, TARGETS, train_on="all")
     return spark.createDataFrame([(model.num_params(),)], "num_params long")
 
 

@@ -1119,7 +1119,7 @@ _SMALL_FIT = f"""{q.series('users')},
 
 def _small_fit(spark, sf_dir):
     columns = ["cpu_usage"]
-    return forecast.linear_fit(_users(spark, sf_dir), PAIRS_AHEAD, columns, columns)
+    return forecast.linear_fit(_users(spark, sf_dir), PAIRS_AHEAD, columns, columns, train_on="all")
 
 
 @query("g2_linear_fit", f"{_SMALL_FIT} SELECT input, {q.r('weight')} AS weight FROM fitted")

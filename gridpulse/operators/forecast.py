@@ -23,7 +23,9 @@ from gridpulse import messages
 from gridpulse.config import PipelineConfig
 from gridpulse.operators.blocks import in_own_block
 from gridpulse.operators.windows import (
+    map_blocks,
     map_windows,
+    own_windows,
     raw_blocks,
     reject_short,
     scaled_blocks,
@@ -353,65 +355,133 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _entries(total)
 
 
+class LaggedGram:
+    """Gram matrix of sliding windows, from lagged products and border corrections.
+
+    Windows move on by one row, so the products of their positions p + 1 and q + 1 are those
+    of p and q with the first window's pair taken out and the one behind the last window's
+    put in. What is left to sum are the products of position 0 with every later position,
+    and one pair of windows per block for the borders. Both add up over blocks and
+    partitions; ``whole`` unrolls the sums once.
+    """
+
+    BORDERS = 512  # windows at the ends of blocks, held until their products are summed
+
+    def __init__(self, length: int, columns: int):
+        self.length, self.columns = length, columns
+        self.first = np.zeros((columns + 1, length, columns))
+        side = (length - 1) * columns
+        self.moved = np.zeros((side, side))
+        self.count = 0
+        self._begins: list[np.ndarray] = []
+        self._ends: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray) -> None:
+        """All windows of consecutive rows."""
+        windows = len(rows) - self.length + 1
+        if windows <= 0:
+            return
+        left = np.column_stack([rows[:windows], np.ones(windows)]).T
+        for q in range(self.length):
+            self.first[:, q] += left @ rows[q : q + windows]
+        self._begins.append(rows[: self.length - 1].ravel())
+        self._ends.append(rows[windows:].ravel())
+        self.count += windows
+        if len(self._begins) >= self.BORDERS:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self._begins:
+            begins, ends = np.stack(self._begins), np.stack(self._ends)
+            self.moved += ends.T @ ends - begins.T @ begins
+            self._begins, self._ends = [], []
+
+    def entries(self) -> np.ndarray:
+        """All sums in one row, to be added to those of other partitions."""
+        self._settle()
+        upper = np.triu_indices(len(self.moved))
+        return np.concatenate([[self.count], self.first.ravel(), self.moved[upper]])
+
+    @staticmethod
+    def whole(entries: np.ndarray, length: int, columns: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(windows, column sums, products) by (position, column) from summed entries."""
+        cut = 1 + (columns + 1) * length * columns
+        first = entries[1:cut].reshape(columns + 1, length, columns)
+        side = (length - 1) * columns
+        moved = np.zeros((side, side))
+        moved[np.triu_indices(side)] = entries[cut:]
+        moved = moved + np.triu(moved, 1).T
+        moved = moved.reshape(length - 1, columns, length - 1, columns)
+        products = np.zeros((length, columns, length, columns))
+        products[0] = first[:columns]
+        products[:, :, 0] = first[:columns].transpose(1, 2, 0)
+        for p in range(length - 1):
+            products[p + 1, :, 1:] = products[p, :, :-1] + moved[p]
+        return int(entries[0]), first[columns], products
+
+
+def _summed(partials: DataFrame) -> np.ndarray | None:
+    """One row of sums from one array per partition.
+
+    They are added up whole, in two levels of about the square root of their number, so no
+    level adds many of them and none is cut into rows.
+    """
+    parts = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for count in (isqrt(parts) or 1, 1):
+        partials = partials.repartition(count).mapInArrow(_added, "entries array<double>")
+    row = partials.first()
+    return None if row is None else np.array(row["entries"])
+
+
 def linear_fit(
     series: DataFrame,
     config: PipelineConfig,
     features: Sequence[str],
     targets: Sequence[str],
-    train_on: Sequence[str] | str | None = "all",
+    train_on: Sequence[str] | str | None = None,
 ) -> Linear:
     """Least squares with L2 on the train windows, in one distributed pass.
 
     Minimises mean(err^2) + WEIGHT_DECAY / 2 * |w|^2, the mean being over windows,
-    steps and targets; the bias is not penalised.
+    steps and targets; the bias is not penalised. By default the machine whose id sorts
+    first is fitted, ``"all"`` pools every machine.
     """
-    s, h = config.sequence_length, config.horizon
+    s, h, length = config.sequence_length, config.horizon, config.window_length
     inputs, outputs = s * len(features), h * len(targets)
-    width = inputs + 1
-    train_ratio, length = float(config.train_ratio), config.window_length
+    train_ratio = float(config.train_ratio)
+    columns = list(features) + [t for t in targets if t not in features]
 
     def make():
-        total = np.zeros((width, width + outputs))
-        used = [0]
+        gram = LaggedGram(length, len(columns))
 
-        def each(machine_id, index, n, x, y):
-            train = index < int((n - length + 1) * train_ratio)
-            if train.any():
-                design = np.ones((int(train.sum()), width))
-                design[:, :inputs] = x[train].reshape(len(design), -1)
-                answer = y[train].reshape(len(design), -1)
-                total[:, :width] += design.T @ design
-                total[:, width:] += design.T @ answer
-                used[0] += len(design)
+        def each(machine_id, number, n, rn, values):
+            own = own_windows(rn, number, config)
+            train = int((n - length + 1) * train_ratio) - int(rn[0])
+            gram.add(values[own.start : min(own.stop, train) + length - 1])
             return iter(())
 
         def finish():
-            if used[0]:
-                yield _entries(total[:, :width][upper], total[:, width:].ravel())
+            if gram.count:
+                yield _entries(gram.entries())
 
         return each, finish
 
-    columns = list(features) + [t for t in targets if t not in features]
     chosen = training_set(reject_short(series, config), train_on)
     blocks = scaled_blocks(chosen, columns, config, s - 1, h, "train")
-    upper = np.triu_indices(width)
-    partials = map_windows(
-        blocks, features, targets, config, make, "entries array<double>"
-    )
-    # One array per partition; they are added up whole, in two levels of about the square
-    # root of their number, so no level adds many of them and none is cut into rows.
-    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for count in (isqrt(parts) or 1, 1):
-        partials = partials.repartition(count).mapInArrow(_added, "entries array<double>")
-    summed = partials.first()
-    if summed is None:
+    entries = _summed(map_blocks(blocks, columns, make, "entries array<double>"))
+    if entries is None:
         raise ValueError("no training window in the given series")
-    entries = np.array(summed["entries"])
-    left = np.zeros((width, width))
-    left[upper] = entries[: len(upper[0])]
-    left = left + np.triu(left, 1).T
-    right = entries[len(upper[0]) :].reshape(width, outputs)
-    windows = left[-1, -1]
+    windows, sums, products = LaggedGram.whole(entries, length, len(columns))
+    feature_at = [columns.index(c) for c in features]
+    target_at = [columns.index(c) for c in targets]
+    design = products[:s][:, feature_at]
+    width = inputs + 1
+    left, right = np.zeros((width, width)), np.zeros((width, outputs))
+    left[:-1, :-1] = design[:, :, :s][:, :, :, feature_at].reshape(inputs, inputs)
+    left[-1, :-1] = left[:-1, -1] = sums[:s][:, feature_at].ravel()
+    left[-1, -1] = windows
+    right[:-1] = design[:, :, s:][:, :, :, target_at].reshape(inputs, outputs)
+    right[-1] = sums[s:][:, target_at].ravel()
     penalty = np.full(width, windows * outputs * WEIGHT_DECAY / 2)
     penalty[-1] = 0.0
     left = left + np.diag(penalty)

@@ -249,54 +249,45 @@ def raw_blocks(
     )
 
 
+# Called for every block with (machine_id, block, n, positions, values by column).
+BlockFunction = Callable[[str, int, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 # Called for every block with (machine_id, window indexes, n, X, Y).
 WindowFunction = Callable[
     [str, np.ndarray, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]
 ]
 
 
-def map_windows(
+def own_windows(rn: np.ndarray, number: int, config: PipelineConfig) -> slice:
+    """Rows of a block (with its halo) at which the windows begin whose anchor it owns."""
+    s, size = config.sequence_length, config.block_rows
+    if len(rn) < config.window_length:
+        return slice(0, 0)
+    first, last = int(rn[0]), int(rn[-1]) - config.window_length + 1
+    begin, end = max(first, number * size - (s - 1)), min(last, (number + 1) * size - s)
+    return slice(begin - first, max(begin, end + 1) - first)
+
+
+def map_blocks(
     blocks: DataFrame,
-    features: Sequence[str],
-    targets: Sequence[str],
-    config: PipelineConfig,
-    make: Callable[[], tuple[WindowFunction, Callable[[], Iterator[pa.RecordBatch]]]],
+    columns: Sequence[str],
+    make: Callable[[], tuple[BlockFunction, Callable[[], Iterator[pa.RecordBatch]]]],
     schema: str,
 ) -> DataFrame:
-    """Run a numpy function over all windows of each block.
+    """Run a numpy function over the rows of each (machine, block), in order of position.
 
-    Rows cross to Python once, as Arrow batches; the windows are strided views there,
-    never copies in the exchange. ``make`` builds, per partition, a function called for
-    every block and one called at the end.
+    Rows cross to Python once, as Arrow batches. ``make`` builds, per partition, a function
+    called for every block and one called at the end.
     """
-    s, length, size = config.sequence_length, config.window_length, config.block_rows
-    columns = list(features) + [t for t in targets if t not in features]
-    feature_at = [columns.index(c) for c in features]
-    target_at = [columns.index(c) for c in targets]
     width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, finish = make()
-
-        def block(machine: str, number: int, n: int, rn: np.ndarray, values: np.ndarray):
-            if len(rn) < length:
-                return
-            anchors = rn[s - 1 : len(rn) - (length - s)]
-            own = anchors // size == number
-            if own.any():
-                views = np.lib.stride_tricks.sliding_window_view(values, length, axis=0)
-                views = views[own].transpose(0, 2, 1)
-                yield from each(
-                    machine, anchors[own] - (s - 1), n,
-                    views[:, :s, feature_at], views[:, s:, target_at],
-                )
-
         # Rows arrive sorted; a block may go on in the next batch.
         key, rest_rn, rest = None, [], []
 
         def close():
             if key is not None:
-                yield from block(*key, np.concatenate(rest_rn), np.concatenate(rest))
+                yield from each(*key, np.concatenate(rest_rn), np.concatenate(rest))
 
         for batch in batches:
             if not batch.num_rows:
@@ -323,3 +314,37 @@ def map_windows(
         .sortWithinPartitions("machine_id", "block", "rn")
         .mapInArrow(run, schema)
     )
+
+
+def map_windows(
+    blocks: DataFrame,
+    features: Sequence[str],
+    targets: Sequence[str],
+    config: PipelineConfig,
+    make: Callable[[], tuple[WindowFunction, Callable[[], Iterator[pa.RecordBatch]]]],
+    schema: str,
+) -> DataFrame:
+    """Run a numpy function over all windows of each block, as ``map_blocks`` does.
+
+    The windows are strided views of the rows, never copies in the exchange.
+    """
+    s, length = config.sequence_length, config.window_length
+    columns = list(features) + [t for t in targets if t not in features]
+    feature_at = [columns.index(c) for c in features]
+    target_at = [columns.index(c) for c in targets]
+
+    def made():
+        each, finish = make()
+
+        def block(machine: str, number: int, n: int, rn: np.ndarray, values: np.ndarray):
+            own = own_windows(rn, number, config)
+            if own.start < own.stop:
+                views = np.lib.stride_tricks.sliding_window_view(values, length, axis=0)
+                views = views[own].transpose(0, 2, 1)
+                yield from each(
+                    machine, rn[own], n, views[:, :s, feature_at], views[:, s:, target_at]
+                )
+
+        return block, finish
+
+    return map_blocks(blocks, columns, made, schema)

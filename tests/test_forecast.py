@@ -61,7 +61,7 @@ def test_moving_average_predictions_match_numpy(series, split):
 
 
 def test_linear_fit_equals_direct_solution(series):
-    model = forecast.linear_fit(series, CONFIG, TARGETS, TARGETS)
+    model = forecast.linear_fit(series, CONFIG, TARGETS, TARGETS, train_on="all")
     x, y = [], []
     for values in _arrays(series).values():
         count = int((len(values) - 8) * 0.7)
@@ -273,3 +273,22 @@ def test_upload_fits_the_model_inputs(spark):
     assert got.warnings == ["Column 'assigned_memory' missing; filled with 0."]
     assert got.machines.first().warnings == [messages.CONSTANT_COLUMNS]
     assert got.points.filter("kind = 'history'").first().assigned_memory == 0.0
+
+
+@pytest.mark.parametrize("sizes", [[5], [4, 30, 7, 0, 100], [12] * 700])
+def test_lagged_gram_equals_the_product_of_all_windows(sizes):
+    length, columns = 4, 3
+    rng = np.random.default_rng(3)
+    halves = [forecast.LaggedGram(length, columns) for _ in range(2)]
+    windows = []
+    for i, size in enumerate(sizes):
+        rows = rng.normal(size=(size, columns))
+        halves[i % 2].add(rows)
+        windows += [rows[k : k + length] for k in range(max(0, size - length + 1))]
+    entries = halves[0].entries() + halves[1].entries()
+    count, sums, products = forecast.LaggedGram.whole(entries, length, columns)
+    whole = np.array(windows)
+    assert count == len(whole)
+    np.testing.assert_allclose(sums, whole.sum(axis=0), atol=1e-9)
+    flat = whole.reshape(count, -1)
+    np.testing.assert_allclose(products.reshape(12, 12), flat.T @ flat, atol=1e-8)
