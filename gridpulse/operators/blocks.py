@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridpulse.functions.columns import epoch_micros
+
 
 def with_halo(df: DataFrame, position: str, size: int, back: int, ahead: int) -> DataFrame:
     """Add ``block``, once per block holding a row in [position-ahead, position+back]."""
@@ -27,3 +29,33 @@ def in_own_block(position: str, size: int) -> Column:
 
 def block_order(position: str) -> WindowSpec:
     return Window.partitionBy("machine_id", "block").orderBy(position)
+
+
+LOOKUP_ROWS = 4000
+LOOKUP_MICROS = LOOKUP_ROWS * 300_000_000  # so many rows at the usual five minutes
+LOOKUP_HASHES = 1024
+
+
+def lookup_block(df: DataFrame) -> Column:
+    """A number that cuts the rows of a machine into blocks: by position, time or hash."""
+    kinds = dict(df.dtypes)
+    for position in ("rn", "window_idx"):
+        if position in kinds:
+            return F.floor(F.col(position) / LOOKUP_ROWS).cast("long")
+    for time in ("bin", "timestamp"):
+        if kinds.get(time, "").startswith("timestamp"):
+            return F.floor(epoch_micros(time) / LOOKUP_MICROS).cast("long")
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(LOOKUP_HASHES)).cast("long")
+
+
+def blocked_lookup(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Left join with ``table`` (one row per machine_id) that no busy machine holds up.
+
+    The table is repeated for the blocks a machine has rows in, and joined by (machine,
+    block): a machine with a third of all rows is spread over all its blocks. Rows without a
+    machine or without an entry keep nulls.
+    """
+    marked = df.withColumn("_block", lookup_block(df))
+    pairs = marked.select("machine_id", "_block").distinct()
+    spread = pairs.join(table, "machine_id")
+    return marked.join(spread, ["machine_id", "_block"], "left").drop("_block")

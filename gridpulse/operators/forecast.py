@@ -244,75 +244,84 @@ def moving_average(
     )
 
 
-def moving_average_predictions(
+@dataclass(frozen=True)
+class WindowPredictions:
+    """Truth and forecasts of windows, one row per window.
+
+    ``rows`` holds machine_id, window_idx, split, ``truth`` (values by target, then step) and
+    ``guess`` (by model, target, then step; one value per target where ``constant``, for
+    forecasts that are the same at every step).
+    """
+
+    rows: DataFrame
+    models: tuple[str, ...]
+    targets: tuple[str, ...]
+    horizon: int
+    constant: bool
+
+    def long(self) -> DataFrame:
+        """One row per window, model, step and target.
+
+        The exploded array is a constant, so rows multiply without building anything per
+        window; values are then picked by position from the arrays each row carries.
+        """
+        cells = ", ".join(
+            f"struct({t * self.horizon + step - 1} AS truth_at, {at} AS guess_at, "
+            f"'{model}' AS model, {step} AS step, '{target}' AS target)"
+            for m, model in enumerate(self.models)
+            for step in range(1, self.horizon + 1)
+            for t, target in enumerate(self.targets)
+            for at in [m * len(self.targets) + t]
+            for at in [at if self.constant else at * self.horizon + step - 1]
+        )
+        return self.rows.selectExpr("*", f"inline(array({cells}))").selectExpr(
+            "machine_id", "window_idx", "split", "model", "step", "target",
+            "get(truth, truth_at) AS y_true", "get(guess, guess_at) AS y_pred",
+        )
+
+
+def moving_average_windows(
     series: DataFrame,
     config: PipelineConfig,
     targets: Sequence[str],
     windows: Sequence[int] = (12,),
     scale: bool = True,
     split: str | None = None,
-) -> DataFrame:
-    """Truth and forecast of every window, step and target, for each averaging width.
+) -> WindowPredictions:
+    """Truth and forecast of every window, for each averaging width.
 
     Values are scaled as the evaluation wants them, or in real units with
     ``scale=False``; ``split`` keeps the windows of one split.
     """
     order = "OVER (PARTITION BY machine_id, block ORDER BY rn"
     cut = scaled_blocks if scale else raw_blocks
-    steps = range(1, config.horizon + 1)
     blocks = cut(series, targets, config, max(windows) - 1, config.horizon, split)
-    frames = []
-    for t in targets:
-        ahead = ", ".join(f"lead(`{t}`, {h}) {order})" for h in steps)
-        means = ", ".join(
-            f"avg(`{t}`) {order} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in windows
-        )
-        frames += [f"array({ahead}) AS `{t}__ahead`", f"array({means}) AS `{t}__means`"]
-    framed = blocks.selectExpr("*", *frames).filter(in_own_block("rn", config.block_rows))
-    names = [f"moving_avg_{w}" for w in windows]
-    made = sliding_windows(framed, config)
+    ahead = ", ".join(
+        f"lead(`{t}`, {h}) {order})" for t in targets for h in range(1, config.horizon + 1)
+    )
+    means = ", ".join(
+        f"avg(`{t}`) {order} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        for w in windows for t in targets
+    )
+    framed = blocks.selectExpr("*", f"array({ahead}) AS truth", f"array({means}) AS guess")
+    made = sliding_windows(framed.filter(in_own_block("rn", config.block_rows)), config)
     if split is not None:
         made = made.filter(F.col("split") == split)
-    return _long_predictions(
-        made,
-        names,
-        targets,
-        config.horizon,
-        truth=[f"get(`{t}__ahead`, step - 1)" for t in targets],
-        guess=[f"get(`{t}__means`, model_at)" for t in targets],
-    )
+    rows = made.select("machine_id", "window_idx", "split", "truth", "guess")
+    names = tuple(f"moving_avg_{w}" for w in windows)
+    return WindowPredictions(rows, names, tuple(targets), config.horizon, True)
 
 
-def _long_predictions(
-    wide: DataFrame,
-    models: Sequence[str],
+def moving_average_predictions(
+    series: DataFrame,
+    config: PipelineConfig,
     targets: Sequence[str],
-    horizon: int,
-    truth: Sequence[str],
-    guess: Sequence[str],
+    windows: Sequence[int] = (12,),
+    scale: bool = True,
+    split: str | None = None,
 ) -> DataFrame:
-    """One row per window, model, step and target.
-
-    The exploded array is a constant, so rows multiply without building anything per
-    window; values are then picked by position from the arrays each row carries.
-    ``truth`` and ``guess`` are SQL expressions, one per target.
-    """
-    cells = ", ".join(
-        f"struct({i} AS model_at, '{model}' AS model, {step} AS step, "
-        f"{t} AS target_at, '{target}' AS target)"
-        for i, model in enumerate(models)
-        for step in range(1, horizon + 1)
-        for t, target in enumerate(targets)
-    )
-
-    def pick(values: Sequence[str]) -> str:
-        cases = " ".join(f"WHEN {t} THEN {value}" for t, value in enumerate(values))
-        return f"CASE target_at {cases} END"
-
-    return wide.selectExpr("*", f"inline(array({cells}))").selectExpr(
-        "machine_id", "window_idx", "split", "model", "step", "target",
-        f"{pick(truth)} AS y_true", f"{pick(guess)} AS y_pred",
-    )
+    """``moving_average_windows`` with one row per window, model, step and target."""
+    return moving_average_windows(series, config, targets, windows, scale, split).long()
 
 
 def first_machine(series: DataFrame) -> DataFrame:
@@ -492,23 +501,24 @@ def linear_fit(
     return Linear(len(features), len(targets), s, h, solution[:-1], solution[-1])
 
 
-def model_predictions(
+def model_windows(
     series: DataFrame,
     config: PipelineConfig,
     features: Sequence[str],
     targets: Sequence[str],
     model: Linear | NumpyForecaster,
     split: str | None = None,
-) -> DataFrame:
-    """As ``moving_average_predictions`` for a model with a numpy predictor."""
+) -> WindowPredictions:
+    """As ``moving_average_windows`` for a model with a numpy predictor."""
     s, h = config.sequence_length, config.horizon
     predict, name = model.predictor(), model.name
     count = h * len(targets)
 
     def make():
         def lists(values):
+            by_target = values.reshape(len(values), h, -1).transpose(0, 2, 1)
             ends = np.arange(0, values.size + 1, count, dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(by_target.ravel()))
 
         def each(machine_id, index, n, x, y):
             guess = np.asarray(predict(x), dtype=float).reshape(len(x), count)
@@ -517,8 +527,8 @@ def model_predictions(
                     "machine_id": [machine_id] * len(x),
                     "window_idx": pa.array(index, pa.int64()),
                     "n": pa.array(np.full(len(x), n), pa.int64()),
-                    "y_true": lists(y.reshape(len(y), count)),
-                    "y_pred": lists(guess),
+                    "truth": lists(y.reshape(len(y), count)),
+                    "guess": lists(guess),
                 }
             )
 
@@ -529,18 +539,22 @@ def model_predictions(
     wide = map_windows(
         blocks, features, targets, config, make,
         "machine_id string, window_idx long, n long, "
-        "y_true array<double>, y_pred array<double>",
+        "truth array<double>, guess array<double>",
     )
     total = F.col("n") - (config.window_length - 1)
     wide = wide.withColumn("split", split_of(F.col("window_idx"), total, config))
     if split is not None:
         wide = wide.filter(F.col("split") == split)
-    positions = [f"(step - 1) * {len(targets)} + {t}" for t in range(len(targets))]
-    return _long_predictions(
-        wide,
-        [name],
-        targets,
-        h,
-        truth=[f"get(y_true, {position})" for position in positions],
-        guess=[f"get(y_pred, {position})" for position in positions],
-    )
+    return WindowPredictions(wide.drop("n"), (name,), tuple(targets), h, False)
+
+
+def model_predictions(
+    series: DataFrame,
+    config: PipelineConfig,
+    features: Sequence[str],
+    targets: Sequence[str],
+    model: Linear | NumpyForecaster,
+    split: str | None = None,
+) -> DataFrame:
+    """``model_windows`` with one row per window, step and target."""
+    return model_windows(series, config, features, targets, model, split).long()

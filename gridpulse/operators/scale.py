@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridpulse import messages
 from gridpulse.config import PipelineConfig
+from gridpulse.operators.blocks import blocked_lookup
 
 
 def wide_scalers(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def fit_minmax_all(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def with_scaler(df: DataFrame, scalers: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Attach ``<column>__min`` and ``<column>__max``; NULL for a machine without scaler."""
-    return df.join(widen_scalers(scalers, columns), "machine_id", "left")
+    return blocked_lookup(df, widen_scalers(scalers, columns))
 
 
 def scaled(value: Column, low: Column, high: Column) -> Column:

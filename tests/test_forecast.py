@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridpulse import messages
 from gridpulse.config import PipelineConfig
-from gridpulse.operators import evaluate, forecast, resample, windows
+from gridpulse.operators import blocks, evaluate, forecast, resample, training, windows
 from gridpulse.plans import models, pipeline, upload
 
 CONFIG = PipelineConfig(sequence_length=6, horizon=3, block_rows=50)
@@ -292,3 +292,100 @@ def test_lagged_gram_equals_the_product_of_all_windows(sizes):
     np.testing.assert_allclose(sums, whole.sum(axis=0), atol=1e-9)
     flat = whole.reshape(count, -1)
     np.testing.assert_allclose(products.reshape(12, 12), flat.T @ flat, atol=1e-8)
+
+
+@pytest.mark.parametrize("constant", [True, False])
+def test_array_sums_equal_long_sums(spark, constant):
+    rng = np.random.default_rng(5)
+    width = 1 if constant else 3
+    rows = []
+    for i in range(40):
+        truth, guess = rng.random(6).round(2).tolist(), rng.random(4 * width).round(2).tolist()
+        if i % 7 == 0:
+            truth[i % 6] = None
+        if i % 11 == 0:
+            guess[i % (4 * width)] = None
+        rows.append(("m", i, ["train", "val", "test"][i % 3], truth, guess))
+    wide = spark.createDataFrame(
+        rows, "machine_id string, window_idx long, split string, truth array<double>, guess array<double>"
+    )
+    predictions = forecast.WindowPredictions(wide, ("a", "b"), ("cpu", "memory"), 3, constant)
+    keys = ["split", "model", "target", "step"]
+    for threshold in (0.5, 0.8):
+        got = {tuple(r[:4]): r[4:] for r in evaluate.error_sums(predictions, keys, threshold).collect()}
+        want = {tuple(r[:4]): r[4:] for r in evaluate.error_sums(predictions.long(), keys, threshold).collect()}
+        assert got.keys() == want.keys() and len(got) == 36
+        for key, values in want.items():
+            assert got[key] == pytest.approx(values)
+    one = evaluate.evaluate_by_split(predictions, "test").collect()
+    assert len(one) == len(evaluate.evaluate_by_split(predictions.long(), "test").collect()) == 12
+
+
+def test_no_windows_give_no_sums(spark):
+    wide = spark.createDataFrame(
+        [], "machine_id string, window_idx long, split string, truth array<double>, guess array<double>"
+    )
+    predictions = forecast.WindowPredictions(wide, ("a",), ("cpu",), 3, True)
+    assert evaluate.error_sums(predictions, ["model"]).collect() == []
+
+
+class MeanOfLastRow:
+    """A trainer with states that must be merged right: sums and a count."""
+
+    name = "last"
+
+    def partial(self, x, y):
+        return np.array([len(x), x[:, -1].sum(), y.sum()])
+
+    def merge(self, states):
+        return states.sum(axis=0)
+
+    def finish(self, state):
+        return np.array([state[2] / state[0] / 12])
+
+    def predictor(self, parameters):
+        return lambda x: np.full((len(x), 12, 1), parameters[0])
+
+
+def test_one_model_and_one_each(spark, regular):
+    points = [("a", i, float(i % 5), 1.0) for i in range(200)] + [("b", i, float(i % 3), 1.0) for i in range(100)]
+    points += [("short", i, 1.0, 1.0) for i in range(40)]
+    trainer = MeanOfLastRow()
+    small = PipelineConfig(block_rows=80)
+    series = resample.regular_series(regular(points), small)
+    args = (series, small, ["cpu_usage"], ["cpu_usage"], trainer)
+    each = {r["machine_id"]: r for r in training.fit_each(*args).collect()}
+    assert set(each) == {"a", "b"}
+    windows_a, windows_b = int((200 - 71) * 0.7), int((100 - 71) * 0.7)
+    assert (each["a"]["windows"], each["b"]["windows"]) == (windows_a, windows_b)
+    pooled = training.fit(*args, train_on="all")
+    expected = (windows_a * each["a"]["parameters"][0] + windows_b * each["b"]["parameters"][0]) / (windows_a + windows_b)
+    x = np.zeros((2, 60, 1))
+    assert pooled.predictor()(x)[0, 0, 0] == pytest.approx(expected)
+    first = training.fit(*args)
+    assert first.predictor()(x)[0, 0, 0] == pytest.approx(each["a"]["parameters"][0])
+    with pytest.raises(ValueError, match="no training window"):
+        training.fit(*args, train_on=["short"])
+    models = training.fit_each(*args)
+    rows = [("a", 0, [[0.0]] * 60), ("none", 1, [[0.0]] * 60), (None, 2, [[0.0]] * 60)]
+    wins = spark.createDataFrame(rows, "machine_id string, window_idx long, x array<array<double>>")
+    got = {r["machine_id"]: r["forecast"] for r in training.score_each(wins, models, trainer).collect()}
+    assert got["none"] is None and got[None] is None
+    assert got["a"][11][0] == pytest.approx(each["a"]["parameters"][0])
+
+
+def test_lookup_joins_by_machine_and_block(spark):
+    rows = spark.range(0, 20_000).selectExpr(
+        "CASE WHEN id < 19000 THEN 'hot' WHEN id < 19990 THEN concat('m', id % 7) END AS machine_id", "id AS rn"
+    )
+    table = spark.createDataFrame([("hot", 1.0), ("m1", 2.0)], "machine_id string, low double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = blocks.blocked_lookup(rows, table)
+        assert joined.count() == 20_000 and joined.filter("low = 1").count() == 19_000
+        assert joined.filter("machine_id = 'm1'").filter("low = 2").count() == joined.filter("machine_id = 'm1'").count()
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [machine_id" in plan and "_block" in plan.split("SortMergeJoin")[1].split("]")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
