@@ -68,11 +68,15 @@ def line_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry as a user would upload it: text with blanks, words and missing ids."""
+def text_telemetry(spark: SparkSession, sf_dir: str, machines: int | None = 40) -> DataFrame:
+    """Telemetry as a user would upload it: text with blanks, words and missing ids.
+
+    ``machines`` is the number of machines, without it each user is one.
+    """
+    machine = F.col("user_id") if machines is None else F.col("user_id") % machines
     number = F.col("event_id") % 10
     return table(spark, sf_dir, "events").select(
-        F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("m"), F.col("user_id") % 40)).alias(
+        F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("m"), machine)).alias(
             "machine_id"
         ),
         F.when(number == 0, "abc")

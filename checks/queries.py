@@ -906,11 +906,11 @@ def e8_prepare(spark, sf_dir):
     return rounded(ready.windows.select("machine_id", "window_idx", "split", "bin", *ready.features))
 
 
-@query("e8_prepare_arrays", f"{_WINDOW_DIGEST} WHERE w.split = 'test'")
+@query("e8_prepare_arrays", _WINDOW_DIGEST)
 def e8_prepare_arrays(spark, sf_dir):
-    """Inputs and targets of one split, as prepare hands them out."""
+    """Inputs and targets of all splits, as prepare hands them out."""
     ready = pipeline.prepare(_rolled(spark, sf_dir, user_usage, count_jobs=False), USERS)
-    return _window_digest(ready.arrays("test"))
+    return _window_digest(ready.arrays())
 
 
 @query(
@@ -937,7 +937,8 @@ def e9_latest_stored_forecast(spark, sf_dir):
     tables.write_scalers(scale.fit_minmax(series, FEATURES, USERS), bounds)
     return rounded(
         pipeline.forecast_stored(
-            tables.read_windows(spark, stored), tables.read_scalers(spark, bounds), TARGETS,
+            tables.read_windows(spark, stored, latest_only=True),
+            tables.read_scalers(spark, bounds), TARGETS,
             forecast.MovingAverage(),
         )
     )
@@ -977,12 +978,7 @@ _SHORT = """CASE WHEN num_input_rows < 60 THEN 'Not enough rows: ' || num_input_
     f"WITH {_COERCED.replace('user_id % 40', 'user_id')}, {_ENOUGH} SELECT machine_id, num_input_rows, {_SHORT} AS warning FROM counted",
 )
 def e12_enough_rows(spark, sf_dir):
-    telemetry = text_telemetry(spark, sf_dir).drop("machine_id")
-    ids = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("row_order"),
-        F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("m"), F.col("user_id"))).alias("machine_id"),
-    )
-    named, _ = clean.default_machine(telemetry.join(ids, "row_order"))
+    named, _ = clean.default_machine(text_telemetry(spark, sf_dir, machines=None))
     return windows.enough_rows(clean.coerce_numeric(named, EVENTS.features), EVENTS)
 
 

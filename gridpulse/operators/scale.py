@@ -64,9 +64,16 @@ def fit_minmax_all(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_scalers(wide_scalers(rows, columns), columns)
 
 
-def with_scaler(df: DataFrame, scalers: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Attach ``<column>__min`` and ``<column>__max``; NULL for a machine without scaler."""
-    return blocked_lookup(df, widen_scalers(scalers, columns))
+def with_scaler(
+    df: DataFrame, scalers: DataFrame, columns: Sequence[str], few_rows: bool = False
+) -> DataFrame:
+    """Attach ``<column>__min`` and ``<column>__max``; NULL for a machine without scaler.
+
+    The join is by (machine, block), so a busy machine is spread; ``few_rows`` says that no
+    machine has more than a window of rows, which a plain join on the machine serves.
+    """
+    wide = widen_scalers(scalers, columns)
+    return df.join(wide, "machine_id", "left") if few_rows else blocked_lookup(df, wide)
 
 
 def scaled(value: Column, low: Column, high: Column) -> Column:
@@ -98,8 +105,10 @@ def _without_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*[f"{c}__{side}" for c in columns for side in ("min", "max")])
 
 
-def minmax_transform(df: DataFrame, scalers: DataFrame, columns: Sequence[str]) -> DataFrame:
-    joined = with_scaler(df, scalers, columns)
+def minmax_transform(
+    df: DataFrame, scalers: DataFrame, columns: Sequence[str], few_rows: bool = False
+) -> DataFrame:
+    joined = with_scaler(df, scalers, columns, few_rows)
     return _without_bounds(apply_scaled(joined, columns), columns)
 
 
@@ -114,9 +123,11 @@ def inverse_features(df: DataFrame, scalers: DataFrame, columns: Sequence[str])
     return _without_bounds(apply_unscaled(flagged, {c: c for c in columns}), columns)
 
 
-def inverse_targets(df: DataFrame, scalers: DataFrame, targets: Sequence[str]) -> DataFrame:
+def inverse_targets(
+    df: DataFrame, scalers: DataFrame, targets: Sequence[str], few_rows: bool = False
+) -> DataFrame:
     """Forecast columns back to real units. Bounds are looked up by column name."""
-    joined = with_scaler(df, scalers, targets)
+    joined = with_scaler(df, scalers, targets, few_rows)
     return _without_bounds(apply_unscaled(joined, {c: c for c in targets}), targets)
 
 
@@ -127,7 +138,7 @@ def inverse_upload(
     known = [c for c in targets if c in features]
     if not known:
         return df, [messages.TARGETS_NOT_FEATURES]
-    return inverse_targets(df, scalers, known), []
+    return inverse_targets(df, scalers, known, few_rows=True), []
 
 
 def constant_columns(scalers: DataFrame) -> DataFrame:

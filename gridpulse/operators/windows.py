@@ -222,7 +222,8 @@ def array_windows(
     """Windows as arrays: x is S rows of features, y is H rows of targets.
 
     For export and external scoring only; it repeats every row S + H times. Takes
-    the output of ``scaled_blocks`` (or ``raw_blocks``) with full overlap.
+    the output of ``scaled_blocks`` (or ``raw_blocks``) with full overlap. ``latest``
+    marks the last window of each machine.
     """
     order = block_order("rn")
     s, h = config.sequence_length, config.horizon
@@ -231,7 +232,9 @@ def array_windows(
     framed = blocks.withColumns({"x": x, "y": y}).filter(
         in_own_block("rn", config.block_rows)
     )
-    return sliding_windows(framed, config).select("machine_id", "window_idx", "split", "x", "y")
+    latest = F.col("rn") == F.col("n") - (h + 1)
+    made = sliding_windows(framed, config).withColumn("latest", latest)
+    return made.select("machine_id", "window_idx", "split", "latest", "x", "y")
 
 
 def raw_blocks(

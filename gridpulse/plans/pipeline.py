@@ -97,7 +97,7 @@ def latest_arrays(
 ) -> DataFrame:
     """Latest window of each machine as ``x``, scaled; at most S rows per group."""
     scalers = fit_minmax(reject_short(series, config), features, config)
-    latest = minmax_transform(latest_window(series, config), scalers, features)
+    latest = minmax_transform(latest_window(series, config), scalers, features, few_rows=True)
     ordered = F.sort_array(F.collect_list(F.struct("step", F.array(*features).alias("row"))))
     return latest.groupBy("machine_id").agg(
         F.transform(ordered, lambda entry: entry["row"]).alias("x")
@@ -134,7 +134,7 @@ def _unscaled_forecast(
     long = scored.select("machine_id", F.posexplode("forecast").alias("step", "row")).select(
         "machine_id", "step", *[F.col("row")[i].alias(t) for i, t in enumerate(targets)]
     )
-    return inverse_targets(long, scalers, targets)
+    return inverse_targets(long, scalers, targets, few_rows=True)
 
 
 def forecast_with_history(

@@ -13,21 +13,24 @@ from gridpulse.operators.forecast import Forecaster, Linear
 from gridpulse.plans.models import rebuild
 
 SPLITS = ("train", "val", "test")
-WINDOWS_A_BLOCK = 4000
 
 
 def write_windows(windows: DataFrame, path: str, mode: str = "error") -> None:
     """Windows by split, rows of a machine close together and in order.
 
-    Hashed by machine and block of windows: a machine with most windows is cut into several
-    files, and row group statistics prune by machine. Hashing needs no sample of its input,
-    so the arrays are built once.
+    Written from the partitions they come in: ``array_windows`` forms them by (machine,
+    block), so a machine with most windows lies in several files, row group statistics prune
+    by machine, and no array is shuffled. The last window of each machine (``latest``) lies in
+    a folder of its own; without that column it is found by a join on the window numbers.
     """
-    block = F.floor(F.col("window_idx") / WINDOWS_A_BLOCK)
+    if "latest" not in windows.columns:
+        last = windows.groupBy("machine_id").agg(F.max("window_idx").alias("last_idx"))
+        windows = windows.join(last, "machine_id")
+        windows = windows.withColumn("latest", F.col("window_idx") == F.col("last_idx")).drop("last_idx")
     (
-        windows.repartition("split", "machine_id", block)
-        .sortWithinPartitions("split", "machine_id", "window_idx")
-        .write.partitionBy("split")
+        windows.withColumn("latest", F.col("latest").cast("int"))
+        .sortWithinPartitions("split", "latest", "machine_id", "window_idx")
+        .write.partitionBy("split", "latest")
         .mode(mode)
         .parquet(path)
     )
@@ -38,13 +41,20 @@ def read_windows(
     path: str,
     split: str | None = None,
     machine_ids: Sequence[str] | None = None,
+    latest_only: bool = False,
 ) -> DataFrame:
-    """Stored windows; split prunes folders, ids are pushed to the parquet scan."""
+    """Stored windows; split and ``latest_only`` prune folders, ids are pushed to the scan.
+
+    ``latest_only`` reads the files with the last window of each machine and no others.
+    """
     df = spark.read.option("ignoreCorruptFiles", True).parquet(path)
     if split is not None:
         if split not in SPLITS:
             raise ValueError(f"split must be one of {SPLITS}")
         df = df.filter(F.col("split") == split)
+    if latest_only:
+        df = df.filter(F.col("latest") == 1)
+    df = df.drop("latest")
     if machine_ids is not None:
         df = df.filter(F.col("machine_id").isin(*machine_ids))
     return df

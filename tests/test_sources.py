@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.operators import forecast
+from gridpulse.config import PipelineConfig
+from gridpulse.operators import forecast, resample, rollup, windows
 from gridpulse.plans import models
 from gridpulse.sources import tables, usage
 
@@ -220,3 +221,37 @@ def test_a_damaged_gzip_shard_gives_no_row(spark, tmp_path, damage):
     assert ledger["bad.csv.gz"]["rows_read"] == 0 and "gzip data" in ledger["bad.csv.gz"]["reason"]
     with pytest.raises(ValueError, match="No shard could be read"):
         usage.read_usage(spark, str(tmp_path / "bad.csv.gz"))
+
+
+def test_written_windows_are_not_shuffled_and_latest_ones_are_pruned(spark, regular, tmp_path):
+    config = PipelineConfig(sequence_length=6, horizon=3, block_rows=40)
+    points = [(m, i, float(i % 7), 1.0) for m, n in (("a", 100), ("b", 12), ("c", 9), ("d", 5)) for i in range(n)]
+    series = resample.regular_series(regular(points), config)
+    cut = windows.scaled_blocks(series, ["cpu_usage"], config, back=5, ahead=3)
+    made = windows.array_windows(cut, ["cpu_usage"], ["cpu_usage"], config)
+    for frame, name in ((made, "marked"), (made.drop("latest"), "found")):
+        path = str(tmp_path / name)
+        tables.write_windows(frame, path)
+        stored = tables.read_windows(spark, path)
+        assert stored.columns.count("latest") == 0 and stored.count() == 92 + 4 + 1
+        latest = tables.read_windows(spark, path, latest_only=True)
+        assert sorted((r.machine_id, r.window_idx) for r in latest.collect()) == [("a", 91), ("b", 3), ("c", 0)]
+        read = {f.rsplit("latest=", 1)[1][0] for f in latest.inputFiles()}
+        plan = latest._jdf.queryExecution().executedPlan().toString()
+        assert "latest" in plan.split("PartitionFilters: [")[1].split("]")[0] and read
+    # What write_windows does to marked arrays: a sort in place, above the array window.
+    plan = made.withColumn("latest", F.col("latest").cast("int")).sortWithinPartitions(
+        "split", "latest", "machine_id", "window_idx"
+    )._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan.split("Window [")[0]
+
+
+def test_top_machines_and_their_rows_share_one_rollup(spark, regular):
+    rows = regular([(m, i, 1.0, 2.0) for m, n in (("a", 5), ("b", 9), ("c", 9), ("d", 2)) for i in range(n)])
+    rolled = rollup.rollup_machine(rows.withColumn("collection_id", F.lit(1)))
+    kept = rollup.restrict_to(rolled, 2)
+    assert {r.machine_id for r in kept.collect()} == {"b", "c"} and kept.count() == 18
+    kept = rollup.restrict_to(rolled, 2)
+    kept.collect()
+    final = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 1
