@@ -859,6 +859,27 @@ def e5_array_windows(spark, sf_dir):
     return _window_digest(_user_windows(spark, sf_dir))
 
 
+GAPPY = PipelineConfig(interval_seconds=3_600, sequence_length=4, horizon=2, block_rows=16)
+
+
+@query(
+    "e5_windows_within_gaps",
+    f"""{q.series('users')},
+  parted AS (SELECT *, coalesce(bin_no - lag(bin_no) OVER (PARTITION BY machine_id ORDER BY rn) > 7, FALSE) AS starts FROM series),
+  islands AS (SELECT *, sum(starts::INT) OVER (PARTITION BY machine_id ORDER BY rn) AS island FROM parted),
+  framed AS (SELECT *, lag(island, 3) OVER o AS first_island, lead(island, 2) OVER o AS last_island FROM islands
+    WINDOW o AS (PARTITION BY machine_id ORDER BY rn)),
+  kept AS (SELECT machine_id, bin, rn, row_number() OVER (PARTITION BY machine_id ORDER BY rn) - 1 AS window_idx,
+    count(*) OVER (PARTITION BY machine_id) AS total FROM framed WHERE first_island = last_island)
+SELECT machine_id, bin, rn, window_idx, CASE WHEN window_idx < floor(total * 0.7::DOUBLE) THEN 'train'
+  WHEN window_idx < floor(total * 0.7::DOUBLE) + floor(total * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM kept""",
+)
+def e5_windows_within_gaps(spark, sf_dir):
+    """Windows that run over no more than six missing hours, in blocks of a few rows."""
+    kept = windows.windows_within_gaps(_users(spark, sf_dir), GAPPY, max_gap=6)
+    return kept.select("machine_id", "bin", "rn", "window_idx", "split")
+
+
 @query(
     "e6_reject_short",
     f"""{q.series('pairs')}, inputs AS (SELECT DISTINCT machine_id FROM rolled)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridpulse import messages
 from gridpulse.config import PipelineConfig
+from gridpulse.functions.columns import epoch_micros
 from gridpulse.operators.blocks import block_order, in_own_block, with_halo
 from gridpulse.operators.scale import apply_scaled, training_rows
 
@@ -41,6 +42,39 @@ def sliding_windows(series: DataFrame, config: PipelineConfig) -> DataFrame:
     )
 
 
+def windows_within_gaps(series: DataFrame, config: PipelineConfig, max_gap: int) -> DataFrame:
+    """As ``sliding_windows``, of windows with at most ``max_gap`` missing bins between rows.
+
+    A longer gap parts a series into islands, and no window, from its first input row to its
+    last target, lies in two of them. Windows are numbered per machine over all islands and
+    split by that number. Islands may begin anywhere: a block sees the rows its windows reach
+    on both sides, and numbers inside a block are moved up by the counts of those before.
+    """
+    s, h, size = config.sequence_length, config.horizon, config.block_rows
+    halo = with_halo(series, "rn", size, s - 1, h)
+    order = block_order("rn")
+    bin_no = F.floor(epoch_micros("bin") / config.interval_micros)
+    parted = bin_no - F.lag(bin_no).over(order) - 1 > max_gap
+    halo = halo.withColumn("parted", F.coalesce(parted, F.lit(False)).cast("int"))
+    crossed = F.sum("parted").over(order.rowsBetween(2 - s, h))
+    whole = (
+        halo.withColumn("crossed", crossed)
+        .filter(in_own_block("rn", size) & is_anchor(config) & (F.col("crossed") == 0))
+        .drop("parted", "crossed")
+    )
+    machine = Window.partitionBy("machine_id")
+    counts = whole.groupBy("machine_id", "block").agg(F.count(F.lit(1)).alias("in_block"))
+    before = machine.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        "machine_id", "block", F.coalesce(F.sum("in_block").over(before), F.lit(0)).alias("before"),
+        F.sum("in_block").over(machine).alias("total"),
+    )
+    index = F.col("before") + F.row_number().over(order) - 1
+    numbered = whole.join(counts, ["machine_id", "block"]).withColumn("window_idx", index)
+    split = split_of(F.col("window_idx"), F.col("total"), config)
+    return numbered.withColumn("split", split).select(*series.columns, "window_idx", "split")
+
+
 def reject_short(series: DataFrame, config: PipelineConfig) -> DataFrame:
     """Series long enough for one window."""
     return series.filter(F.col("n") >= config.window_length)

@@ -176,3 +176,25 @@ def test_blocks_scale_like_the_plain_join(regular):
     assert sorted(map(tuple, blocks.select(key).collect())) == sorted(
         map(tuple, plain.select(key).collect())
     )
+
+
+@pytest.mark.parametrize("block", [10, 13, 4000])
+@pytest.mark.parametrize("max_gap", [0, 2, 10_000])
+def test_windows_stop_at_long_gaps(spark, regular, block, max_gap):
+    config = PipelineConfig(sequence_length=4, horizon=2, ffill_limit=0, block_rows=block)
+    at = [0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 14, 15, 16, 17, 18, 19, 20, 500, 501, 502, 503, 504, 505, 506, 900]
+    points = [("a", i, 1.0, 2.0) for i in at] + [("b", i, 1.0, 2.0) for i in range(30)]
+    series = resample.regular_series(regular(points), config)
+    got = windows.windows_within_gaps(series, config, max_gap).collect()
+    expected = [
+        k for k in range(3, len(at) - 2)
+        if all(at[j + 1] - at[j] - 1 <= max_gap for j in range(k - 3, k + 2))
+    ]
+    rows = sorted((r.window_idx, r.rn, r.split) for r in got if r.machine_id == "a")
+    assert [rn for _, rn, _ in rows] == expected
+    assert [i for i, _, _ in rows] == list(range(len(expected)))
+    train, val = int(len(expected) * 0.7), int(len(expected) * 0.15)
+    assert [s for _, _, s in rows] == ["train"] * train + ["val"] * val + ["test"] * (len(expected) - train - val)
+    whole = windows.sliding_windows(series, config).filter("machine_id = 'b'").collect()
+    key = lambda r: (r.window_idx, r.rn, r.split)
+    assert sorted(map(key, whole)) == sorted(key(r) for r in got if r.machine_id == "b")
