@@ -128,20 +128,18 @@ def resolve_features(
     Returns the table (absent features padded with 0.0), the feature names in
     configured order, and warnings.
     """
-    names = present(df, config.features)
-    warnings: list[str] = []
-    if expected_dim is None or len(names) == expected_dim:
-        return df, names, warnings
-    if len(names) > expected_dim:
-        extras = names[expected_dim:]
-        warnings.append(messages.EXTRA_FEATURES % (expected_dim, extras))
-        return df, names[:expected_dim], warnings
-    absent = [c for c in config.features if c not in names]
-    padding = absent[: expected_dim - len(names)]
-    warnings += [messages.PADDED_COLUMN % c for c in padding]
-    padded = df.withColumns({c: F.lit(0.0) for c in padding}) if padding else df
-    chosen = set(names) | set(padding)
-    return padded, [c for c in config.features if c in chosen], warnings
+    have = len(present(df, config.features))
+    wanted = have if expected_dim is None else expected_dim
+    chosen, surplus, padding = [], [], []
+    for name in config.features:
+        if name in df.columns:
+            (chosen if len(chosen) - len(padding) < wanted else surplus).append(name)
+        elif have + len(padding) < wanted:
+            padding.append(name)
+            chosen.append(name)
+    warnings = [messages.EXTRA_FEATURES % (wanted, surplus)] if surplus else []
+    warnings += [messages.PADDED_COLUMN % name for name in padding]
+    return df.withColumns({name: F.lit(0.0) for name in padding}), chosen, warnings
 
 
 def select_features(
