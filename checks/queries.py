@@ -29,6 +29,7 @@ from gridpulse.operators import clean, evaluate, forecast, resample, rollup, sca
 from gridpulse.plans import models, pipeline, reports, upload
 from gridpulse.session import scratch_folder
 from gridpulse.sources import tables, usage
+from gridpulse.streaming import bins as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -633,6 +634,54 @@ def c5_resample_mean(spark, sf_dir):
     return rounded(resample.with_bin_start(resample.resample_mean(_rolled(spark, sf_dir), EVENTS), EVENTS))
 
 
+def _followed(spark, sf_dir, source, config):
+    """All usage rows as a stream: three sets of files in time order; the stream ends after each
+    and goes on from its checkpoint."""
+    raw = source(spark, sf_dir)
+    low, high = raw.agg(F.min("start_time"), F.max("start_time")).first()
+    third = (high - low) // 3 + 1
+    folder = scratch_folder(spark, "stream")
+    part = F.floor((F.coalesce("start_time", F.lit(low)) - low) / third)
+    for at in range(3):
+        raw.filter(part == at).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/in")
+        feed, running = streams.follow(stream, f"{folder}/out", config, TARGETS)
+        running.awaitTermination()
+    return feed
+
+
+def _closed(sql: str, config: PipelineConfig) -> str:
+    """The SQL with only those bins that end at or before the newest row."""
+    micros = config.interval_micros
+    return sql.replace(
+        "FROM rolled GROUP BY",
+        f"""FROM rolled WHERE (epoch_us(timestamp) // {micros} + 1) * {micros}
+      <= (SELECT epoch_us(max(timestamp)) FROM rolled) GROUP BY""",
+    )
+
+
+@query(
+    "c5_stream_bins",
+    f"""WITH {_closed(q.bins('events'), EVENTS)} SELECT machine_id, bin_no,
+make_timestamp(bin_no * 300000000) AS bin, {_round_list(_ROLLED)} FROM bins""",
+)
+def c5_stream_bins(spark, sf_dir):
+    return rounded(_followed(spark, sf_dir, events_usage, EVENTS).bins(spark))
+
+
+@query(
+    "g1_stream_forecast",
+    f"""{_closed(q.series('users'), USERS)},
+  ends AS (SELECT machine_id, max(bin_no) AS last_bin, avg(cpu_usage) AS cpu_usage, avg(memory_usage) AS memory_usage
+    FROM series WHERE n >= 60 AND rn >= n - 12 GROUP BY 1),
+  ahead AS (SELECT *, unnest(generate_series(0, 11))::INT AS step FROM ends)
+SELECT machine_id, last_bin, step, last_bin + step + 1 AS bin_no,
+  make_timestamp((last_bin + step + 1) * 3600000000) AS bin, {_round_list(TARGETS)} FROM ahead""",
+)
+def g1_stream_forecast(spark, sf_dir):
+    return rounded(_followed(spark, sf_dir, user_usage, USERS).latest_forecasts(spark).drop("batch"))
+
+
 @query("c6_fit_minmax", f"{q.series('events')}, {q.scalers(FEATURES)} {_LONG_BOUNDS}")
 def c6_fit_minmax(spark, sf_dir):
     return rounded(scale.fit_minmax(_events(spark, sf_dir), FEATURES, EVENTS))

@@ -58,6 +58,17 @@ def _with_file_position(df: DataFrame) -> DataFrame:
     )
 
 
+def stream_usage(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Shards that arrive in a folder, as a stream typed like ``read_usage``.
+
+    ``options`` are those of Spark's file stream (``maxFilesPerTrigger``). A shard must be
+    whole when it arrives: a damaged one stops the stream, since rows once handed on
+    cannot be taken back.
+    """
+    raw = spark.readStream.schema(_TEXT_SCHEMA).options(header=False, **options).csv(path)
+    return raw.select(*[_typed(name, kind) for name, kind in USAGE_COLUMNS])
+
+
 @dataclass(frozen=True)
 class Shards:
     """What was read, and a ledger with one row per shard: shard, bytes, rows_read, reason.
