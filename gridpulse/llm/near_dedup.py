@@ -10,7 +10,11 @@ Large groups never meet as pairs. Equal sets are one vertex. In a bucket every m
 compared with the smallest one only, its centre. Members of one bucket that still lie in
 different components are compared in a second pass, in blocks inside a task and each pair in
 its first common bucket only, except where the triangle inequality of the Jaccard distance
-(both distances to the centre are known) rules a link out.
+(both distances to the centre are known) rules a link out. A member's text goes once to each
+block, and blocks are as large as memory lets them be.
+
+A doc_id may stand at several texts. Each distinct set keeps a vertex of its own, and in the
+end the vertices of one doc_id are tied together.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with probability 6e-6
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 MEMBERS_A_SALT = 2048
-STRAYS_A_SALT = 256
+STRAY_SHINGLES = 1 << 20  # a block of strays holds so many, 8 MB, or one larger set
 MARGIN = 6.0  # standard deviations of the estimate below the threshold that still get verified
 
 _random = np.random.default_rng(10)
@@ -102,6 +106,13 @@ def likeliest(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int) ->
     return float(grid[np.argmax(fit)])
 
 
+def _set_keys(own: np.ndarray) -> tuple[int | None, int | None]:
+    """Two 64-bit sums that name a set; nulls for an empty one."""
+    if not len(own):
+        return None, None
+    return tuple(int(spans.signed(v.sum(keepdims=True))[0]) for v in (own, spans.mix(own)))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_key (two longs, null if empty) and band keys of each row."""
 
@@ -110,12 +121,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             sizes, first, second, bands = [], [], [], []
             for own in shingle_sets(batch.column(1), words):
                 sizes.append(len(own))
-                if len(own):
-                    first.append(int(spans.signed(own.sum(keepdims=True))[0]))
-                    second.append(int(spans.signed(spans.mix(own).sum(keepdims=True))[0]))
-                    bands.append(band_keys(registers(own)))
-                else:
-                    first.append(None), second.append(None), bands.append(None)
+                key1, key2 = _set_keys(own)
+                first.append(key1), second.append(key2)
+                bands.append(band_keys(registers(own)) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -132,6 +140,43 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
+def keyed_texts(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key1, key2 (of the shingle set) and text of each row."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [_set_keys(own) for own in shingle_sets(batch.column(1), words)]
+            first, second = (pa.array(k, pa.int64()) for k in (list(zip(*keys)) or [[], []]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), first, second, batch.column(1)], names=["doc_id", "key1", "key2", "text"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key1 long, key2 long, text string")
+
+
+_LAST_ID = 2**63 - 2
+
+
+def vertex_ids(full: DataFrame) -> DataFrame:
+    """key1, key2, rep, id of each distinct set: its smallest doc_id and its vertex.
+
+    The vertex is ``rep``, or, where that stands for several sets, for all but the first of
+    them a hash above ``rep``: so the smallest vertex of a component stays a doc_id. A hash
+    meets one of n doc_ids with probability n / 2**63.
+    """
+    sets = stored(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "sets")
+    several = sets.groupBy("rep").agg(
+        F.min(F.struct("key1", "key2")).alias("first"), F.count("*").alias("n")
+    )
+    several = stored(several.filter("n > 1").select("rep", "first"), "several")
+    own = F.col("first").isNull() | (F.col("first") == F.struct("key1", "key2"))
+    base = F.least(F.greatest("rep", F.lit(0)), F.lit(_LAST_ID - 1))
+    other = base + 1 + F.pmod(F.xxhash64("rep", "key1", "key2"), F.lit(_LAST_ID) - base)
+    return sets.join(several, "rep", "left").select(
+        "key1", "key2", "rep", F.when(own, F.col("rep")).otherwise(other).alias("id")
+    )
+
+
 def _spread(edges: DataFrame) -> DataFrame:
     """Edges (member, centre) with a salt, and the centre itself once per salt.
 
@@ -214,19 +259,20 @@ class _Stray:
 def _across(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) inside buckets between components.
 
-    ``buckets``: band, centre, id, component, d (distance to the centre; null if unknown).
-    A bucket's strays are the members outside its largest component. They are held in
-    blocks, and all members stream past each block; only links come out. The centre has met
-    everybody and stays away.
+    ``buckets``: band, centre, id, component, n_shingles, d (distance to the centre; null if
+    unknown).
+    ``n_shingles`` is the size of the member's set. A bucket's strays are the members
+    outside its component with most shingles. They are held in blocks, and all members
+    stream past each block; only links come out. The centre has met everybody and stays away.
     """
-    sizes = buckets.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sizes = buckets.groupBy("band", "component").agg(F.sum("n_shingles").alias("n"))
     largest = (
         sizes.groupBy("band")
         .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
         .select(
             "band",
             F.col("top.component").alias("main"),
-            F.ceil((F.col("all") - F.col("top.n")) / STRAYS_A_SALT).cast("int").alias("salts"),
+            F.ceil((F.col("all") - F.col("top.n")) / STRAY_SHINGLES).cast("int").alias("salts"),
         )
         .filter("salts > 0")
     )
@@ -290,6 +336,30 @@ def _across(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     )
 
 
+def _texts(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """id, n_shingles, bands, text of the given vertices.
+
+    Where a doc_id stands at one set its row is found by doc_id, otherwise by the set too.
+    """
+    one, two = F.coalesce("key1", F.lit(0)), F.coalesce("key2", F.lit(0))
+    clashing = (
+        sketched.filter("doc_id is not null").groupBy("doc_id")
+        .agg(*[f(c).alias(n) for c, n in ((one, "x"), (two, "y"), ("n_shingles", "z"))
+               for f, n in ((F.min, n), (F.max, n + n))])
+        .filter("x < xx or y < yy or z < zz").select("doc_id")
+    )
+    clashing = stored(clashing, "clashing")
+    columns = ["id", "n_shingles", "bands", "text"]
+    rows = docs.select("doc_id", "text")
+    plain = rows.join(clashing, "doc_id", "left_anti").join(nodes.drop("key1", "key2"), "doc_id")
+    found = plain.dropDuplicates(["doc_id"]).select(*columns)
+    if clashing.isEmpty():
+        return found
+    odd = keyed_texts(rows.join(clashing, "doc_id", "left_semi"), words)
+    odd = odd.join(nodes, ["doc_id", "key1", "key2"]).dropDuplicates(["doc_id", "key1", "key2"])
+    return found.unionByName(odd.select(*columns))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -297,31 +367,31 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     ``component_id`` is the smallest doc_id reachable, ``kept`` says that the document is
     that one. Empty and null texts are linked with nothing and kept. Rows without a doc_id
     cannot be named: they link nothing, get a null component and are kept. Equal rows come
-    back as often as they were given; rows of one doc_id with different texts are one
-    vertex. Further columns are ignored. An empty table gives no rows.
+    back as often as they were given; rows of one doc_id with different texts link like one
+    document with all those texts. Further columns are ignored. An empty table gives no rows.
     """
     sketched = stored(sketches(docs, words), "sketches")
     full = sketched.filter("doc_id is not null and key1 is not null")
-    classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
-    copies = (
-        full.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"])
-        .select("doc_id", "rep").distinct()
+    classes = stored(vertex_ids(full), "classes")
+    ties = (
+        full.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).filter("doc_id != id")
+        .select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    )
+    vertices = (
+        full.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "key1", "key2"])
+        .dropDuplicates(["rep", "key1", "key2"])
     )
-    copies = stored(copies, "copies")
-    vertices = full.join(copies.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    banded = vertices.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
+    banded = vertices.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last"))
     shared = shared.filter("centre < last").select("band", "centre")
     buckets = stored(banded.join(shared, "band"), "buckets")
 
     edges = buckets.filter("id != centre").select(F.col("id").alias("member"), "centre").distinct()
     involved = buckets.select("id").distinct()
-    texts = (
-        docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-        .join(involved, "id", "left_semi").dropDuplicates(["id"])
+    nodes = vertices.join(involved, "id", "left_semi").select(
+        F.col("rep").alias("doc_id"), "key1", "key2", "id", "n_shingles", "bands"
     )
-    keys = vertices.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"])
-    texts = stored(texts.join(keys, "id"), "texts")
+    texts = stored(_texts(docs, sketched, stored(nodes, "nodes"), words), "texts")
     tested = stored(verified(edges, texts.select("id", "text"), words, percent), "tested")
     linked = F.expr(f"100 * shared >= {percent} * united")
     links = tested.filter(linked).select(F.col("member").alias("a"), F.col("centre").alias("b"))
@@ -330,12 +400,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     placed = buckets.join(reached.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "centre", "id", F.coalesce("component", "id").alias("component")
     )
+    placed = placed.join(texts.select("id", "n_shingles"), "id")
     distances = tested.select(
         F.col("member").alias("id"), "centre", (1 - F.col("shared") / F.col("united")).alias("d")
     )
     placed = placed.join(distances, ["id", "centre"], "left")
     found = stored(_across(placed, texts, words, percent).distinct(), "links")
-    ties = copies.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = connected(links.unionAll(found).unionAll(ties)).withColumnRenamed("node", "doc_id")
     return sketched.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select(
         "doc_id",

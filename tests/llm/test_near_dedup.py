@@ -59,6 +59,52 @@ def test_groups_equal_brute_force(spark, docs, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_small_blocks_lose_nothing(spark, docs, monkeypatch):
+    """Strays of a bucket dealt over many blocks."""
+    monkeypatch.setattr(near_dedup, "STRAY_SHINGLES", 300)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = [(i, varied(rng, base, rng.choice([6, 8, 10, 12, 14]), vocabulary)) for i in range(120)]
+    got = near_dedup.near_groups(docs(rows), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2)
+
+
+def test_one_doc_id_at_several_texts(spark, docs):
+    """Each text keeps its links, and the doc_id ties them together, in any order of rows."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    bases = [[rng.choice(vocabulary) for _ in range(100)] for _ in range(12)]
+    rows = [(i, varied(rng, bases[i % 12], 2, vocabulary)) for i in range(48)]
+    # 100 joins the groups of 0 and 1, 101 those of 2, 3 and 4; 102 repeats both texts of 100.
+    rows += [(100, rows[0][1]), (100, rows[1][1]), (100, None)]
+    rows += [(101, varied(rng, bases[k], 1, vocabulary)) for k in (2, 3, 4)]
+    rows += [(102, rows[0][1]), (102, rows[1][1]), (5, " ".join(bases[6])), (7, "")]
+    # A doc_id that is the first of two sets, each with copies of its own.
+    rows += [(-3, "p q r s"), (-3, "t u v w"), (200, "P Q r s"), (201, "t u v W"), (202, "x y")]
+    one_each = {(i, d): t for i, (d, t) in enumerate(rows)}
+    sets = {key: shingle_set(t, 2) for key, t in one_each.items()}
+    parent = {d: d for _, d in one_each}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    keys = list(sets)
+    for a in keys:
+        for b in keys:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a[1]), root(b[1])))
+                parent[y] = x
+    want = sorted((d, len(sets[i, d]), root(d)) for i, d in keys)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.near_groups(docs(rows, CLASHING), 2).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_edge_rows(spark, docs):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (3, "A B C D"), (4, None), (5, "é É")]
     df = docs(rows, CLASHING)
