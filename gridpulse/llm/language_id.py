@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.llm import spans
+from gridpulse.llm.scratch import stored
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 SAMPLE_PER_LANGUAGE = 500  # bound of the training sample
+SAMPLE_GROUPS = 256  # groups of input partitions the sample is cut in first
 EPOCHS = 6
 RATE = 0.5
 REJECTED_SHARE = 0.001  # of right calibration documents, at most
@@ -149,14 +151,20 @@ def fit(rows: list[tuple[str, str]], seed: int = 6) -> LanguageModel | None:
 
 
 def training_rows(docs: DataFrame, keep) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_PER_LANGUAGE`` (text, language) rows a language, by hashed doc_id."""
+    """At most ``SAMPLE_PER_LANGUAGE`` (text, language) rows a language, by hashed doc_id.
+
+    The smallest hashes are found in two levels: first among the input partitions of a
+    group, then among ``SAMPLE_GROUPS`` groups, so no task sees more of a language than its
+    share. The chosen ids are a table; the optimizer broadcasts it by its measured size.
+    """
     known = docs.filter(keep).filter("doc_id is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.select("doc_id", "lang").withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= SAMPLE_PER_LANGUAGE).select("doc_id").distinct()
-    )
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    group = F.pmod(F.spark_partition_id(), F.lit(SAMPLE_GROUPS)).alias("part")
+    chosen = known.select("doc_id", "lang", group)
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
+    chosen = stored(chosen.select("doc_id").distinct(), "sample")
+    sample = known.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")
     rows = sample.filter("text is not null").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gridpulse.llm import language_id, quality
 from gridpulse.llm.queries import op3_quality_classifier, op6_language_id
@@ -92,3 +93,19 @@ def test_score_is_the_sparse_dot_product():
         at, value = quality._sparse(text)
         want = 1 / (1 + np.exp(-(model.weights[at] @ value + model.bias)))
         assert abs(model.scores(pa.array([text]))[0] - want) < 1e-9
+
+
+def test_language_sample_is_the_smallest_hashes(spark, docs, monkeypatch):
+    """The sample does not depend on partitions, and no language has more than its bound."""
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANGUAGE", 7)
+    rows = [(i, f"text {i}", "aa" if i % 3 else "bb") for i in range(400)]
+    rows += [(1000, "x", "cc"), (1000, "x", "cc"), (None, "y", "cc"), (1001, None, "cc"), (1002, "z", None)]
+    want = []
+    for lang in ("aa", "bb"):
+        of = docs(rows).filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(7)
+        want += [(r.text, r.lang) for r in of.collect()]
+    want += [("x", "cc"), ("x", "cc")]
+    for parts in (1, 9):
+        got = language_id.training_rows(docs(rows).repartition(parts), F.lit(True))
+        assert sorted(got) == sorted(want)
+    assert language_id.training_rows(docs(rows).limit(0), F.lit(True)) == []
