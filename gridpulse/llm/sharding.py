@@ -4,37 +4,41 @@ Rows of each source are ranked in a seeded random order; row r of n gets the fra
 (2r - 1) / 2n. Sorted by fraction, every stretch of the table holds the sources in their
 proportions, so equal cuts of the order are shards that do.
 
-Neither ranking sorts a whole source or the whole table in one place: rows are bucketed by
-the leading digits of their sort key, ranked inside the bucket, and moved up by the sizes of
-the buckets before. With about sqrt(rows) buckets, a bucket and the table of bucket sizes
-are both of that order, whatever share one source has.
+Neither ranking puts a whole source or the whole table in one place: rows are sorted by
+Spark's range partitioning on the whole sort key, which splits ties of one part of the key by
+the others, and numbered inside partitions. A row's rank is its number plus the rows of its
+stratum in the partitions before; those counts are one row per partition and stratum in it.
 """
 
 from __future__ import annotations
 
-from math import isqrt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LEADING = 16**8
+from gridpulse.llm.scratch import stored
+
+_PART_BITS = 33  # monotonically_increasing_id keeps the partition above so many bits
+
 
+def _ranked(rows: DataFrame, strata: list[str], order: list[Column | str], purpose: str) -> DataFrame:
+    """Add ``rank`` (from 1) and ``total`` of each row's stratum in the given order.
 
-def _ranked(rows: DataFrame, strata: list[str], bucket: str, order: list[Column | str]) -> DataFrame:
-    """Add ``rank`` (from 1) and ``total`` of each row's stratum; buckets ascend with order."""
-    keys = [*strata, bucket]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    The numbered rows are written, so a task that runs again sees the same numbers.
+    """
+    numbered = rows.orderBy(*strata, *order).withColumn("_row", F.monotonically_increasing_id())
+    numbered = stored(numbered, purpose).withColumn("_part", F.shiftright("_row", _PART_BITS))
+    keys = [*strata, "_part"]
+    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("_size"), F.min("_row").alias("_first"))
     whole = Window.partitionBy(*strata)
-    before = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
         *keys,
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_size").over(whole).alias("total"),
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        rows.withColumn("rank", F.row_number().over(inside)).join(sizes, keys)
-        .withColumn("rank", F.col("rank") + F.col("_before")).drop("_before")
+        numbered.join(sizes, keys).withColumn("rank", F.col("_row") + F.col("_shift"))
+        .drop("_row", "_part", "_shift")
     )
 
 
@@ -48,10 +52,8 @@ def interleaved_shards(docs: DataFrame, shards: int = 24, seed: int = 8) -> Data
     all of them can trade places. Further columns are ignored; no rows give no rows.
     """
     count = docs.count()
-    buckets = max(1, isqrt(count))
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    leading = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     rows = docs.select(
         "doc_id",
         "source",
@@ -59,13 +61,11 @@ def interleaved_shards(docs: DataFrame, shards: int = 24, seed: int = 8) -> Data
         F.crc32(text).alias("text_crc32"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("_stratum"),
         key.alias("_key"),
-    ).withColumn("_bucket", F.floor(leading * buckets / F.lit(_LEADING)))
+    )
     ties = ["doc_id", "size", "text_crc32"]
-    ranked = _ranked(rows, ["_stratum"], "_bucket", ["_key", *ties])
+    ranked = _ranked(rows, ["_stratum"], ["_key", *ties], "strata")
     placed = ranked.withColumn("_at", (2 * F.col("rank") - 1) / (2 * F.col("total"))).drop("rank", "total")
-    placed = placed.withColumn("_bucket", F.floor(F.col("_at") * buckets))
-    placed = placed.withColumn("_all", F.lit(0))
-    ordered = _ranked(placed, ["_all"], "_bucket", ["_at", "_stratum", "_key", *ties])
+    ordered = _ranked(placed, [], ["_at", "_stratum", "_key", *ties], "interleaved")
     position = F.col("rank") - 1
     shard = F.expr(f"(rank - 1) * {shards} div {max(count, 1)}")
     first = F.expr(f"(_shard * {count} + {shards - 1}) div {shards}")
