@@ -48,14 +48,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(docs: DataFrame) -> DataFrame:
     """Documents as files: folders of 16 documents in folders of 256; the first document of
-    a folder is its README."""
+    a folder is its README. Rows without a doc_id are named by their text in a folder of
+    their own; those of one text are one file."""
     outer, inner = F.expr("doc_id div 256"), F.expr("doc_id div 16")
     path = (
         F.when(F.col("doc_id") % 256 == 0, F.concat_ws("/", outer, F.lit("README.md")))
         .when(F.col("doc_id") % 16 == 0, F.concat_ws("/", outer, inner, F.lit("README.md")))
+        .when(F.col("doc_id").isNull(), F.concat(F.lit("unnamed/"), F.sha2(F.coalesce("text", F.lit("")), 256)))
         .otherwise(F.concat_ws("/", outer, inner, F.concat("doc_id", F.lit(".txt"))))
     )
-    return docs.filter("doc_id is not null").select("doc_id", path.alias("path"), "text")
+    return docs.select("doc_id", path.alias("path"), "text")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,42 @@ def test_shard_edges(spark, docs):
     assert sharding.interleaved_shards(docs(rows).limit(0)).count() == 0
 
 
+def test_many_small_sources_and_missing_ids(spark, docs):
+    """Ranks equal one plain sort, also where all fractions or all keys are the same."""
+    import hashlib
+
+    rows = [(i, "t" * (i % 5), None, f"s{i:03}") for i in range(200)]
+    rows += [(None, "x" * i, None, "n") for i in range(150)] + [(7, "y" * i, None, None) for i in range(60)]
+
+    def entry(d, t, source):
+        data = t.encode()
+        key = hashlib.md5(f"8:{'null' if d is None else d}".encode()).hexdigest()
+        stratum = "n" if source is None else "s" + source
+        return stratum, key, (d is not None, d or 0), len(data) + 8, zlib.crc32(data)
+
+    entries = sorted(entry(r[0], r[1], r[3]) for r in rows)
+    totals, seen, placed = Counter(e[0] for e in entries), Counter(), []
+    for e in entries:
+        seen[e[0]] += 1
+        placed.append(((2 * seen[e[0]] - 1) / (2 * totals[e[0]]), e))
+    want = []
+    for rank, (_, e) in enumerate(sorted(placed)):
+        shard = rank * 24 // len(rows)
+        want.append((e[2][1] if e[2][0] else None, e[3], e[4], shard, rank - -(-shard * len(rows) // 24)))
+    got = sharding.interleaved_shards(docs(rows), 24).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == Counter(want)
+
+
+def test_files_of_documents(spark, docs):
+    from gridpulse.llm.queries import document_files
+
+    rows = [(0, "a"), (16, "b"), (17, "c"), (None, "d"), (None, "d"), (None, None)]
+    got = document_files(docs(rows)).collect()
+    paths = [r.path for r in got]
+    assert len(got) == 6 and None not in paths and len(set(paths)) == 5
+    assert {"0/README.md", "0/1/README.md", "0/1/17.txt"} <= set(paths)
+
+
 def brute(files):
     def words(line):
         return [w for w in re.split("[^a-z0-9]+", line.lower()) if w]
