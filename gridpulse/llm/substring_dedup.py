@@ -7,9 +7,10 @@
    two documents is confirmed, the smallest of them is its home. Runs of confirmed windows
    at home are passages, cut into pieces of bounded length.
 3. Pieces are dealt to shards of bounded size. The windows of a shard's pieces form one
-   Aho-Corasick automaton over word numbers; the documents that share a window with one of
-   its homes stream through it. Every hit is an occurrence of a whole window, so a document
-   of n words has at most n hits in a shard, however many passages resemble each other.
+   Aho-Corasick automaton, spelled in numbered phrases of words; of the documents that share a window with one
+   of its homes, the runs of shared windows stream through it, since no hit lies outside
+   them. Every hit is an occurrence of a whole window, so a document of n words has at most
+   n hits in a shard, however many passages resemble each other.
    Words themselves are compared, so a hash collision cannot remove a word.
 """
 
@@ -28,26 +29,25 @@ from gridpulse.llm.scratch import stored
 
 PHRASE = 20
 SHARD_WINDOWS = 4000
-DOCUMENTS_A_SALT = 200
+STEP = 10  # words of the phrases that windows are spelled in, at most
+WORDS_A_SALT = 500_000  # streaming past one copy of an automaton
 
 
-def _minimizers(phrases: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` values, the position of the smallest (the last of equals)."""
-    views = np.lib.stride_tricks.sliding_window_view(phrases[::-1], width)
-    best = np.empty(len(views), np.int64)
-    for at in range(0, len(views), 8192):
-        best[at : at + 8192] = views[at : at + 8192].argmin(axis=1)
-    best += np.arange(len(views))
-    return (len(phrases) - 1 - best)[::-1]
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each run of ``width`` values, by runs of doubled length."""
+    least, size = values, 1
+    while 2 * size <= width:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    rest = width - size
+    return np.minimum(least[: len(least) - rest], least[rest:])
 
 
-def anchors_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hashes, for each window the position of its anchor) of one text's words."""
-    size = min(PHRASE, window)
-    phrases = spans.rolling(hashes, size)
+def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The anchor (a phrase's hash) of each window of one text's words."""
     if len(hashes) < window:
-        return phrases, np.zeros(0, np.int64)
-    return phrases, _minimizers(phrases, window - size + 1)
+        return np.zeros(0, spans.U64)
+    size = min(PHRASE, window)
+    return _smallest(spans.rolling(hashes, size), window - size + 1)
 
 
 def _squeezed(data: np.ndarray, found: spans.Words, i: int) -> bytes:
@@ -79,8 +79,8 @@ def scanned(docs: DataFrame, window: int) -> DataFrame:
                     counts.append(n)
                     one.append(int(spans.signed(spans.span_hashes(own, *whole))[0]) if n else 0)
                     two.append(int(spans.signed(spans.span_hashes(spans.mix(own), *whole))[0]) if n else 0)
-                    phrases, chosen = anchors_of(own, window)
-                    anchors.append(spans.signed(np.unique(phrases[chosen])) if len(chosen) else None)
+                    chosen = anchors_of(own, window)
+                    anchors.append(spans.signed(np.unique(chosen)) if len(chosen) else None)
                     digests.append(hashlib.sha256(_squeezed(data, found, i)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -113,9 +113,8 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 values, owners, at = [], [], []
                 for i in range(len(offsets) - 1):
                     own = hashes[found.first[i] : found.first[i + 1]]
-                    phrases, chosen = anchors_of(own, window)
                     recurring = np.array(wanted[row + i].values, np.int64).view(spans.U64)
-                    starts = np.flatnonzero(np.isin(phrases[chosen], recurring))
+                    starts = np.flatnonzero(np.isin(anchors_of(own, window), recurring))
                     values.append(spans.signed(spans.rolling(own, window)[starts]))
                     owners.append(np.full(len(starts), ids[row + i], np.int64))
                     at.append(starts.astype(np.int32))
@@ -137,27 +136,45 @@ def _runs(sorted_positions: np.ndarray) -> list[tuple[int, int]]:
 
 
 class _Shard:
-    """The windows of a shard's passages in an automaton, and its word numbers."""
+    """The windows of a shard's passages in an automaton, and its numbers of phrases.
+
+    A window of 50 words is spelled by the five phrases of ten words it consists of, so its
+    path has five nodes; a text is read once from each of its first ten words on. Phrases are
+    told apart by their words.
+    """
 
     def __init__(self, window: int):
         self.window, self.ready = window, False
-        self.number: dict[str, int] = {}
+        self.step = max(d for d in range(1, min(STEP, window) + 1) if window % d == 0)
+        self.number: dict[tuple[str, ...], int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
+    def _phrases(self, words: list[str]) -> list[tuple[str, ...]]:
+        step = self.step
+        return [tuple(words[i : i + step]) for i in range(len(words) - step + 1)]
+
     def add(self, home: int, words: list[str]) -> None:
         number = self.number
-        values = tuple([number.setdefault(w, len(number) + 1) for w in words])
-        for at in range(len(values) - self.window + 1):
-            self.automaton.add_word(values[at : at + self.window], home)
+        values = tuple([number.setdefault(p, len(number) + 1) for p in self._phrases(words)])
+        for at in range(len(words) - self.window + 1):
+            self.automaton.add_word(values[at : at + self.window : self.step], home)
 
     def locate(self, doc_id: int, words: list[str]) -> list[tuple[int, int]]:
-        """Word ranges of the document that repeat windows at home in smaller documents."""
+        """Word ranges of a run that repeat windows at home in smaller documents."""
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
-        get = self.number.get
-        values = tuple([get(w, 0) for w in words])
-        ends = np.array([e for e, home in self.automaton.iter(values) if home < doc_id], np.int64)
+        get, step = self.number.get, self.step
+        values = tuple([get(p, 0) for p in self._phrases(words)])
+        ends = np.sort(np.array(
+            [
+                begin + (e + 1) * step - 1
+                for begin in range(min(step, len(values)))
+                for e, home in self.automaton.iter(values[begin::step])
+                if home < doc_id
+            ],
+            np.int64,
+        ))
         out: list[tuple[int, int]] = []
         for first, last in _runs(ends):
             first -= self.window - 1
@@ -176,50 +193,56 @@ _BLANKS = {code: " " for code in range(0x09, 0x0E)}
 
 
 def _pieces(homes: DataFrame, window: int) -> DataFrame:
-    """(home, piece, windows, text) from rows (doc_id, text, starts): runs of windows."""
+    """(doc_id, home, piece, first, windows, text): runs of windows, cut at a bounded length.
+
+    From rows (doc_id, text, shared), where ``shared`` holds the starts of the document's
+    windows by home; ``first`` is the position of the piece's first word.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words, piece = _split(text), 0
-                for first, last in _runs(np.unique(np.array(starts, np.int64))):
-                    for at in range(first, last + 1, SHARD_WINDOWS):
-                        upto = min(at + SHARD_WINDOWS, last + 1)
-                        part = " ".join(words[at : upto + window - 1])
-                        out.append((doc_id, piece, upto - at, part))
-                        piece += 1
-            columns = list(zip(*out)) or [[]] * 4
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+            for doc_id, text, shared in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = _split(text)
+                for entry in shared:
+                    piece = 0
+                    for first, last in _runs(np.unique(np.array(entry["starts"], np.int64))):
+                        for at in range(first, last + 1, SHARD_WINDOWS):
+                            upto = min(at + SHARD_WINDOWS, last + 1)
+                            part = " ".join(words[at : upto + window - 1])
+                            out.append((doc_id, entry["home"], piece, at, upto - at, part))
+                            piece += 1
+            columns = list(zip(*out)) or [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)],
-                names=["home", "piece", "windows", "text"],
+                names=["doc_id", "home", "piece", "first", "windows", "text"],
             )
 
-    return homes.select("doc_id", "text", "starts").mapInArrow(
-        run, "home long, piece int, windows long, text string"
+    return homes.select("doc_id", "text", "shared").mapInArrow(
+        run, "doc_id long, home long, piece int, first int, windows long, text string"
     )
 
 
 def _occurrences(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, first, last) from rows (shard, salt, role, doc_id, text).
+    """(doc_id, first, last) from rows (shard, salt, role, doc_id, first, text).
 
-    In a group passages (role 0) come first; texts (role 1) stream past the automaton.
+    In a group passages (role 0) come first; runs of texts (role 1) stream past the automaton.
     """
 
     def run(batches):
         at, shard = None, None
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for i, (number, salt, role, doc_id) in enumerate(zip(*columns)):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (number, salt, role, doc_id, begin) in enumerate(zip(*columns)):
                 if at != (number, salt):
                     at, shard = (number, salt), _Shard(window)
-                words = _split(batch.column(4)[i].as_py())
+                words = _split(batch.column(5)[i].as_py())
                 if role == 0:
                     shard.add(doc_id, words)
                 else:
-                    out += [(doc_id, lo, hi) for lo, hi in shard.locate(doc_id, words)]
+                    out += [(doc_id, begin + lo, begin + hi) for lo, hi in shard.locate(doc_id, words)]
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))],
@@ -228,7 +251,7 @@ def _occurrences(rows: DataFrame, window: int) -> DataFrame:
 
     return (
         rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "doc_id")
-        .select("shard", "salt", "role", "doc_id", "text")
+        .select("shard", "salt", "role", "doc_id", "first", "text")
         .mapInArrow(run, "doc_id long, first int, last int")
     )
 
@@ -276,28 +299,29 @@ def repeated(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
     windows = stored(_windows(texts, window), "windows")
     homes = windows.groupBy("window").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("y"))
     homes = homes.filter("home < y").select("window", "home")
-    shared = stored(
-        windows.join(homes, "window").groupBy("doc_id", "home")
-        .agg(F.collect_list(F.expr("if(doc_id = home, start, null)")).alias("starts")),
-        "shared",
+    shared = (
+        windows.join(homes, "window").groupBy("doc_id", "home").agg(F.collect_list("start").alias("starts"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("home", "starts")).alias("shared"))
     )
-    pieces = stored(_pieces(shared.filter("doc_id = home").join(texts, "doc_id"), window), "pieces")
-    shards = max(1, -(-(pieces.agg(F.sum("windows")).first()[0] or 0) // SHARD_WINDOWS))
+    pieces = stored(_pieces(shared.join(texts, "doc_id"), window), "pieces")
+    at_home, away = pieces.filter("doc_id = home"), pieces.filter("doc_id > home")
+    shards = max(1, -(-(at_home.agg(F.sum("windows")).first()[0] or 0) // SHARD_WINDOWS))
     shard = F.pmod(F.xxhash64("home", "piece"), F.lit(shards)).cast("int").alias("shard")
-    dealt = pieces.select("home", shard, "text")
-    routes = (
-        shared.filter("doc_id > home").select("doc_id", "home")
-        .join(dealt.select("home", "shard").distinct(), "home").select("doc_id", "shard").distinct()
+    dealt = at_home.select("home", shard, "text")
+    # Routes are narrow rows: a home that very many documents share is joined without texts.
+    routes = away.select("doc_id", "home", "piece", "windows").join(
+        dealt.select("home", "shard").distinct(), "home"
     )
     salts = routes.groupBy("shard").agg(
-        F.ceil(F.count("*") / DOCUMENTS_A_SALT).cast("int").alias("salts")
+        F.ceil(F.sum(F.col("windows") + (window - 1)) / WORDS_A_SALT).cast("int").alias("salts")
     )
     streams = (
-        routes.join(salts, "shard").join(texts.select("doc_id", "text"), "doc_id").select(
+        routes.drop("windows").join(salts, "shard").join(away.drop("windows"), ["doc_id", "home", "piece"]).select(
             "shard",
-            F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int").alias("salt"),
+            F.pmod(F.xxhash64("doc_id", "home", "piece"), F.col("salts").cast("long")).cast("int").alias("salt"),
             F.lit(1).alias("role"),
             "doc_id",
+            "first",
             "text",
         )
     )
@@ -306,6 +330,7 @@ def repeated(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.lit(0).alias("role"),
         F.col("home").alias("doc_id"),
+        F.lit(0).alias("first"),
         "text",
     )
     rows = streams.unionByName(passages)

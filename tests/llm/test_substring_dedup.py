@@ -78,3 +78,22 @@ def test_edge_rows(spark, docs):
         (-1, 60, 0), (1, 60, 0), (1, 60, 0), (2, 60, 60), (3, 0, 0), (4, 0, 0), (5, 2, 0), (6, 55, 0), (6, 60, 0),
     ]
     assert substring_dedup.removal_digest(docs(rows).limit(0)).count() == 0
+
+
+def test_a_window_is_a_short_path_and_texts_stream_in_shared_runs(spark, docs):
+    words = [f"w{i}" for i in range(120)]
+    shard = substring_dedup._Shard(50)
+    shard.add(1, words)
+    assert shard.automaton.get_stats()["nodes_count"] <= 71 * 5 + 1
+    text = ["x", *words[7:80], "y", *words[20:75], "z"]
+    assert shard.locate(9, text) == [(1, 74), (75, 130)] and shard.locate(1, text) == []
+    odd = substring_dedup._Shard(7)  # spelled by one phrase
+    odd.add(1, words[:9])
+    assert odd.locate(2, ["a", *words[1:9]]) == [(1, 9)] and odd.locate(2, words[:6]) == []
+    rows = spark.createDataFrame([(9, " ".join(text), [(1, [1, 2, 75]), (9, [0])])],
+                                 "doc_id long, text string, shared array<struct<home:long,starts:array<int>>>")
+    got = {tuple(r) for r in substring_dedup._pieces(rows, 50).collect()}
+    assert got == {
+        (9, 1, 0, 1, 2, " ".join(text[1:52])), (9, 1, 1, 75, 1, " ".join(text[75:125])),
+        (9, 9, 0, 0, 1, " ".join(text[:50])),
+    }
