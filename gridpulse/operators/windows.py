@@ -250,6 +250,31 @@ def scaled_blocks(
     )
 
 
+def _by_split(blocks: DataFrame, config: PipelineConfig) -> DataFrame:
+    """Rows of each block with ``split`` and ``latest``, once per group of windows they are in.
+
+    The groups are the windows of a split but the machine's last one, and that one alone; only
+    rows near a border are in several.
+    """
+    total = F.col("n") - (config.window_length - 1)
+    final = total - 1
+    train_end = F.floor(total * F.lit(float(config.train_ratio)))
+    val_end = train_end + F.floor(total * F.lit(float(config.val_ratio)))
+    bounds = (F.lit(0), F.least(train_end, final)), (train_end, F.least(val_end, final)), (val_end, final), (final, total)
+    rn, reach = F.col("rn"), config.window_length - 1
+    groups = [
+        F.when((first < end) & (rn >= first) & (rn < end + reach), F.lit(i)) for i, (first, end) in enumerate(bounds)
+    ]
+    split = F.when(F.col("_group") == 3, split_of(final, total, config))
+    for i, name in enumerate(("train", "val", "test")):
+        split = split.when(F.col("_group") == i, name)
+    return (
+        blocks.withColumn("_group", F.explode(F.array_compact(F.array(*groups))))
+        .withColumns({"split": split, "latest": (F.col("_group") == 3).cast("int")})
+        .drop("_group")
+    )
+
+
 def array_windows(
     blocks: DataFrame, features: Sequence[str], targets: Sequence[str], config: PipelineConfig
 ) -> DataFrame:
@@ -257,18 +282,21 @@ def array_windows(
 
     For export and external scoring only; it repeats every row S + H times. Takes
     the output of ``scaled_blocks`` (or ``raw_blocks``) with full overlap. ``latest``
-    marks the last window of each machine.
+    is 1 for the last window of each machine, otherwise 0. Within a partition windows come by
+    split and ``latest``: the rows are put in that order before arrays are made of them, so
+    that no array has to be sorted where they are written.
     """
-    order = block_order("rn")
+    order = Window.partitionBy("split", "latest", "machine_id", "block").orderBy("rn")
     s, h = config.sequence_length, config.horizon
     x = F.collect_list(F.array(*features)).over(order.rowsBetween(-(s - 1), 0))
     y = F.collect_list(F.array(*targets)).over(order.rowsBetween(1, h))
-    framed = blocks.withColumns({"x": x, "y": y}).filter(
-        in_own_block("rn", config.block_rows)
+    index, total = F.col("rn") - (s - 1), F.col("n") - (config.window_length - 1)
+    own = (split_of(index, total, config) == F.col("split")) & ((index == total - 1).cast("int") == F.col("latest"))
+    return (
+        _by_split(blocks, config).withColumns({"x": x, "y": y})
+        .filter(in_own_block("rn", config.block_rows) & is_anchor(config) & own)
+        .select("machine_id", index.alias("window_idx"), "split", "latest", "x", "y")
     )
-    latest = F.col("rn") == F.col("n") - (h + 1)
-    made = sliding_windows(framed, config).withColumn("latest", latest)
-    return made.select("machine_id", "window_idx", "split", "latest", "x", "y")
 
 
 def raw_blocks(

@@ -21,15 +21,20 @@ def write_windows(windows: DataFrame, path: str, mode: str = "error") -> None:
     Written from the partitions they come in: ``array_windows`` forms them by (machine,
     block), so a machine with most windows lies in several files, row group statistics prune
     by machine, and no array is shuffled. The last window of each machine (``latest``) lies in
-    a folder of its own; without that column it is found by a join on the window numbers.
+    a folder of its own; with that column the windows of a split are written in the order they
+    come in, and those of ``array_windows`` come as the writer needs them, so no array is
+    sorted either. Without the column the last window is found by a join on the window numbers
+    and the rows are sorted.
     """
+    order = ["split", "latest"]
     if "latest" not in windows.columns:
         last = windows.groupBy("machine_id").agg(F.max("window_idx").alias("last_idx"))
         windows = windows.join(last, "machine_id")
         windows = windows.withColumn("latest", F.col("window_idx") == F.col("last_idx")).drop("last_idx")
+        order += ["machine_id", "window_idx"]
     (
         windows.withColumn("latest", F.col("latest").cast("int"))
-        .sortWithinPartitions("split", "latest", "machine_id", "window_idx")
+        .sortWithinPartitions(*order)
         .write.partitionBy("split", "latest")
         .mode(mode)
         .parquet(path)

@@ -255,3 +255,27 @@ def test_top_machines_and_their_rows_share_one_rollup(spark, regular):
     kept.collect()
     final = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") >= 1
+
+
+def test_windows_come_in_the_order_they_are_written_in(spark, regular, tmp_path):
+    config = PipelineConfig(sequence_length=6, horizon=3, block_rows=10)
+    lengths = {"a": 100, "b": 12, "c": 9, "d": 5, "e": 10, "f": 11}
+    points = [(m, i, float(i), 1.0) for m, n in lengths.items() for i in range(n)]
+    series = resample.regular_series(regular(points), config)
+    cut = windows.raw_blocks(series, ["cpu_usage"], config, back=5, ahead=3)
+    made = windows.array_windows(cut, ["cpu_usage"], ["cpu_usage"], config)
+    got = sorted((r.machine_id, r.window_idx, r.split, r.latest, [v for v, in r.x], [v for v, in r.y]) for r in made.collect())
+    want = []
+    for m, n in lengths.items():
+        total = max(n - 8, 0)
+        train, val = int(total * 0.7), int(total * 0.7) + int(total * 0.15)
+        for i in range(total):
+            split = "train" if i < train else "val" if i < val else "test"
+            x, y = [float(v) for v in range(i, i + 6)], [float(v) for v in range(i + 6, i + 9)]
+            want.append((m, i, split, int(i == total - 1), x, y))
+    assert got == sorted(want)
+    # What write_windows asks for: no sort is left above the window that makes the arrays.
+    ordered = made.withColumn("latest", F.col("latest").cast("int")).sortWithinPartitions("split", "latest")
+    ordered.collect()
+    plan = ordered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Sort [" not in plan.split("Window [")[0]
