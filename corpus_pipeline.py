@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.llm import language_id, near_dedup, packing, quality, substring_dedup
-from gridpulse.llm.scratch import stored
+from gridpulse.llm.scratch import give_back, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letters, or less sure than the calibrated threshold."""
     model = language_id.fit(language_id.training_rows(docs, F.lit(True)))
+    give_back()
     return language_id.accepted(docs, model)
 
 
@@ -24,6 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents scored below the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.training_rows(docs, labels, F.lit(True)))
+    give_back()
     return quality.accepted(docs, model)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridpulse.llm import language_id, quality
+from gridpulse.llm import language_id, quality, scratch
 from gridpulse.llm.queries import op3_quality_classifier, op6_language_id
 from tests.llm.conftest import CLASHING
 
@@ -109,3 +109,15 @@ def test_language_sample_is_the_smallest_hashes(spark, docs, monkeypatch):
         got = language_id.training_rows(docs(rows).repartition(parts), F.lit(True))
         assert sorted(got) == sorted(want)
     assert language_id.training_rows(docs(rows).limit(0), F.lit(True)) == []
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def held():
+        with open("/proc/self/smaps_rollup") as rollup:
+            return next(int(line.split()[1]) for line in rollup if line.startswith("Pss_Anon"))
+
+    parts = [bytes(10_000) for _ in range(20_000)]
+    parts = parts[::100]  # what stays lies between what is freed
+    before = held()
+    scratch.give_back()
+    assert before - held() > 100_000 and len(parts) == 200
