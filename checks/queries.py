@@ -642,8 +642,10 @@ def _followed(spark, sf_dir, source, config):
     third = (high - low) // 3 + 1
     folder = scratch_folder(spark, "stream")
     part = F.floor((F.coalesce("start_time", F.lit(low)) - low) / third)
+    raw.withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts")
     for at in range(3):
-        raw.filter(part == at).write.mode("append").parquet(f"{folder}/in")
+        parts.filter(F.col("part") == at).select(raw.columns).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/in")
         feed, running = streams.follow(stream, f"{folder}/out", config, TARGETS)
         running.awaitTermination()

@@ -143,17 +143,19 @@ def follow(
     call with the same path goes on where the last one stopped. By default all rows there
     are get processed and the query ends (available now). Forecasts start after the newest
     row of a machine's series, not ``horizon`` rows earlier, and need ``sequence_length``
-    rows. A micro-batch costs its closed bins plus one tail per machine.
+    rows. A micro-batch costs its closed bins plus one tail per machine; one that closes no
+    bin, as those that bring rows after a pause do, only copies the tails.
     """
     if usage.isStreaming is False:
         raise ValueError("`usage` must be a stream; use the batch operators for tables")
     if not 1 <= window <= config.sequence_length:
         raise ValueError(f"window must be in 1..{config.sequence_length}, got {window}")
     feed = Feed(path, config, tuple(targets))
+    # The session of a micro-batch plans without adaptive execution and keeps the partitions
+    # of the first start. Only the stream itself needs that.
+    spark = usage.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
         def put(rows: DataFrame, folder: str) -> DataFrame:
             rows.write.mode("overwrite").parquet(folder)
             return spark.read.schema(rows.schema).parquet(folder)
@@ -163,9 +165,14 @@ def follow(
         if batch_id:
             before = spark.read.schema(schema).parquet(feed.slot(batch_id - 1))
         else:
-            before = spark.createDataFrame([], schema)
+            before = closed.withColumn("filled", F.lit(True)).limit(0)
+        forecasts = f"{path}/forecasts/batch={batch_id}"
+        if closed.isEmpty():
+            put(before, feed.slot(batch_id))
+            put(_forecast(before, closed, feed, window).limit(0), forecasts)
+            return
         tail = put(_new_tail(closed, before, config), feed.slot(batch_id))
-        put(_forecast(tail, closed, feed, window), f"{path}/forecasts/batch={batch_id}")
+        put(_forecast(tail, closed, feed, window), forecasts)
 
     writer = (
         stream_bins(usage, config, delay).writeStream.outputMode("append")

@@ -73,6 +73,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert all(r.bin_no == tops[r.machine_id] + r.step + 1 for r in got.collect())
 
 
+def test_only_closed_bins_rework_the_tails(spark, tmp_path, monkeypatch):
+    """Micro-batches without a closed bin hand the tails on, the others plan adaptively."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    reworked, new_tail = [], streams._new_tail
+
+    def noted(closed, tail, config):
+        reworked.append((closed.count(), closed.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+        return new_tail(closed, tail, config)
+
+    monkeypatch.setattr(streams, "_new_tail", noted)
+    # The rows added last lie in the bin that is still open: none closes.
+    chunks = [telemetry(0, 9), telemetry(9, 20), [(19 * BIN + 130_000_000, "a", 0.5, 0.5)]]
+    tails = []
+    for chunk in chunks:
+        rows_of(spark, chunk).write.mode("append").parquet(source)
+        feed, query = run(spark, source, path)
+        assert streams.late_rows(query) == 0
+        last = max(p["batchId"] for p in query.recentProgress)
+        tails.append(sorted(map(str, spark.read.parquet(feed.slot(last)).collect())))
+    assert len(reworked) == 2 and all(rows > 0 and adaptive == "true" for rows, adaptive in reworked)
+    assert tails[2] == tails[1] != tails[0]
+    assert feed.latest_forecasts(spark).filter("machine_id = 'a'").agg(F.min("bin_no")).first()[0] == 19
+
+
 def test_late_rows(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     rows_of(spark, [(0, "a", 0.1, 0.1), (7 * BIN, "a", 0.3, 0.3)]).write.parquet(source)
