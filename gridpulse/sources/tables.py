@@ -50,9 +50,11 @@ def read_windows(
 ) -> DataFrame:
     """Stored windows; split and ``latest_only`` prune folders, ids are pushed to the scan.
 
-    ``latest_only`` reads the files with the last window of each machine and no others.
+    ``latest_only`` reads the files with the last window of each machine and no others. A
+    damaged file is an error: it may hold windows of many machines, and without them the rest
+    would look whole.
     """
-    df = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    df = spark.read.parquet(path)
     if split is not None:
         if split not in SPLITS:
             raise ValueError(f"split must be one of {SPLITS}")

@@ -279,3 +279,37 @@ def test_windows_come_in_the_order_they_are_written_in(spark, regular, tmp_path)
     ordered.collect()
     plan = ordered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Sort [" not in plan.split("Window [")[0]
+
+
+def _stored_windows(spark, regular, path):
+    """Scaled windows of three machines."""
+    config = PipelineConfig(sequence_length=6, horizon=3, block_rows=40)
+    points = [(m, i, float(i % 7), 1.0) for m, n in (("a", 100), ("b", 40), ("c", 30)) for i in range(n)]
+    series = resample.regular_series(regular(points), config)
+    cut = windows.scaled_blocks(series, ["cpu_usage"], config, back=5, ahead=3)
+    tables.write_windows(windows.array_windows(cut, ["cpu_usage"], ["cpu_usage"], config), str(path))
+
+
+def _damage(folder, how):
+    """The largest file of a folder: its data, its footer or its second half are lost."""
+    file = max(folder.glob("*.parquet"), key=lambda f: f.stat().st_size)
+    file.with_name(f".{file.name}.crc").unlink()  # as in a store without Hadoop's checksum files
+    data = file.read_bytes()
+    footer = len(data) - 8 - int.from_bytes(data[-8:-4], "little")
+    if how == "data":
+        data = data[:4] + b"\xff" * (footer - 4) + data[footer:]
+    elif how == "footer":
+        data = data[:footer] + b"\xff" * (len(data) - footer)
+    else:
+        data = data[: len(data) // 2]
+    file.write_bytes(data)
+
+
+@pytest.mark.parametrize("how", ["data", "footer", "half"])
+def test_a_damaged_file_of_windows_is_an_error(spark, regular, tmp_path, how):
+    _stored_windows(spark, regular, tmp_path / "w")
+    assert len(tables.read_windows(spark, str(tmp_path / "w")).collect()) == 92 + 32 + 22
+    _damage(tmp_path / "w" / "split=train" / "latest=0", how)
+    with pytest.raises(Exception, match="split=train/latest=0"):
+        parts = [tables.read_windows(spark, str(tmp_path / "w"), split) for split in tables.SPLITS]
+        parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()
