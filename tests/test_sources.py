@@ -313,3 +313,13 @@ def test_a_damaged_file_of_windows_is_an_error(spark, regular, tmp_path, how):
     with pytest.raises(Exception, match="split=train/latest=0"):
         parts = [tables.read_windows(spark, str(tmp_path / "w"), split) for split in tables.SPLITS]
         parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()
+
+
+def test_a_damaged_file_of_the_split_asked_for_is_an_error(spark, regular, tmp_path):
+    _stored_windows(spark, regular, tmp_path / "w")
+    _damage(tmp_path / "w" / "split=val" / "latest=0", "data")
+    some = ["a", "b", "c"]
+    with pytest.raises(Exception, match="split=val/latest=0"):
+        tables.read_windows(spark, str(tmp_path / "w"), "val", some).collect()
+    # The files of the other splits are whole, and only those are read.
+    assert len(tables.read_windows(spark, str(tmp_path / "w"), "train", some).collect()) == 64 + 22 + 15
