@@ -323,3 +323,11 @@ def test_a_damaged_file_of_the_split_asked_for_is_an_error(spark, regular, tmp_p
         tables.read_windows(spark, str(tmp_path / "w"), "val", some).collect()
     # The files of the other splits are whole, and only those are read.
     assert len(tables.read_windows(spark, str(tmp_path / "w"), "train", some).collect()) == 64 + 22 + 15
+
+
+def test_a_damaged_file_of_latest_windows_is_an_error(spark, regular, tmp_path):
+    _stored_windows(spark, regular, tmp_path / "w")
+    assert len(tables.read_windows(spark, str(tmp_path / "w"), latest_only=True).collect()) == 3
+    _damage(tmp_path / "w" / "split=test" / "latest=1", "data")
+    with pytest.raises(Exception, match="split=test/latest=1"):
+        tables.read_windows(spark, str(tmp_path / "w"), latest_only=True).collect()
